@@ -61,3 +61,13 @@ def clean_ids(df: DataFrame, numeric: list[str], categorical: list[str]) -> Data
     fills = {c: 0 for c in numeric if c in df.columns}
     fills.update({c: "Unknown" for c in categorical if c in df.columns})
     return df.na.fill(fills)
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row table (an aggregate) to every row.
+
+    A broadcast equi-join on a constant key: the broadcast side is a single
+    row by construction, so its size is fixed.
+    """
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))

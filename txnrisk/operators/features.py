@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions import geo, scalar
+from txnrisk.operators.clean import attach_one_row
 from txnrisk.operators.timeline import UNBOUNDED, US, build_timeline, gap_hours, pair_offsets
 from txnrisk.schema import (AMOUNT, DEVICE, FEATURES, FIRST_GAP_HOURS, FIRST_GAP_MINUTES,
                             GAP_COUNT_HOURS, LOCATION, MERCHANT, MERCHANT_TYPES, RAPID_GAP_HOURS,
@@ -157,7 +158,7 @@ def standardize(df: DataFrame, stats: DataFrame, col: str = AMOUNT,
     """(x - mean) / std with fitted stats; std 0 -> divide by 1."""
     s = stats.select(F.col("mean").alias("_mu"), F.col("std").alias("_sd"))
     sd = F.when((F.col("_sd") == 0) | F.col("_sd").isNull(), F.lit(1.0)).otherwise(F.col("_sd"))
-    return (df.crossJoin(F.broadcast(s))  # one-row statistics table
+    return (attach_one_row(df, s)
             .withColumn(out or col, (F.col(col) - F.col("_mu")) / sd).drop("_mu", "_sd"))
 
 
@@ -183,3 +184,54 @@ def build_features(txn: DataFrame, *, amount_scale: str = "raw", scaler: DataFra
     keep = keep if keep is not None else [TXN_ID, "is_fraud"]
     keep = [c for c in keep if c in feats.columns]
     return feats.select(*keep, *FEATURES)
+
+
+def trailing_velocity(txn: DataFrame, hours: tuple[int, ...] = (1, 6, 24), *, key: str = SENDER,
+                      ts: str = TS, tie: str = TXN_ID, bucket_seconds: int = 7 * DAY_SECONDS) -> DataFrame:
+    """Transactions of the sender in the trailing ``h`` hours, current row
+    included (``Velocity_{h}H``): true interval counts.
+
+    Same (sender, bucket) frames as :func:`history_features`; the halo holds
+    the rows of the widest interval before each bucket, so buckets are wider
+    (a week by default) to keep the halo a small share of the data.
+    """
+    width = max(hours) * 3600
+    tl = build_timeline(txn.select(key, tie, ts), key=key, ts=ts, tie=tie, carry=[ts],
+                        lookback_rows=1, lookback_seconds=width,
+                        bucket_seconds=max(bucket_seconds, width))
+    peer_w = Window.partitionBy(key, "_g", "_us").orderBy(tie)
+    f = tl.frames.withColumn("_peer", F.row_number().over(peer_w))
+    for h in hours:
+        rw = Window.partitionBy(key, "_g").orderBy("_us").rangeBetween(-(h * 3600 * US - 1), -1)
+        f = f.withColumn(f"Velocity_{h}H", (F.count(F.lit(1)).over(rw) + F.col("_peer")).cast("long"))
+    return f.where(F.col("_own")).select(key, tie, ts, *[f"Velocity_{h}H" for h in hours])
+
+
+def running_distinct(txn: DataFrame, other: str, out: str, *, key: str = SENDER, ts: str = TS,
+                     tie: str = TXN_ID, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+    """Distinct values of ``other`` seen by the sender up to each row
+    (point-in-time form of Device_Count / Receiver_Diversity).
+
+    A row is a first sighting when the pair's running count is 1 (pair
+    offsets + local count); first sightings are then counted with bucket
+    offsets from the pairs' first buckets.  No halo is needed.
+    """
+    from txnrisk.operators.timeline import with_time
+    d = with_time(txn.select(key, tie, ts, other), ts, bucket_seconds).withColumn("_g", F.col("_b"))
+    pair_w = Window.partitionBy(key, "_g", other).orderBy("_us", tie)
+    poff = pair_offsets(txn, key=key, other=other, ts=ts, bucket_seconds=bucket_seconds, name="p")
+    timed = with_time(txn.select(key, ts, other), ts, bucket_seconds)
+    firsts = (timed.groupBy(key, other).agg(F.min("_b").alias("_g"))
+              .groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_new")))
+    all_b = timed.groupBy(key, F.col("_b").alias("_g")).agg(F.lit(0).alias("_z"))
+    wg = Window.partitionBy(key).orderBy("_g").rowsBetween(UNBOUNDED, -1)
+    boff = (all_b.join(firsts, [key, "_g"], "left")
+            .select(key, "_g", F.coalesce(F.sum(F.coalesce(F.col("_new"), F.lit(0))).over(wg), F.lit(0))
+                    .alias("_boff")))
+    f = (d.withColumn("_prn", F.row_number().over(pair_w))
+         .join(poff, [key, "_g", other], "left")
+         .withColumn("_first", F.when(F.coalesce(F.col("_poff_p"), F.lit(0)) + F.col("_prn") == 1, 1)
+                     .otherwise(0)))
+    w = Window.partitionBy(key, "_g").orderBy("_us", tie).rowsBetween(UNBOUNDED, 0)
+    f = f.withColumn("_loc", F.sum("_first").over(w)).join(boff, [key, "_g"], "left")
+    return f.select(key, tie, ts, (F.coalesce(F.col("_boff"), F.lit(0)) + F.col("_loc")).cast("long").alias(out))
