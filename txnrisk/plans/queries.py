@@ -841,3 +841,134 @@ def q_type_counts(spark, sf):
     """Flagship: one scan, the (sender, day) history pass, rules, one aggregate."""
     t = rules.infer_fraud_type(_hist(spark, sf))
     return t.groupBy("fraud_type").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+# -------------------------------------------------------------- streaming --
+REPLAY_IDLE_SECONDS = 400 * 86400  # replays keep every sender's whole history
+def _stream_features(spark, sf):
+    from txnrisk.streaming import scoring
+    from txnrisk.streaming.sender_state import sender_state_features
+    t = _txn(spark, sf).drop("user_id", "k")
+    src, out = scoring.scratch(spark, "src"), scoring.scratch(spark, "out")
+    scoring.replay_source(t, src, n_files=8)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    feats = sender_state_features(stream, idle_seconds=REPLAY_IDLE_SECONDS)
+    scoring.stream_to_parquet(feats, out, scoring.scratch(spark, "ckpt"))
+    return spark.read.parquet(out)
+
+
+@query("stream_features")
+def q_stream_features(spark, sf):
+    """Replay the table as a file stream through keyed sender state."""
+    return _stream_features(spark, sf).drop("epoch")
+
+
+@query("stream_velocity")
+def q_stream_velocity(spark, sf):
+    return _stream_features(spark, sf).select("txn_id", "sender_id", "Txn_Count_Last_10_Min")
+
+
+@query("stream_score")
+def q_stream_score(spark, sf):
+    """Train a forest on the batch features, then validate-score-decide the
+    replayed stream with it."""
+    from txnrisk.operators import ml
+    from txnrisk.streaming import scoring
+    t = _txn(spark, sf)
+    feats = ml.hash_split(features.build_features(t), 0.2, 42)
+    model = ml.fit(ml.random_forest_pipeline(num_trees=10, max_depth=6), feats.where(F.col("split") == "train"))
+    raw = t.drop("user_id", "k")
+    src, out = scoring.scratch(spark, "src"), scoring.scratch(spark, "out")
+    scoring.replay_source(raw, src, n_files=4)
+    scoring.run_scoring_stream(spark, src, raw.schema, model, out, scoring.scratch(spark, "ckpt"),
+                               max_files_per_trigger=2, idle_seconds=REPLAY_IDLE_SECONDS)
+    return spark.read.parquet(out).select("txn_id", "fraud_probability", "fraud_type", "decision", "reason")
+
+
+@query("stream_feedback", ORACLE["apply_feedback"])
+def q_stream_feedback(spark, sf):
+    """Feedback events replayed as a file stream; each micro-batch upserts the
+    ledger into a new version.  Equals the one-shot batch upsert."""
+    from txnrisk.streaming import scoring
+    t = _txn(spark, sf)
+    work = scoring.scratch(spark, "fb")
+    fx.ledger(t).write.parquet(f"{work}/ledger_v0")
+    fb = fx.feedback(t)
+    scoring.replay_source(fb, f"{work}/src", n_files=4, ts="feedback_ts")
+    final = scoring.run_feedback_stream(spark, f"{work}/src", fb.schema, f"{work}/ledger_v0", work)
+    out = spark.read.parquet(final)
+    return _norm(out.select("txn_id", "amount", "txn_type", "is_fraud", "fraud_type", "fraud_probability", "status"))
+
+
+# --------------------------------------------------------------------- ML --
+def _split_features(spark, sf):
+    from txnrisk.operators import ml
+    return ml.hash_split(features.build_features(_txn(spark, sf)), 0.2, 42)
+
+
+@query("train_rf")
+def q_train_rf(spark, sf):
+    """Random forest on the train split (balanced weights); test-split scores."""
+    from txnrisk.operators import ml
+    f = _split_features(spark, sf)
+    model = ml.fit(ml.random_forest_pipeline(num_trees=20, max_depth=10, min_leaf=4), f.where(F.col("split") == "train"))
+    return ml.score(model, f.where(F.col("split") == "test")).select("txn_id", "is_fraud", "score", "pred")
+
+
+@query("train_gbt")
+def q_train_gbt(spark, sf):
+    """Boosted trees with fixed positive weight 10; test-split scores."""
+    from txnrisk.operators import ml
+    f = _split_features(spark, sf)
+    model = ml.fit(ml.boosted_trees_pipeline(max_iter=20, max_depth=6), f.where(F.col("split") == "train"),
+                   balance="fixed", fixed_positive=10.0)
+    return ml.score(model, f.where(F.col("split") == "test")).select("txn_id", "is_fraud", "score", "pred")
+
+
+@query("feature_importance")
+def q_importance(spark, sf):
+    from txnrisk.operators import ml
+    f = _split_features(spark, sf)
+    model = ml.fit(ml.random_forest_pipeline(num_trees=20), f.where(F.col("split") == "train"))
+    rows = ml.feature_importance(model)
+    return spark.createDataFrame([(n, float(v)) for n, v in rows], "feature string, importance double")
+
+
+@query("smote")
+def q_smote(spark, sf):
+    """Synthetic fraud rows on the train split until the classes balance."""
+    from txnrisk.operators import ml
+    f = _split_features(spark, sf).where(F.col("split") == "train")
+    return ml.smote(f, k=5, seed=42)
+
+
+@query("one_hot_learned")
+def q_one_hot_learned(spark, sf):
+    """Indexer + one-hot over the six categoricals, ids included, fit on train."""
+    from pyspark.ml.functions import vector_to_array
+    from txnrisk.operators import ml
+    t = ml.hash_split(_txn(spark, sf), 0.2, 42)
+    cats = ["txn_type", "merchant_type", "sender_id", "receiver_id", "device_id", "location"]
+    model = ml.learned_one_hot(cats).fit(t.where(F.col("split") == "train"))
+    out = model.transform(t)
+    return out.select("txn_id", *[F.size(vector_to_array(f"{c}_ohe")).alias(f"{c}_width") for c in cats],
+                      *[F.col(f"{c}_idx").alias(f"{c}_index") for c in cats])
+
+
+@query("retrain")
+def q_retrain(spark, sf):
+    """Refit on training rows plus feedback-labelled rows when both classes
+    are present; publish a new model version; score the test split."""
+    from txnrisk.operators import ml
+    t = _txn(spark, sf)
+    f = ml.hash_split(features.build_features(t), 0.2, 42)
+    fb = fx.feedback(t).select("txn_id", F.when(F.col("is_fraud"), 1).otherwise(0).alias("_fb"))
+    relabelled = (f.where(F.col("split") == "train").join(fb.groupBy("txn_id").agg(F.max("_fb").alias("_fb")), "txn_id", "left")
+                  .withColumn("is_fraud", F.coalesce(F.col("_fb"), F.col("is_fraud"))).drop("_fb"))
+    classes = relabelled.agg(F.count_distinct("is_fraud")).first()[0]
+    if classes < 2:
+        raise ValueError("retraining needs both classes")
+    model = ml.fit(ml.random_forest_pipeline(num_trees=10, max_depth=8), relabelled)
+    from txnrisk.streaming.scoring import scratch
+    ml.save_pipeline(model, scratch(spark, "models"), "v1")
+    return ml.score(model, f.where(F.col("split") == "test")).select("txn_id", "is_fraud", "score", "pred")
