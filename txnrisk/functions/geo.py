@@ -25,7 +25,10 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     s_lat = F.sin(dlat / 2)
     s_lon = F.sin(dlon / 2)
     a = s_lat * s_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s_lon * s_lon
-    return F.lit(EARTH_RADIUS_KM) * (2 * F.asin(F.least(F.sqrt(a), F.lit(1.0))))
+    root = F.sqrt(a)
+    # Clamp rounding overshoot at antipodes; null stays null (least() would skip it).
+    clamped = F.when(root > 1.0, F.lit(1.0)).otherwise(root)
+    return F.lit(EARTH_RADIUS_KM) * (2 * F.asin(clamped))
 
 
 def location_distance_km(loc: Column, prev_loc: Column) -> Column:

@@ -96,8 +96,9 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
            .withColumn("Txn_Count_Total", (F.col("_cum") + F.col("_local_n")).cast("long"))
            .withColumn("Receiver_Frequency",
                        (F.coalesce(F.col("_poff_recv"), F.lit(0)) + F.col("_local_recv")).cast("long"))
+           # Unequal or missing (first row, null device) counts as a new device.
            .withColumn("Is_New_Device",
-                       F.when(F.col(DEVICE).eqNullSafe(F.col("_prev_device")), 0).otherwise(1))
+                       F.when(F.col(DEVICE) == F.col("_prev_device"), 0).otherwise(1))
            .withColumn("Location_Distance_Km", dist))
     for h in GAP_COUNT_HOURS:
         out = out.withColumn(f"Txn_Count_Last_{h}H",

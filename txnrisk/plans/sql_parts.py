@@ -33,7 +33,8 @@ def _dist(loc_a: str, loc_b: str) -> str:
     a = (f"sin(radians(({la2}) - ({la1}))/2)*sin(radians(({la2}) - ({la1}))/2) + "
          f"cos(radians({la1}))*cos(radians({la2}))*sin(radians(({lo2}) - ({lo1}))/2)"
          f"*sin(radians(({lo2}) - ({lo1}))/2)")
-    return f"coalesce(6371.0e0 * (2 * asin(least(sqrt({a}), 1.0e0))), 10000.0e0)"
+    return (f"coalesce(6371.0e0 * (2 * asin(CASE WHEN sqrt({a}) > 1.0e0 THEN 1.0e0 ELSE sqrt({a}) END)), "
+            f"10000.0e0)")
 
 
 DIST = _dist("location", "prev_location")
@@ -45,7 +46,7 @@ SELECT *,
  CAST(sum(CASE WHEN Time_Diff_Hours <= 24 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS Txn_Count_Last_24H,
  CAST(sum(CASE WHEN Time_Diff_Hours <= 0.1 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS BIGINT)
    AS Rapid_Txn_Count_Last_1H,
- CASE WHEN device_id IS NOT DISTINCT FROM prev_device THEN 0 ELSE 1 END AS Is_New_Device,
+ CASE WHEN device_id = prev_device THEN 0 ELSE 1 END AS Is_New_Device,
  CASE WHEN Receiver_Frequency = 1 THEN 1 ELSE 0 END AS Is_First_Time_Receiver,
  CASE WHEN Location_Distance_Km > 500 AND Time_Diff_Hours < 24 THEN 1 ELSE 0 END AS Is_Unusual_Location,
  Location_Distance_Km / CASE WHEN Time_Diff_Hours = 0 THEN 0.01e0 ELSE Time_Diff_Hours END AS Location_Speed_Kmh
