@@ -972,3 +972,55 @@ def q_retrain(spark, sf):
     from txnrisk.streaming.scoring import scratch
     ml.save_pipeline(model, scratch(spark, "models"), "v1")
     return ml.score(model, f.where(F.col("split") == "test")).select("txn_id", "is_fraud", "score", "pred")
+
+
+# -------------------------------------------------------- sources / sinks --
+_TXN_IO_SQL = with_views("""
+SELECT CAST(txn_id AS VARCHAR) AS txn_id, ts, amount, sender_id, receiver_id, txn_type, merchant_type, device_id,
+ location, CAST(is_fraud AS BIGINT) AS is_fraud FROM txn""", "txn")
+
+
+@query("csv_roundtrip", _TXN_IO_SQL)
+def q_csv_roundtrip(spark, sf):
+    """Write the transactions as headed CSV, read them back with the schema."""
+    from txnrisk.sources import io
+    from txnrisk.streaming.scoring import scratch
+    t = _txn(spark, sf).drop("user_id", "k")
+    path = scratch(spark, "csv")
+    io.write_transactions(t, path)
+    return _norm(io.read_transactions(spark, path))
+
+
+@query("json_predictions", with_views("""
+SELECT txn_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, fraud_type, fraud_probability,
+ CAST(CASE WHEN fraud_probability >= 0.3 THEN 1 ELSE 0 END AS BIGINT) AS pred_is_fraud FROM ledger""", "ledger"))
+def q_json_predictions(spark, sf):
+    """Predictions written as JSON lines (ISO timestamps) and read back."""
+    from txnrisk.sources import io
+    from txnrisk.streaming.scoring import scratch
+    lg = fx.ledger(_txn(spark, sf))
+    pred = lg.select("txn_id", "ts", "fraud_type", "fraud_probability",
+                     F.when(F.col("fraud_probability") >= 0.3, 1).otherwise(0).alias("pred_is_fraud"))
+    path = scratch(spark, "json")
+    io.write_predictions(pred, path)
+    schema = "txn_id long, ts string, fraud_type string, fraud_probability double, pred_is_fraud long"
+    return spark.read.schema(schema).json(path)
+
+
+@query("ledger_roundtrip", with_views("""
+SELECT CAST(txn_id AS VARCHAR) AS txn_id, amount, is_fraud, fraud_type, status FROM (
+ SELECT txn_id, amount, CAST(is_fraud AS INTEGER) AS is_fraud, fraud_type, 'PENDING' AS status FROM ledger WHERE status = 'COMPLETED'
+ UNION ALL SELECT txn_id, amount, CAST(is_fraud AS INTEGER), fraud_type, status FROM ledger)""", "ledger"))
+def q_ledger_roundtrip(spark, sf):
+    """Create the ledger, append pending then final rows, rewrite it as a new
+    version and read the current version."""
+    from txnrisk.sources import io
+    from txnrisk.streaming.scoring import scratch
+    lg = fx.ledger(_txn(spark, sf)).withColumn("txn_id", F.col("txn_id").cast("string"))
+    base = scratch(spark, "ledger")
+    io.ensure_ledger(spark, f"{base}/live")
+    io.append_ledger(lg.where(F.col("status") == "COMPLETED"), f"{base}/live", "PENDING")
+    io.append_ledger(lg, f"{base}/live", F.col("status"))
+    io.rewrite_ledger(spark, io.read_ledger(spark, f"{base}/live"), f"{base}/versions")
+    cur = io.current_ledger(spark, f"{base}/versions")
+    return cur.select("txn_id", "amount", "is_fraud", "fraud_type", "status")
