@@ -821,14 +821,64 @@ def q_inject_simple(spark, sf):
     return _norm(out.select("txn_id", "is_fraud", "amount", "location", "device_id", "merchant_type"))
 
 
-@query("inject_nine_patterns", None)
+def _uh(seed: int) -> str:
+    return f"((((txn_id % 1000003) * 2654435761 + {seed} * 40503) % 1000003) / 1000003.0e0)"
+
+
+def _nine_sql() -> str:
+    vals = ",\n".join(
+        f"({i}, '{n}', {S.dbl(lo)}, {S.dbl(hi)}, '{tt}', " + ", ".join(
+            "NULL" if v is None else f"'{v}'" for v in (m, d, r, loc)) + ")"
+        for i, (n, lo, hi, tt, m, d, r, loc) in enumerate(inject.NINE_PATTERNS))
+    return with_views(f"""
+SELECT txn_id, CAST(CASE WHEN hit THEN 1 ELSE is_fraud END AS BIGINT) AS is_fraud, p.name AS pattern,
+ CASE WHEN hit THEN p.lo + (p.hi - p.lo) * u2 ELSE amount END AS amount,
+ coalesce(p.rcv || CAST(txn_id AS VARCHAR), receiver_id) AS receiver_id,
+ coalesce(p.tt, txn_type) AS txn_type, coalesce(p.merchant, merchant_type) AS merchant_type,
+ coalesce(p.dev || CAST(txn_id AS VARCHAR), device_id) AS device_id, coalesce(p.loc, location) AS location
+FROM (SELECT *, u < 0.03 AS hit, CASE WHEN u < 0.03 THEN least(CAST(floor(u / 0.03e0 * 9) AS INTEGER), 8) END AS idx
+      FROM (SELECT *, {_uh(11)} AS u, {_uh(1011)} AS u2 FROM txn)) t
+LEFT JOIN (VALUES {vals}) p(i, name, lo, hi, tt, merchant, dev, rcv, loc) ON t.idx = p.i""", "txn")
+
+
+@query("inject_nine_patterns", _nine_sql())
 def q_inject_nine(spark, sf):
     out = inject.inject_nine_patterns(_txn(spark, sf), ratio=0.03, seed=11)
     return _norm(out.select("txn_id", "is_fraud", "pattern", "amount", "receiver_id", "txn_type",
                             "merchant_type", "device_id", "location"))
 
 
-@query("inject_anomaly_patterns", None)
+def _anomaly_sql() -> str:
+    from txnrisk.schema import CITIES
+    pats = ",\n".join(
+        f"({i}, '{n}', {lo}, {hi}, '{inject.RECEIVER_KINDS[k][0]}', {inject.RECEIVER_KINDS[k][1]}, "
+        f"{inject.RECEIVER_KINDS[k][2]}, {str(loc).lower()}, {str(dev).lower()})"
+        for i, (n, lo, hi, k, loc, dev) in enumerate(inject.ANOMALY_PATTERNS))
+    texts = ", ".join(f"({i}, '{lat:.4f}, {lon:.4f}')" for i, (_, lat, lon) in enumerate(CITIES))
+    dist = S._dist("location", "concat(CAST(city_lat AS VARCHAR), ', ', CAST(city_lon AS VARCHAR))")
+    return with_views(f"""
+SELECT t.txn_id, CAST(CASE WHEN hit THEN 1 ELSE is_fraud END AS BIGINT) AS is_fraud,
+ CASE WHEN hit THEN replace(p.name, '_', ' ') END AS fraud_type,
+ CASE WHEN hit THEN CAST(p.lo + floor(u0 * (p.hi - p.lo + 1)) AS DOUBLE) ELSE amount END AS amount,
+ CASE WHEN hit THEN concat(p.rp, CAST(CAST(p.rlo + floor(u1 * (p.rhi - p.rlo + 1)) AS BIGINT) AS VARCHAR), '@', lower(txn_type))
+      ELSE receiver_id END AS receiver_id,
+ CASE WHEN hit AND p.dev THEN concat('Unknown_Device_', CAST(CAST(1 + floor(u3 * 100) AS BIGINT) AS VARCHAR)) ELSE device_id END AS device_id,
+ CASE WHEN hit AND p.loc THEN ct.txt ELSE location END AS location,
+ CASE WHEN hit THEN 'Unknown' ELSE merchant_type END AS merchant_type
+FROM (SELECT x.*, u < 0.08 AS hit, CASE WHEN u < 0.08 THEN least(CAST(floor(u / 0.08e0 * 7) AS INTEGER), 6) END AS idx,
+        ((coalesce(b.pos, 0) + 1 + CAST(floor(u2 * 7) AS INTEGER)) % 8) AS other
+      FROM (SELECT *, {_uh(13)} AS u, {_uh(1013)} AS u0, {_uh(2013)} AS u1, {_uh(3013)} AS u2, {_uh(4013)} AS u3 FROM txn) x
+      LEFT JOIN (SELECT txn_id, arg_min(city_pos, d * 100 + city_pos) AS pos FROM (
+          SELECT txn_id, city_pos, {dist} AS d FROM txn, cities
+          WHERE len(string_split(location, ',')) = 2
+            AND TRY_CAST(trim(string_split(location, ',')[1]) AS DOUBLE) IS NOT NULL
+            AND TRY_CAST(trim(string_split(location, ',')[2]) AS DOUBLE) IS NOT NULL) GROUP BY txn_id) b
+      ON x.txn_id = b.txn_id) t
+LEFT JOIN (VALUES {pats}) p(i, name, lo, hi, rp, rlo, rhi, loc, dev) ON t.idx = p.i
+LEFT JOIN (VALUES {texts}) ct(i, txt) ON t.other = ct.i""", "txn", extra=[("cities", S.CITIES_SQL)])
+
+
+@query("inject_anomaly_patterns", _anomaly_sql())
 def q_inject_anomaly(spark, sf):
     out = inject.inject_anomaly_patterns(_txn(spark, sf), ratio=0.08, seed=13)
     return _norm(out.select("txn_id", "is_fraud", "fraud_type", "amount", "receiver_id", "device_id",
