@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +114,11 @@ def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_i
                          .over(wa.rowsBetween(UNBOUNDED, 0)))
     a = a.join(bt.select(key, "_b", "_n", "_cum", "_next"), [key, "_b"])
     near_end = F.col("_us") > (F.col("_b") + 1) * F.lit(bucket_us) - F.lit(range_us)
-    tails = a.where((F.col("_rn") > F.col("_n") - lookback_rows) | near_end)
+    # Tail rows feed both the halo copies and the bucket totals.  They are a
+    # small table (<= lookback_rows per bucket plus the range strip), so they
+    # are persisted once instead of re-running pass A for each consumer.
+    tails = (a.where((F.col("_rn") > F.col("_n") - lookback_rows) | near_end)
+             .persist(StorageLevel.MEMORY_AND_DISK))
 
     # Halo rows: each tail row is copied to the later buckets that need it.
     nxt = F.explode("_next").alias("_t")

@@ -913,7 +913,7 @@ def q_stream_features(spark, sf):
     return _stream_features(spark, sf).drop("epoch")
 
 
-@query("stream_velocity")
+@query("stream_velocity", _hist_sql("SELECT txn_id, sender_id, Txn_Count_Last_10_Min FROM hist"))
 def q_stream_velocity(spark, sf):
     return _stream_features(spark, sf).select("txn_id", "sender_id", "Txn_Count_Last_10_Min")
 
