@@ -56,9 +56,12 @@ def _plain(txn):
     )
 
 
-@pytest.mark.parametrize("bucket_seconds", [600, 3600, 86400])
-def test_bucketed_history_equals_plain_windows(spark, txn, bucket_seconds):
-    h = history_features(txn, bucket_seconds=bucket_seconds)
+@pytest.mark.parametrize("bucket_seconds,hot_rows", [(600, None), (3600, None), (86400, None),
+                                                     (86400, 100), (7 * 86400, 50)])
+def test_bucketed_history_equals_plain_windows(spark, txn, bucket_seconds, hot_rows):
+    """Fixed widths, and adaptive widths where the hot sender (500 rows) and
+    busier plain senders get narrower buckets than the default."""
+    h = history_features(txn, bucket_seconds=bucket_seconds, hot_rows=hot_rows, target_rows=20)
     j = h.join(_plain(txn), "txn_id").collect()
     assert len(j) == txn.count()
     for r in j:
@@ -74,7 +77,7 @@ def test_bucketed_history_equals_plain_windows(spark, txn, bucket_seconds):
 
 
 def test_velocity_and_running_distinct(spark, txn):
-    v = trailing_velocity(txn, bucket_seconds=86400).collect()
+    v = trailing_velocity(txn, bucket_seconds=86400, hot_rows=100, target_rows=50).collect()
     rows = {r["txn_id"]: r for r in v}
     data = sorted(_rows(), key=lambda r: (r[2], r[1], r[0]))
     by_sender = {}
@@ -86,7 +89,8 @@ def test_velocity_and_running_distinct(spark, txn):
                 lo = r[1] - dt.timedelta(hours=h)
                 expect = sum(1 for q in rs[: i + 1] if q[1] > lo)
                 assert rows[r[0]][f"Velocity_{h}H"] == expect
-    d = {r["txn_id"]: r["n"] for r in running_distinct(txn, "receiver_id", "n", bucket_seconds=3600).collect()}
+    d = {r["txn_id"]: r["n"] for r in running_distinct(txn, "receiver_id", "n", bucket_seconds=86400,
+                                                      hot_rows=30, target_rows=10).collect()}
     for s, rs in by_sender.items():
         seen = set()
         for r in rs:
@@ -103,3 +107,18 @@ def test_no_row_window_is_partitioned_by_sender_alone(spark, txn):
     specs = re.findall(r"windowspecdefinition\(sender_id#\d+L?, (\w+)#", plan)
     assert specs, plan
     assert set(specs) <= {"_b", "_g", "receiver_id"}, specs
+
+
+def test_hot_sender_gets_narrow_buckets(spark, txn):
+    from txnrisk.operators.timeline import plan_buckets
+    b = plan_buckets(txn, key="sender_id", ts="ts", default_seconds=7 * 86400, min_seconds=600,
+                     hot_rows=100, target_rows=20)
+    hot = {r["sender_id"]: r["_hw"] for r in b.hot.collect()}
+    assert set(hot) == {"HOT"} and b.broadcast_hot
+    assert 600 * 1_000_000 <= hot["HOT"] < 7 * 86400 * 1_000_000
+    per_bucket = (b.apply(txn).where("sender_id = 'HOT'").groupBy("_b").count()
+                  .agg({"count": "max"}).first()[0])
+    assert per_bucket < 500  # the hot sender is split over many buckets
+    none = plan_buckets(txn, key="sender_id", ts="ts", default_seconds=86400, min_seconds=600,
+                        hot_rows=10_000)
+    assert none.hot is None

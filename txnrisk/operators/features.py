@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions import geo, scalar
 from txnrisk.operators.clean import attach_one_row
-from txnrisk.operators.timeline import UNBOUNDED, US, build_timeline, gap_hours, pair_offsets
+from txnrisk.operators.timeline import (UNBOUNDED, US, build_timeline, gap_hours, pair_offsets,
+                                       plan_buckets)
 from txnrisk.schema import (AMOUNT, DEVICE, FEATURES, FIRST_GAP_HOURS, FIRST_GAP_MINUTES,
                             GAP_COUNT_HOURS, LOCATION, MERCHANT, MERCHANT_TYPES, RAPID_GAP_HOURS,
                             RECEIVER, ROLLING_ROWS, SENDER, TS, TXN_ID, TXN_TYPE, TXN_TYPES,
                             VELOCITY_WINDOW_SECONDS)
 
 DAY_SECONDS = 86400
+HOT_ROWS = 5_000_000      # senders above this many rows get narrower buckets
+TARGET_ROWS = 1_000_000   # average rows per bucket aimed at for hot senders
 
 
 def sender_totals(txn: DataFrame, key: str = SENDER) -> DataFrame:
@@ -38,7 +41,8 @@ def sender_totals(txn: DataFrame, key: str = SENDER) -> DataFrame:
 
 
 def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: str = TXN_ID,
-                     bucket_seconds: int = DAY_SECONDS, totals: bool = True) -> DataFrame:
+                     bucket_seconds: int = DAY_SECONDS, totals: bool = True,
+                     hot_rows: int | None = HOT_ROWS, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Add the point-in-time history features to every transaction row.
 
     Output adds: Time_Since_Last_Txn, Time_Diff_Hours, Txn_Count_Total,
@@ -50,10 +54,12 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
     """
     carry = [c for c in txn.columns if c not in (key, tie)]
     counters = {f"{h}h": float(h) for h in GAP_COUNT_HOURS}
+    bucketing = plan_buckets(txn, key=key, ts=ts, default_seconds=bucket_seconds,
+                             min_seconds=VELOCITY_WINDOW_SECONDS, hot_rows=hot_rows, target_rows=target_rows)
     tl = build_timeline(txn, key=key, ts=ts, tie=tie, carry=carry,
                         lookback_rows=ROLLING_ROWS, lookback_seconds=VELOCITY_WINDOW_SECONDS,
                         bucket_seconds=bucket_seconds, gap_counters=counters,
-                        first_gap_hours=FIRST_GAP_HOURS)
+                        first_gap_hours=FIRST_GAP_HOURS, bucketing=bucketing)
     w = tl.window()
     roll = w.rowsBetween(-(ROLLING_ROWS - 1), 0)
     gap_h = gap_hours(w)
@@ -88,7 +94,7 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
         buckets = buckets.join(sender_totals(txn, key), key, "left")
     f = f.join(buckets, [key, "_g"], "left")
     poff = pair_offsets(txn, key=key, other=RECEIVER, ts=ts, bucket_seconds=bucket_seconds,
-                        name="recv")
+                        name="recv", bucketing=bucketing)
     f = f.join(poff, [key, "_g", RECEIVER], "left")
 
     dist = geo.location_distance_km(F.col(LOCATION), F.col("_prev_location"))
@@ -188,7 +194,8 @@ def build_features(txn: DataFrame, *, amount_scale: str = "raw", scaler: DataFra
 
 
 def trailing_velocity(txn: DataFrame, hours: tuple[int, ...] = (1, 6, 24), *, key: str = SENDER,
-                      ts: str = TS, tie: str = TXN_ID, bucket_seconds: int = 7 * DAY_SECONDS) -> DataFrame:
+                      ts: str = TS, tie: str = TXN_ID, bucket_seconds: int = 7 * DAY_SECONDS,
+                      hot_rows: int | None = HOT_ROWS, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Transactions of the sender in the trailing ``h`` hours, current row
     included (``Velocity_{h}H``): true interval counts.
 
@@ -197,9 +204,12 @@ def trailing_velocity(txn: DataFrame, hours: tuple[int, ...] = (1, 6, 24), *, ke
     (a week by default) to keep the halo a small share of the data.
     """
     width = max(hours) * 3600
-    tl = build_timeline(txn.select(key, tie, ts), key=key, ts=ts, tie=tie, carry=[ts],
+    base = txn.select(key, tie, ts)
+    bucketing = plan_buckets(base, key=key, ts=ts, default_seconds=max(bucket_seconds, width),
+                             min_seconds=width, hot_rows=hot_rows, target_rows=target_rows)
+    tl = build_timeline(base, key=key, ts=ts, tie=tie, carry=[ts],
                         lookback_rows=1, lookback_seconds=width,
-                        bucket_seconds=max(bucket_seconds, width))
+                        bucket_seconds=max(bucket_seconds, width), bucketing=bucketing)
     peer_w = Window.partitionBy(key, "_g", "_us").orderBy(tie)
     f = tl.frames.withColumn("_peer", F.row_number().over(peer_w))
     for h in hours:
@@ -209,7 +219,8 @@ def trailing_velocity(txn: DataFrame, hours: tuple[int, ...] = (1, 6, 24), *, ke
 
 
 def running_distinct(txn: DataFrame, other: str, out: str, *, key: str = SENDER, ts: str = TS,
-                     tie: str = TXN_ID, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                     tie: str = TXN_ID, bucket_seconds: int = DAY_SECONDS,
+                     hot_rows: int | None = HOT_ROWS, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Distinct values of ``other`` seen by the sender up to each row
     (point-in-time form of Device_Count / Receiver_Diversity).
 
@@ -217,11 +228,13 @@ def running_distinct(txn: DataFrame, other: str, out: str, *, key: str = SENDER,
     offsets + local count); first sightings are then counted with bucket
     offsets from the pairs' first buckets.  No halo is needed.
     """
-    from txnrisk.operators.timeline import with_time
-    d = with_time(txn.select(key, tie, ts, other), ts, bucket_seconds).withColumn("_g", F.col("_b"))
+    bucketing = plan_buckets(txn, key=key, ts=ts, default_seconds=bucket_seconds, min_seconds=60,
+                             hot_rows=hot_rows, target_rows=target_rows)
+    d = bucketing.apply(txn.select(key, tie, ts, other)).withColumn("_g", F.col("_b"))
     pair_w = Window.partitionBy(key, "_g", other).orderBy("_us", tie)
-    poff = pair_offsets(txn, key=key, other=other, ts=ts, bucket_seconds=bucket_seconds, name="p")
-    timed = with_time(txn.select(key, ts, other), ts, bucket_seconds)
+    poff = pair_offsets(txn, key=key, other=other, ts=ts, bucket_seconds=bucket_seconds, name="p",
+                        bucketing=bucketing)
+    timed = bucketing.apply(txn.select(key, ts, other))
     firsts = (timed.groupBy(key, other).agg(F.min("_b").alias("_g"))
               .groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_new")))
     all_b = timed.groupBy(key, F.col("_b").alias("_g")).agg(F.lit(0).alias("_z"))

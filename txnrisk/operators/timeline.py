@@ -61,10 +61,69 @@ class Timeline:
 
 
 def with_time(df: DataFrame, ts: str, bucket_seconds: int) -> DataFrame:
-    bucket_us = bucket_seconds * US
+    """Add ``_us`` (event time, microseconds) and ``_b`` (fixed-width bucket)."""
+    return Bucketing(key="", ts=ts, default_seconds=bucket_seconds).apply(df)
+
+
+@dataclass(frozen=True)
+class Bucketing:
+    """How rows are cut into (key, bucket) frames.
+
+    Every key uses ``default_seconds`` wide buckets except the hot keys listed
+    in ``hot`` (key -> ``_hw`` width in microseconds), which get narrower
+    buckets so that no bucket holds much more than the target row count.
+    ``hot`` is small by construction (see :func:`plan_buckets`); it is
+    broadcast when ``broadcast_hot`` is set, otherwise joined with a shuffle
+    (AQE splits skewed partitions of that join).
+    """
+
+    key: str
+    ts: str
+    default_seconds: int
+    hot: DataFrame | None = None
+    broadcast_hot: bool = True
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        us = F.unix_micros(F.col(self.ts).cast("timestamp"))
+        d = df.withColumn("_us", us)
+        default_w = F.lit(self.default_seconds * US)
+        if self.hot is None:
+            d = d.withColumn("_w", default_w)
+        else:
+            hot = F.broadcast(self.hot) if self.broadcast_hot else self.hot
+            d = (d.join(hot, self.key, "left")
+                 .withColumn("_w", F.coalesce(F.col("_hw"), default_w)).drop("_hw"))
+        return d.withColumn("_b", F.floor(F.col("_us") / F.col("_w")).cast("long"))
+
+
+def plan_buckets(df: DataFrame, *, key: str, ts: str, default_seconds: int, min_seconds: int,
+                 hot_rows: int | None = 5_000_000, target_rows: int = 1_000_000,
+                 max_broadcast_keys: int = 200_000) -> Bucketing:
+    """Choose bucket widths: fixed, except for keys with more than ``hot_rows``
+    rows, whose width is cut so a bucket holds about ``target_rows`` rows on
+    average (never below ``min_seconds``, the longest time lookback).
+
+    The hot-key table comes from one partial aggregate; it has at most
+    rows / ``hot_rows`` entries, and its actual size is checked before it is
+    broadcast.  Keys hotter than ``target_rows`` per ``min_seconds`` keep
+    minimum-width buckets (the lookback strip needs that width).
+    """
+    if hot_rows is None:
+        return Bucketing(key=key, ts=ts, default_seconds=default_seconds)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.withColumn("_us", us).withColumn(
-        "_b", F.floor(F.col("_us") / F.lit(bucket_us)).cast("long"))
+    stats = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_lo"),
+                                 F.max(us).alias("_hi"))
+             .where(F.col("_n") > hot_rows))
+    width = F.floor((F.col("_hi") - F.col("_lo")).cast("double") * target_rows / F.col("_n")).cast("long")
+    hot = stats.select(key, F.least(F.greatest(width, F.lit(min_seconds * US)),
+                                    F.lit(default_seconds * US)).alias("_hw"))
+    hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
+    n_hot = hot.count()
+    if n_hot == 0:
+        hot.unpersist()
+        return Bucketing(key=key, ts=ts, default_seconds=default_seconds)
+    return Bucketing(key=key, ts=ts, default_seconds=default_seconds, hot=hot,
+                     broadcast_hot=n_hot <= max_broadcast_keys)
 
 
 def gap_hours(w) -> Column:
@@ -75,7 +134,7 @@ def gap_hours(w) -> Column:
 def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_id",
                    carry: list[str], lookback_rows: int, lookback_seconds: int,
                    bucket_seconds: int, gap_counters: dict[str, float] | None = None,
-                   first_gap_hours: float = 24.0) -> Timeline:
+                   first_gap_hours: float = 24.0, bucketing: Bucketing | None = None) -> Timeline:
     """Split ``df`` into (key, bucket) frames with halos and bucket offsets.
 
     ``gap_counters`` maps a name to an hour threshold: the bucket table gets
@@ -86,10 +145,11 @@ def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_i
     if lookback_seconds > bucket_seconds:
         raise ValueError("lookback_seconds must not exceed bucket_seconds")
     gap_counters = gap_counters or {}
-    bucket_us = bucket_seconds * US
+    bucketing = bucketing or Bucketing(key=key, ts=ts, default_seconds=bucket_seconds)
+    bucket_us = F.col("_w")  # per-key bucket width (microseconds)
     range_us = lookback_seconds * US
-    cols = list(dict.fromkeys([key, tie, "_us", "_b", *carry]))
-    d = with_time(df, ts, bucket_seconds).select(*cols)
+    cols = list(dict.fromkeys([key, tie, "_us", "_w", "_b", *carry]))
+    d = bucketing.apply(df).select(*cols)
 
     # Per-bucket sizes and time span: partial aggregates, no row shuffle.
     wk = Window.partitionBy(key).orderBy("_b")
@@ -113,7 +173,7 @@ def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_i
         a = a.withColumn(f"_in_{name}", F.sum(F.when(gh <= hours, 1).otherwise(0))
                          .over(wa.rowsBetween(UNBOUNDED, 0)))
     a = a.join(bt.select(key, "_b", "_n", "_cum", "_next"), [key, "_b"])
-    near_end = F.col("_us") > (F.col("_b") + 1) * F.lit(bucket_us) - F.lit(range_us)
+    near_end = F.col("_us") > (F.col("_b") + 1) * bucket_us - F.lit(range_us)
     # Tail rows feed both the halo copies and the bucket totals.  They are a
     # small table (<= lookback_rows per bucket plus the range strip), so they
     # are persisted once instead of re-running pass A for each consumer.
@@ -126,7 +186,7 @@ def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_i
     rows_between = (F.col("_n") - F.col("_rn")) + (F.col("_t.cum") - F.col("_cum") - F.col("_n"))
     by_rows = rows_between < lookback_rows
     by_range = (F.col("_t.b") == F.col("_b") + 1) & \
-        (F.col("_us") > F.col("_t.b") * F.lit(bucket_us) - F.lit(range_us))
+        (F.col("_us") > F.col("_t.b") * bucket_us - F.lit(range_us))
     halo = (h.where(by_rows | by_range)
             .select(*cols, F.col("_t.b").alias("_g"), F.lit(False).alias("_own")))
     own = d.select(*cols, F.col("_b").alias("_g"), F.lit(True).alias("_own"))
@@ -154,14 +214,15 @@ def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_i
 
 
 def pair_offsets(df: DataFrame, *, key: str, other: str, ts: str,
-                 bucket_seconds: int, name: str) -> DataFrame:
+                 bucket_seconds: int, name: str, bucketing: Bucketing | None = None) -> DataFrame:
     """Rows of each (key, other) pair in earlier buckets: ``_poff_<name>``.
 
     With the local running count over ``(key, bucket, other)`` this gives the
     running count over the pair's whole history.  One row per non-empty
     (key, other, bucket); the prefix window runs over buckets of one pair.
     """
-    d = with_time(df, ts, bucket_seconds)
+    bucketing = bucketing or Bucketing(key=key, ts=ts, default_seconds=bucket_seconds)
+    d = bucketing.apply(df)
     pc = d.groupBy(key, other, "_b").agg(F.count(F.lit(1)).alias("_pn"))
     w = Window.partitionBy(key, other).orderBy("_b").rowsBetween(UNBOUNDED, -1)
     return pc.select(key, other, F.col("_b").alias("_g"),
