@@ -17,16 +17,15 @@ def nearest_city(df: DataFrame, location: str = "location", keep_all: bool = Tru
     """Add ``city``, ``distance_km`` (great-circle, km) and ``_city_pos``.
 
     Ties go to the first listed city.  Unparseable locations get null city
-    and distance.
+    and distance.  The location is parsed once; the eight distances are plain
+    column expressions (no lambda), so the whole lookup stays in codegen.
     """
     p = geo.parse_location(F.col(location))
-    cities = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(n).alias("name"), F.lit(lat).alias("lat"),
-                                F.lit(lon).alias("lon")) for i, (n, lat, lon) in enumerate(CITIES)])
-    dists = F.transform(cities, lambda c: F.struct(
-        geo.haversine_km(p["lat"], p["lon"], c["lat"], c["lon"]).alias("d"), c["pos"].alias("pos"),
-        c["name"].alias("name")))
-    best = F.when(p.isNotNull(), F.array_min(dists))
-    out = df.withColumn("_best", best)
-    out = out.withColumn("city", F.col("_best.name")).withColumn("distance_km", F.col("_best.d")) \
-        .withColumn("_city_pos", F.coalesce(F.col("_best.pos"), F.lit(0))).drop("_best")
-    return out
+    out = df.withColumn("_loc", p)
+    lat, lon = F.col("_loc.lat"), F.col("_loc.lon")
+    cands = [F.struct(geo.haversine_km(lat, lon, F.lit(clat), F.lit(clon)).alias("d"),
+                      F.lit(i).alias("pos"), F.lit(name).alias("name"))
+             for i, (name, clat, clon) in enumerate(CITIES)]
+    out = out.withColumn("_best", F.when(F.col("_loc").isNotNull(), F.array_min(F.array(*cands))))
+    return (out.withColumn("city", F.col("_best.name")).withColumn("distance_km", F.col("_best.d"))
+            .withColumn("_city_pos", F.coalesce(F.col("_best.pos"), F.lit(0))).drop("_best", "_loc"))
