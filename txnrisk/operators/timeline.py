@@ -162,6 +162,8 @@ def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_i
     bt = bt.withColumn("_next", F.collect_list(F.struct(F.col("_b").alias("b"),
                                                         F.col("_cum").alias("cum")))
                        .over(wk.rowsBetween(1, lookback_rows)))
+    # One row per non-empty (key, bucket), used twice: persisted once.
+    bt = bt.persist(StorageLevel.MEMORY_AND_DISK)
 
     # Pass A: position inside the bucket, local gap counts, tail rows.
     wa = Window.partitionBy(key, "_b").orderBy("_us", tie)
