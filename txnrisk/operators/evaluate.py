@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Scores are rounded to this many decimals before per-score aggregation, which
+# bounds the globally ordered per-score table to 10**6 + 1 rows.
+SCORE_DIGITS = 6
+
 # Thresholds of the sweep and the fallback threshold.
 SWEEP_THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 DEFAULT_BEST_THRESHOLD = 0.3
@@ -74,7 +78,7 @@ def classification_report(df: DataFrame, label: str = "is_fraud", pred: str = "p
 
 
 def score_counts(df: DataFrame, label: str = "is_fraud", score: str = "score",
-                 score_digits: int | None = None) -> DataFrame:
+                 score_digits: int | None = SCORE_DIGITS) -> DataFrame:
     """Positives and negatives per distinct score (partial aggregate)."""
     s = F.col(score)
     if score_digits is not None:
@@ -95,7 +99,7 @@ def _curve_table(df, label, score, score_digits):
 
 
 def roc_auc(df: DataFrame, label: str = "is_fraud", score: str = "score",
-            score_digits: int | None = None) -> DataFrame:
+            score_digits: int | None = SCORE_DIGITS) -> DataFrame:
     """Area under the ROC curve by rank sums with tied scores counted half."""
     sc = score_counts(df, label, score, score_digits)
     below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +109,7 @@ def roc_auc(df: DataFrame, label: str = "is_fraud", score: str = "score",
 
 
 def roc_curve(df: DataFrame, label: str = "is_fraud", score: str = "score",
-              score_digits: int | None = None) -> DataFrame:
+              score_digits: int | None = SCORE_DIGITS) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, all points kept."""
     t = _curve_table(df, label, score, score_digits)
     return t.select(F.col("score").alias("threshold"), _safe_div(F.col("fp"), F.col("N")).alias("fpr"),
@@ -113,7 +117,7 @@ def roc_curve(df: DataFrame, label: str = "is_fraud", score: str = "score",
 
 
 def pr_curve(df: DataFrame, label: str = "is_fraud", score: str = "score",
-             score_digits: int | None = None) -> DataFrame:
+             score_digits: int | None = SCORE_DIGITS) -> DataFrame:
     """(threshold, precision, recall) for every distinct score."""
     t = _curve_table(df, label, score, score_digits)
     return t.select(F.col("score").alias("threshold"),

@@ -91,20 +91,36 @@ def run_scoring_stream(spark: SparkSession, source: str, schema, model: Pipeline
 def run_feedback_stream(spark: SparkSession, source: str, schema, ledger_path: str, work: str,
                         max_files_per_trigger: int = 1) -> str:
     """Apply each feedback micro-batch to the ledger, writing a new ledger
-    version per epoch; returns the path of the final version."""
-    state = {"current": ledger_path}
+    version per epoch; returns the path of the final version.
+
+    Epoch ``e`` reads the version written by epoch ``e - 1`` (the initial
+    ledger for the first epoch) and writes ``ledger_epoch=e``; a retried
+    epoch therefore recomputes the same output from the same input.
+    """
+    def version(epoch_id: int) -> str:
+        return f"{work}/ledger_epoch={epoch_id}"
+
+    state = {"last": None}
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
-        nxt = f"{work}/ledger_v{epoch_id}"
-        current = batch.sparkSession.read.parquet(state["current"])
-        apply_feedback(current, batch).write.mode("overwrite").parquet(nxt)
-        state["current"] = nxt
+        prev = version(epoch_id - 1) if epoch_id > 0 else ledger_path
+        if not _exists(batch.sparkSession, prev):
+            prev = ledger_path
+        current = batch.sparkSession.read.parquet(prev)
+        apply_feedback(current, batch).write.mode("overwrite").parquet(version(epoch_id))
+        state["last"] = epoch_id
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
     q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{work}/_ckpt")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return state["current"]
+    return version(state["last"]) if state["last"] is not None else ledger_path
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
