@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from txnrisk.operators.features import build_features, history_features
+from txnrisk.operators.features import build_features
 
 T0 = dt.datetime(2024, 1, 7, 5, 0, 0)  # a Sunday, 05:00
 

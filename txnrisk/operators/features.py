@@ -114,6 +114,7 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
            .withColumn("Location_Speed_Kmh",
                        geo.speed_kmh(F.col("Location_Distance_Km"), F.col("Time_Diff_Hours")))
            .withColumn("Is_High_Speed", geo.is_high_speed(F.col("Location_Speed_Kmh"))))
+    out = out.withColumn("prev_location", F.col("_prev_location"))
     drop = [c for c in out.columns if c.startswith("_") and c != "_avg_amount"]
     return out.drop(*drop)
 

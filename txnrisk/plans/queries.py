@@ -11,11 +11,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrisk.functions import geo, risk, validate
+from txnrisk.functions import risk, validate
 from txnrisk.operators import clean, evaluate, features, ledger, reports, rules
 from txnrisk.operators import inject, locations
 from txnrisk.plans import sql_parts as S
@@ -228,13 +228,7 @@ def q_recv_so_far(spark, sf):
 
 @query("geo_distance", _hist_sql("SELECT txn_id, prev_location, Location_Distance_Km FROM hist"))
 def q_geo_distance(spark, sf):
-    t = _txn(spark, sf)
-    h = features.history_features(t)
-    # prev_location is recomputed from the same frames for display
-    w = Window.partitionBy("sender_id").orderBy("ts", "txn_id")
-    prev = t.select("txn_id", F.lag("location").over(w).alias("prev_location"))
-    return h.select("txn_id", "Location_Distance_Km").join(prev, "txn_id").select(
-        "txn_id", "prev_location", "Location_Distance_Km")
+    return _hist(spark, sf).select("txn_id", "prev_location", "Location_Distance_Km")
 
 
 @query("geo_speed", _hist_sql("""
