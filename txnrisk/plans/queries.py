@@ -986,17 +986,34 @@ def q_smote(spark, sf):
     return ml.smote(f, k=5, seed=42)
 
 
-@query("one_hot_learned")
+_OHE_CATS = ["txn_type", "merchant_type", "sender_id", "receiver_id", "device_id", "location"]
+
+
+def _one_hot_sql() -> str:
+    train = "(((txn_id * 7919 + 42 * 104729) % 1000) / 1000.0e0) >= 0.2"
+    extra, cols, joins = [], [], []
+    for c in _OHE_CATS:
+        extra.append((f"lab_{c}", f"""SELECT {c} AS v, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS i,
+ count(*) OVER () AS n FROM txn WHERE {train} GROUP BY {c}"""))
+        extra.append((f"n_{c}", f"SELECT count(DISTINCT {c}) AS n FROM txn WHERE {train}"))
+        cols.append(f"CAST((SELECT n FROM n_{c}) + 1 AS BIGINT) AS {c}_width")
+        cols.append(f"CAST(coalesce(l_{c}.i, (SELECT n FROM n_{c})) AS DOUBLE) AS {c}_index")
+        joins.append(f"LEFT JOIN lab_{c} l_{c} ON t.{c} = l_{c}.v")
+    body = f"SELECT t.txn_id, {', '.join(cols)} FROM txn t " + " ".join(joins)
+    return with_views(body, "txn", extra=extra)
+
+
+@query("one_hot_learned", _one_hot_sql())
 def q_one_hot_learned(spark, sf):
     """Indexer + one-hot over the six categoricals, ids included, fit on train."""
     from pyspark.ml.functions import vector_to_array
     from txnrisk.operators import ml
     t = ml.hash_split(_txn(spark, sf), 0.2, 42)
-    cats = ["txn_type", "merchant_type", "sender_id", "receiver_id", "device_id", "location"]
+    cats = _OHE_CATS
     model = ml.learned_one_hot(cats).fit(t.where(F.col("split") == "train"))
     out = model.transform(t)
-    return out.select("txn_id", *[F.size(vector_to_array(f"{c}_ohe")).alias(f"{c}_width") for c in cats],
-                      *[F.col(f"{c}_idx").alias(f"{c}_index") for c in cats])
+    return _norm(out.select("txn_id", *[F.size(vector_to_array(f"{c}_ohe")).alias(f"{c}_width") for c in cats],
+                            *[F.col(f"{c}_idx").alias(f"{c}_index") for c in cats]))
 
 
 @query("retrain")
