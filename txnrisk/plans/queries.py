@@ -901,7 +901,21 @@ def _stream_features(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("stream_features")
+_STREAM_FEATURES_SQL = _hist_sql("""
+SELECT sender_id, txn_id, ts, amount, device_id, location, receiver_id, txn_type, merchant_type, is_fraud,
+ Time_Since_Last_Txn, Time_Diff_Hours, Txn_Count_Total, Txn_Count_Last_1H, Txn_Count_Last_6H, Txn_Count_Last_24H,
+ Rapid_Txn_Count_Last_1H, Amount_Rolling_Mean_10, Amount_Rolling_Std_10, CAST(Is_New_Device AS BIGINT) AS Is_New_Device,
+ Location_Distance_Km, CAST(Is_Unusual_Location AS BIGINT) AS Is_Unusual_Location, Location_Speed_Kmh,
+ CAST(CASE WHEN Location_Speed_Kmh > 1000 THEN 1 ELSE 0 END AS BIGINT) AS Is_High_Speed, Receiver_Frequency,
+ CAST(Is_First_Time_Receiver AS BIGINT) AS Is_First_Time_Receiver, Txn_Count_Last_10_Min,
+ CAST(sum(CASE WHEN dn = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS device_count_so_far,
+ CAST(sum(CASE WHEN Receiver_Frequency = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS receiver_diversity_so_far,
+ avg(amount) OVER w AS sender_mean_so_far
+FROM (SELECT *, row_number() OVER (PARTITION BY sender_id, device_id ORDER BY ts, txn_id) AS dn FROM hist)
+WINDOW w AS (PARTITION BY sender_id ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+
+
+@query("stream_features", _STREAM_FEATURES_SQL)
 def q_stream_features(spark, sf):
     """Replay the table as a file stream through keyed sender state."""
     return _stream_features(spark, sf).drop("epoch")
