@@ -71,3 +71,25 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """
     return (df.withColumn("_one", F.lit(1))
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
+# Generated id prefix/length and the receiver default for requests.
+GENERATED_ID_PREFIX, GENERATED_ID_HEX = "TXN_", 10
+DEFAULT_RECEIVER_PREFIX, DEFAULT_RECEIVER_MOD = "Merchant_", 10000
+
+
+def fill_identity(df: DataFrame, id_col: str = "txn_id", receiver: str = "receiver_id",
+                  merchant: str = "merchant_type", parts: tuple[str, ...] = ("sender_id", "ts")) -> DataFrame:
+    """Fill a missing id with ``TXN_`` + 10 hex digits of a content hash and a
+    missing receiver with ``Merchant_<hash(merchant type) mod 10000>``
+    (deterministic across runs and engines)."""
+    def text(c):
+        t = dict(df.dtypes)[c]
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("string") if t.startswith("timestamp") \
+            else F.col(c).cast("string")
+    digest = F.sha2(F.concat_ws("|", *[text(c) for c in parts]), 256)
+    gen_id = F.concat(F.lit(GENERATED_ID_PREFIX), F.substring(digest, 1, GENERATED_ID_HEX))
+    m_hash = F.conv(F.substring(F.sha2(F.coalesce(F.col(merchant), F.lit("")), 256), 1, 8), 16, 10).cast("long")
+    gen_receiver = F.concat(F.lit(DEFAULT_RECEIVER_PREFIX), (m_hash % DEFAULT_RECEIVER_MOD).cast("string"))
+    return (df.withColumn(id_col, F.coalesce(F.col(id_col).cast("string"), gen_id))
+            .withColumn(receiver, F.coalesce(F.col(receiver), gen_receiver)))

@@ -1099,3 +1099,74 @@ def q_ledger_roundtrip(spark, sf):
     io.rewrite_ledger(spark, io.read_ledger(spark, f"{base}/live"), f"{base}/versions")
     cur = io.current_ledger(spark, f"{base}/versions")
     return cur.select("txn_id", "amount", "is_fraud", "fraud_type", "status")
+
+
+# ------------------------------------------------------ remaining operators --
+@query("fill_identity", with_views("""
+SELECT txn_ref, coalesce(txn_id, concat('TXN_', substring(sha256(concat_ws('|', sender_id, CAST(epoch_us(ts) AS VARCHAR))), 1, 10))) AS txn_id,
+ coalesce(receiver_id, concat('Merchant_', CAST(('0x' || substring(sha256(coalesce(merchant_type, '')), 1, 8))::BIGINT % 10000 AS VARCHAR))) AS receiver_id
+FROM (SELECT txn_id AS txn_ref, CASE WHEN k % 13 = 0 THEN NULL ELSE CAST(txn_id AS VARCHAR) END AS txn_id, sender_id, ts,
+      CASE WHEN k % 17 = 0 THEN NULL ELSE receiver_id END AS receiver_id, merchant_type FROM txn)""", "txn"))
+def q_fill_identity(spark, sf):
+    """Requests without id or receiver get deterministic generated values."""
+    t = _txn(spark, sf)
+    k = F.col("k")
+    raw = t.select(F.col("txn_id").alias("txn_ref"),
+                   F.when(k % 13 == 0, None).otherwise(F.col("txn_id").cast("string")).alias("txn_id"),
+                   "sender_id", "ts", F.when(k % 17 == 0, None).otherwise(F.col("receiver_id")).alias("receiver_id"),
+                   "merchant_type")
+    return clean.fill_identity(raw).select("txn_ref", "txn_id", "receiver_id")
+
+
+@query("flatten_predictions", with_views("""
+SELECT txn_id, amount, CAST(CASE WHEN fraud_probability >= 0.3 THEN 1 ELSE 0 END AS BIGINT) AS is_fraud,
+ fraud_probability, fraud_type FROM ledger""", "ledger"))
+def q_flatten(spark, sf):
+    """Nested prediction records (as stored by the scorer) to flat audit rows."""
+    lg = fx.ledger(_txn(spark, sf))
+    nested = lg.select("txn_id", "amount", F.struct(
+        F.when(F.col("fraud_probability") >= 0.3, 1).otherwise(0).cast("long").alias("is_fraud"),
+        F.col("fraud_probability"), F.col("fraud_type")).alias("prediction"))
+    return ledger.flatten_predictions(nested)
+
+
+@query("shuffle_rows", with_views("SELECT txn_id, amount FROM txn", "txn"))
+def q_shuffle(spark, sf):
+    """Deterministic pseudo-random order of the whole table."""
+    return ledger.shuffle_rows(_txn(spark, sf).select("txn_id", "amount"), seed=42)
+
+
+@query("latency_summary")
+def q_latency(spark, sf):
+    """Per micro-batch duration of the replayed feature stream: mean, p50, p95."""
+    from txnrisk.streaming import scoring
+    from txnrisk.streaming.sender_state import sender_state_features
+    t = _txn(spark, sf).drop("user_id", "k")
+    src, out = scoring.scratch(spark, "lat-src"), scoring.scratch(spark, "lat-out")
+    scoring.replay_source(t, src, n_files=6)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = scoring.stream_to_parquet(sender_state_features(stream, idle_seconds=REPLAY_IDLE_SECONDS), out,
+                                  scoring.scratch(spark, "lat-ckpt"))
+    rows = [(p["batchId"], float(p["durationMs"].get("triggerExecution", 0)), int(p["numInputRows"]))
+            for p in q.recentProgress if p["numInputRows"] > 0]
+    timings = spark.createDataFrame(rows, "batch long, ms double, n_rows long")
+    return reports.latency_summary(timings).join(
+        timings.agg(F.sum("n_rows").alias("rows"), (F.sum("n_rows") / (F.sum("ms") / 1000.0)).alias("rows_per_sec")))
+
+
+@query("injected_model_quality")
+def q_model_quality(spark, sf):
+    """Nine-pattern injection, time-ordered hold-out (last 20% of time),
+    forest on the rest: AUC, and precision/recall at the best-F1 threshold."""
+    from txnrisk.operators import ml
+    t = inject.inject_nine_patterns(_txn(spark, sf), ratio=0.03, seed=11).drop("pattern")
+    f = features.build_features(t, keep=["txn_id", "is_fraud", "ts"])
+    cut = f.select(F.percentile_approx(F.unix_micros("ts"), 0.8).alias("_cut"))
+    f = clean.attach_one_row(f, cut).withColumn(
+        "split", F.when(F.unix_micros("ts") > F.col("_cut"), "test").otherwise("train")).drop("_cut")
+    model = ml.fit(ml.random_forest_pipeline(num_trees=30, max_depth=10), f.where(F.col("split") == "train"))
+    scored = ml.score(model, f.where(F.col("split") == "test"))
+    sweep = evaluate.threshold_sweep(scored)
+    best = evaluate.best_threshold(sweep)
+    at_best = sweep.join(best, sweep["threshold"] == best["best_threshold"]).select("precision", "recall")
+    return clean.attach_one_row(clean.attach_one_row(evaluate.roc_auc(scored), best), at_best)
