@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions import geo, scalar
 from txnrisk.operators.clean import attach_one_row
-from txnrisk.operators.timeline import (UNBOUNDED, US, build_timeline, gap_hours, pair_offsets,
-                                       plan_buckets)
+from txnrisk.operators.timeline import UNBOUNDED, US, build_timeline, pair_offsets, plan_buckets
 from txnrisk.schema import (AMOUNT, DEVICE, FEATURES, FIRST_GAP_HOURS, FIRST_GAP_MINUTES,
                             GAP_COUNT_HOURS, LOCATION, MERCHANT, MERCHANT_TYPES, RAPID_GAP_HOURS,
                             RECEIVER, ROLLING_ROWS, SENDER, TS, TXN_ID, TXN_TYPE, TXN_TYPES,
@@ -60,31 +59,39 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
                         first_gap_hours=FIRST_GAP_HOURS, bucketing=bucketing)
     w = tl.window()
     roll = w.rowsBetween(-(ROLLING_ROWS - 1), 0)
-    gap_h = gap_hours(w)
-    gap_us = F.col("_us") - F.lag("_us").over(w)
-    f = (tl.frames
-         .withColumn("Time_Diff_Hours", F.coalesce(gap_h, F.lit(FIRST_GAP_HOURS)))
-         .withColumn("Time_Since_Last_Txn",
-                     F.coalesce(gap_us / F.lit(1e6) / F.lit(60.0), F.lit(FIRST_GAP_MINUTES)))
-         .withColumn("_prev_device", F.lag(DEVICE).over(w))
-         .withColumn("_prev_location", F.lag(LOCATION).over(w))
-         .withColumn("Amount_Rolling_Mean_10", F.avg(AMOUNT).over(roll))
-         .withColumn("Amount_Rolling_Std_10",
-                     F.coalesce(F.stddev_samp(AMOUNT).over(roll), F.lit(0.0)))
-         .withColumn("_rapid", F.when(F.col("Time_Diff_Hours") <= RAPID_GAP_HOURS, 1).otherwise(0))
-         .withColumn("_local_n", tl.running(F.lit(1))))
-    for h in GAP_COUNT_HOURS:
-        f = f.withColumn(f"_local_{h}h", tl.running(
-            F.when(F.col("Time_Diff_Hours") <= float(h), 1).otherwise(0)))
-    # 10-minute count: earlier rows in (t - 10 min, t) plus same-time rows up to this one.
+    run = w.rowsBetween(UNBOUNDED, 0)
+    own = F.col("_own")
+    # Pass 1: every window over (sender, bucket) ordered by time in one select,
+    # so Catalyst evaluates them in one Window operator on one sort.
+    prev_us = F.lag("_us").over(w)
     range_w = Window.partitionBy(key, "_g").orderBy("_us").rangeBetween(
         -(VELOCITY_WINDOW_SECONDS * US - 1), -1)
     peer_w = Window.partitionBy(key, "_g", "_us").orderBy(tie)
-    f = (f.withColumn("Rapid_Txn_Count_Last_1H", F.sum("_rapid").over(roll).cast("long"))
-         .withColumn("Txn_Count_Last_10_Min",
-                     (F.count(F.lit(1)).over(range_w) + F.row_number().over(peer_w)).cast("long")))
+    f = tl.frames.select(
+        "*",
+        ((F.col("_us") - prev_us) / F.lit(1e6) / F.lit(3600.0)).alias("_gap_h"),
+        ((F.col("_us") - prev_us) / F.lit(1e6) / F.lit(60.0)).alias("_gap_m"),
+        F.lag(DEVICE).over(w).alias("_prev_device"),
+        F.lag(LOCATION).over(w).alias("_prev_location"),
+        F.avg(AMOUNT).over(roll).alias("Amount_Rolling_Mean_10"),
+        F.coalesce(F.stddev_samp(AMOUNT).over(roll), F.lit(0.0)).alias("Amount_Rolling_Std_10"),
+        F.sum(F.when(own, 1).otherwise(0)).over(run).alias("_local_n"),
+        # 10-minute count: earlier rows in (t - 10 min, t) plus same-time rows up to this one.
+        (F.count(F.lit(1)).over(range_w) + F.row_number().over(peer_w)).cast("long").alias("Txn_Count_Last_10_Min"),
+    )
+    f = f.withColumns({"Time_Diff_Hours": F.coalesce(F.col("_gap_h"), F.lit(FIRST_GAP_HOURS)),
+                       "Time_Since_Last_Txn": F.coalesce(F.col("_gap_m"), F.lit(FIRST_GAP_MINUTES))})
+    # Pass 2: sums of gap flags (they need pass 1's lag); same spec, same sort.
+    tdh = F.col("Time_Diff_Hours")
     recv_w = Window.partitionBy(key, "_g", RECEIVER).orderBy("_us", tie).rowsBetween(UNBOUNDED, 0)
-    f = f.withColumn("_local_recv", F.sum(F.when(F.col("_own"), 1).otherwise(0)).over(recv_w))
+    f = f.select(
+        "*",
+        F.sum(F.when(tdh <= RAPID_GAP_HOURS, 1).otherwise(0)).over(roll).cast("long")
+        .alias("Rapid_Txn_Count_Last_1H"),
+        *[F.sum(F.when(own & (tdh <= float(h)), 1).otherwise(0)).over(run).alias(f"_local_{h}h")
+          for h in GAP_COUNT_HOURS],
+        F.sum(F.when(own, 1).otherwise(0)).over(recv_w).alias("_local_recv"),
+    )
     f = f.where(F.col("_own"))
 
     buckets = tl.buckets
@@ -96,25 +103,24 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
     f = f.join(poff, [key, "_g", RECEIVER], "left")
 
     dist = geo.location_distance_km(F.col(LOCATION), F.col("_prev_location"))
-    out = (f
-           .withColumn("Txn_Count_Total", (F.col("_cum") + F.col("_local_n")).cast("long"))
-           .withColumn("Receiver_Frequency",
-                       (F.coalesce(F.col("_poff_recv"), F.lit(0)) + F.col("_local_recv")).cast("long"))
-           # Unequal or missing (first row, null device) counts as a new device.
-           .withColumn("Is_New_Device",
-                       F.when(F.col(DEVICE) == F.col("_prev_device"), 0).otherwise(1))
-           .withColumn("Location_Distance_Km", dist))
-    for h in GAP_COUNT_HOURS:
-        out = out.withColumn(f"Txn_Count_Last_{h}H",
-                             (F.col(f"_off_{h}h") + F.col(f"_local_{h}h")).cast("long"))
-    out = (out
-           .withColumn("Is_First_Time_Receiver", F.when(F.col("Receiver_Frequency") == 1, 1).otherwise(0))
-           .withColumn("Is_Unusual_Location",
-                       geo.is_unusual_location(F.col("Location_Distance_Km"), F.col("Time_Diff_Hours")))
-           .withColumn("Location_Speed_Kmh",
-                       geo.speed_kmh(F.col("Location_Distance_Km"), F.col("Time_Diff_Hours")))
-           .withColumn("Is_High_Speed", geo.is_high_speed(F.col("Location_Speed_Kmh"))))
-    out = out.withColumn("prev_location", F.col("_prev_location"))
+    freq = (F.coalesce(F.col("_poff_recv"), F.lit(0)) + F.col("_local_recv")).cast("long")
+    out = f.withColumns({
+        "Txn_Count_Total": (F.col("_cum") + F.col("_local_n")).cast("long"),
+        "Receiver_Frequency": freq,
+        # Unequal or missing (first row, null device) counts as a new device.
+        "Is_New_Device": F.when(F.col(DEVICE) == F.col("_prev_device"), 0).otherwise(1),
+        "Location_Distance_Km": dist,
+        "prev_location": F.col("_prev_location"),
+        **{f"Txn_Count_Last_{h}H": (F.col(f"_off_{h}h") + F.col(f"_local_{h}h")).cast("long")
+           for h in GAP_COUNT_HOURS},
+    })
+    speed = geo.speed_kmh(F.col("Location_Distance_Km"), F.col("Time_Diff_Hours"))
+    out = out.withColumns({
+        "Is_First_Time_Receiver": F.when(F.col("Receiver_Frequency") == 1, 1).otherwise(0),
+        "Is_Unusual_Location": geo.is_unusual_location(F.col("Location_Distance_Km"), F.col("Time_Diff_Hours")),
+        "Location_Speed_Kmh": speed,
+        "Is_High_Speed": geo.is_high_speed(speed),
+    })
     drop = [c for c in out.columns if c.startswith("_") and c != "_avg_amount"]
     return out.drop(*drop)
 
@@ -123,20 +129,20 @@ def row_features(df: DataFrame, amount_col: str = AMOUNT) -> DataFrame:
     """Per-row features: time of day, amount shape, id flags, one-hot types."""
     ts = F.col(TS)
     amt = F.col(amount_col)
-    out = (df.withColumn("Hour", scalar.hour(ts))
-           .withColumn("Day_of_Week", scalar.day_of_week(ts)))
-    hs, hc = scalar.cyclic(F.col("Hour"), 24)
-    ds, dc = scalar.cyclic(F.col("Day_of_Week"), 7)
-    out = (out.withColumn("Is_Weekend", scalar.is_weekend(F.col("Day_of_Week")))
-           .withColumn("Is_Night", scalar.is_night(F.col("Hour")))
-           .withColumn("Hour_Sin", hs).withColumn("Hour_Cos", hc)
-           .withColumn("Day_Sin", ds).withColumn("Day_Cos", dc)
-           .withColumn("Amount_Log", scalar.amount_log(amt))
-           .withColumn("Is_Small_Amount", scalar.is_small_amount(amt))
-           .withColumn("Is_Large_Amount", scalar.is_large_amount(amt))
-           .withColumn("Is_Unknown_Device", scalar.contains_flag(F.col(DEVICE), "Unknown"))
-           .withColumn("Is_Suspicious_Receiver", scalar.contains_flag(F.col(RECEIVER), "Suspicious"))
-           .withColumn("Is_Test_Receiver", scalar.contains_flag(F.col(RECEIVER), "Test")))
+    hour, dow = scalar.hour(ts), scalar.day_of_week(ts)
+    hs, hc = scalar.cyclic(hour, 24)
+    ds, dc = scalar.cyclic(dow, 7)
+    out = df.withColumns({
+        "Hour": hour, "Day_of_Week": dow,
+        "Is_Weekend": scalar.is_weekend(dow), "Is_Night": scalar.is_night(hour),
+        "Hour_Sin": hs, "Hour_Cos": hc, "Day_Sin": ds, "Day_Cos": dc,
+        "Amount_Log": scalar.amount_log(amt),
+        "Is_Small_Amount": scalar.is_small_amount(amt),
+        "Is_Large_Amount": scalar.is_large_amount(amt),
+        "Is_Unknown_Device": scalar.contains_flag(F.col(DEVICE), "Unknown"),
+        "Is_Suspicious_Receiver": scalar.contains_flag(F.col(RECEIVER), "Suspicious"),
+        "Is_Test_Receiver": scalar.contains_flag(F.col(RECEIVER), "Test"),
+    })
     return one_hot_fixed(out)
 
 
@@ -150,8 +156,8 @@ def one_hot_fixed(df: DataFrame) -> DataFrame:
 def amount_stats(df: DataFrame, amount_col: str = AMOUNT) -> DataFrame:
     """Amount_Deviation and Amount_Ratio against the sender mean (``_avg_amount``)."""
     amt = F.col(amount_col)
-    return (df.withColumn("Amount_Deviation", amt - F.col("_avg_amount"))
-            .withColumn("Amount_Ratio", scalar.amount_ratio(amt, F.col("_avg_amount"))))
+    return df.withColumns({"Amount_Deviation": amt - F.col("_avg_amount"),
+                           "Amount_Ratio": scalar.amount_ratio(amt, F.col("_avg_amount"))})
 
 
 def fit_standardizer(train: DataFrame, col: str = AMOUNT) -> DataFrame:
@@ -183,13 +189,16 @@ def build_features(txn: DataFrame, *, amount_scale: str = "raw", scaler: DataFra
         base = standardize(txn, stats)
     hist = history_features(base)
     feats = amount_stats(row_features(hist)).withColumn("Amount", F.col(AMOUNT))
-    for c in FEATURES:
-        if c in feats.columns and dict(feats.dtypes)[c] in ("double", "float"):
-            feats = feats.withColumn(c, F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")),
-                                               F.lit(0.0)).otherwise(F.col(c)))
+    types = dict(feats.dtypes)
     keep = keep if keep is not None else [TXN_ID, "is_fraud"]
     keep = [c for c in keep if c in feats.columns]
-    return feats.select(*keep, *FEATURES)
+
+    def clean(c):
+        # NaN and +/-inf -> 0 for floating features (one projection for all).
+        if types[c] in ("double", "float"):
+            return F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.lit(0.0)).otherwise(F.col(c)).alias(c)
+        return F.col(c)
+    return feats.select(*keep, *[clean(c) for c in FEATURES])
 
 
 def trailing_velocity(txn: DataFrame, hours: tuple[int, ...] = (1, 6, 24), *, key: str = SENDER,
