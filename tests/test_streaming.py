@@ -17,12 +17,14 @@ POINT_IN_TIME = ["Time_Since_Last_Txn", "Time_Diff_Hours", "Txn_Count_Total", "T
                  "Is_First_Time_Receiver", "Txn_Count_Last_10_Min"]
 
 
-def test_stream_replay_equals_batch(spark):
+@pytest.mark.parametrize("vectorize_min_rows", [256, 1])
+def test_stream_replay_equals_batch(spark, vectorize_min_rows):
     t = fx.transactions(spark, SF_SMALL).drop("user_id", "k")
     src, out = scoring.scratch(spark, "t-src"), scoring.scratch(spark, "t-out")
     scoring.replay_source(t, src, n_files=5)
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    scoring.stream_to_parquet(sender_state_features(stream, idle_seconds=400 * 86400), out,
+    feats = sender_state_features(stream, idle_seconds=400 * 86400, vectorize_min_rows=vectorize_min_rows)
+    scoring.stream_to_parquet(feats, out,
                               scoring.scratch(spark, "t-ckpt"))
     s = spark.read.parquet(out)
     b = history_features(t)

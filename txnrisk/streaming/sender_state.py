@@ -242,7 +242,8 @@ def _fold_vectorized(st: _SenderState, pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int):
+def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int,
+               vectorize_min_rows: int = VECTORIZE_MIN_ROWS):
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -251,7 +252,7 @@ def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int
         pdf = pd.concat(list(batches), ignore_index=True)
         pdf = pdf.sort_values(["_us", tie], kind="mergesort").reset_index(drop=True)
         in_order = st.last_us is None or int(pdf["_us"].iloc[0]) >= st.last_us
-        if in_order and len(pdf) >= VECTORIZE_MIN_ROWS:
+        if in_order and len(pdf) >= vectorize_min_rows:
             res = _fold_vectorized(st, pdf)
         else:  # small groups and late rows: fold one by one against the state
             feats = [st.step(int(u), float(a), d, loc, r) for u, a, d, loc, r in
@@ -270,7 +271,8 @@ def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int
 
 
 def sender_state_features(events: DataFrame, key: str = "sender_id", tie: str = "txn_id",
-                          watermark: str = "24 hours", idle_seconds: int = STATE_IDLE_SECONDS) -> DataFrame:
+                          watermark: str = "24 hours", idle_seconds: int = STATE_IDLE_SECONDS,
+                          vectorize_min_rows: int = VECTORIZE_MIN_ROWS) -> DataFrame:
     """Streaming DataFrame of events -> events with point-in-time features.
 
     A sender idle for ``idle_seconds`` of event time loses its state (its
@@ -288,5 +290,5 @@ def sender_state_features(events: DataFrame, key: str = "sender_id", tie: str =
     if events.isStreaming:
         ev = ev.withWatermark("ts", watermark)
     return ev.groupBy(key).applyInPandasWithState(
-        _make_fold(key, tie, passthrough, idle_seconds), out_schema, STATE_SCHEMA, "append",
+        _make_fold(key, tie, passthrough, idle_seconds, vectorize_min_rows), out_schema, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
