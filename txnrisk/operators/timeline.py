@@ -72,16 +72,16 @@ class Bucketing:
     Every key uses ``default_seconds`` wide buckets except the hot keys listed
     in ``hot`` (key -> ``_hw`` width in microseconds), which get narrower
     buckets so that no bucket holds much more than the target row count.
-    ``hot`` has at most rows / hot_rows entries.  It is joined without a
-    hint: adaptive execution broadcasts it when its measured size is under
-    the broadcast threshold and otherwise plans a shuffled join whose skewed
-    partitions it splits.
+    ``hot`` is small by construction (see :func:`plan_buckets`); it is
+    broadcast when its counted size allows (``broadcast_hot``), otherwise
+    joined with a shuffle whose skewed partitions adaptive execution splits.
     """
 
     key: str
     ts: str
     default_seconds: int
     hot: DataFrame | None = None
+    broadcast_hot: bool = True
 
     def apply(self, df: DataFrame) -> DataFrame:
         us = F.unix_micros(F.col(self.ts).cast("timestamp"))
@@ -90,22 +90,27 @@ class Bucketing:
         if self.hot is None:
             d = d.withColumn("_w", default_w)
         else:
-            d = (d.join(self.hot, self.key, "left")
+            hot = F.broadcast(self.hot) if self.broadcast_hot else self.hot
+            d = (d.join(hot, self.key, "left")
                  .withColumn("_w", F.coalesce(F.col("_hw"), default_w)).drop("_hw"))
         return d.withColumn("_b", F.floor(F.col("_us") / F.col("_w")).cast("long"))
 
 
 def plan_buckets(df: DataFrame, *, key: str, ts: str, default_seconds: int, min_seconds: int,
-                 hot_rows: int | None = 5_000_000, target_rows: int = 1_000_000) -> Bucketing:
+                 hot_rows: int | None = 5_000_000, target_rows: int = 1_000_000,
+                 max_broadcast_keys: int = 200_000) -> Bucketing:
     """Choose bucket widths: fixed, except for keys with more than ``hot_rows``
     rows, whose width is cut so a bucket holds about ``target_rows`` rows on
     average (never below ``min_seconds``, the longest time lookback).
 
-    The hot-key table is one partial aggregate with at most
-    rows / ``hot_rows`` entries; it is persisted (lazily) because every
-    bucketed branch joins it.  Keys hotter than ``target_rows`` per
-    ``min_seconds`` keep minimum-width buckets (the lookback strip needs that
-    width).
+    The hot-key table comes from one partial aggregate (at most
+    rows / ``hot_rows`` entries).  It is persisted and counted up front, so
+    the broadcast decision rests on its actual size and the rows are never
+    shuffled by key just to attach a width: with no hot key there is no
+    join at all, up to ``max_broadcast_keys`` it is a broadcast join, beyond
+    that a shuffled join with adaptive skew splitting.  Keys hotter than
+    ``target_rows`` per ``min_seconds`` keep minimum-width buckets (the
+    lookback strip needs that width).
     """
     if hot_rows is None:
         return Bucketing(key=key, ts=ts, default_seconds=default_seconds)
@@ -116,8 +121,13 @@ def plan_buckets(df: DataFrame, *, key: str, ts: str, default_seconds: int, min_
     width = F.floor((F.col("_hi") - F.col("_lo")).cast("double") * target_rows / F.col("_n")).cast("long")
     hot = stats.select(key, F.least(F.greatest(width, F.lit(min_seconds * US)),
                                     F.lit(default_seconds * US)).alias("_hw"))
-    return Bucketing(key=key, ts=ts, default_seconds=default_seconds,
-                     hot=hot.persist(StorageLevel.MEMORY_AND_DISK))
+    hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
+    n_hot = hot.count()
+    if n_hot == 0:
+        hot.unpersist()
+        return Bucketing(key=key, ts=ts, default_seconds=default_seconds)
+    return Bucketing(key=key, ts=ts, default_seconds=default_seconds, hot=hot,
+                     broadcast_hot=n_hot <= max_broadcast_keys)
 
 
 def gap_hours(w) -> Column:
