@@ -232,28 +232,29 @@ def running_distinct(txn: DataFrame, other: str, out: str, *, key: str = SENDER,
     """Distinct values of ``other`` seen by the sender up to each row
     (point-in-time form of Device_Count / Receiver_Diversity).
 
-    A row is a first sighting when the pair's running count is 1 (pair
-    offsets + local count); first sightings are then counted with bucket
-    offsets from the pairs' first buckets.  No halo is needed.
+    Each (sender, value) pair's first row comes from a partial aggregate (a
+    *marker*).  Markers are unioned into the sender's (sender, bucket) frames
+    and sorted just before the row they mark, so the distinct count so far is
+    a running sum of markers plus the markers of earlier buckets (a small
+    per-bucket prefix table).  One exchange of the rows; no row-level join.
     """
     bucketing = plan_buckets(txn, key=key, ts=ts, default_seconds=bucket_seconds, min_seconds=60,
                              hot_rows=hot_rows, target_rows=target_rows)
-    d = bucketing.apply(txn.select(key, tie, ts, other)).withColumn("_g", F.col("_b"))
-    pair_w = Window.partitionBy(key, "_g", other).orderBy("_us", tie)
-    poff = pair_offsets(txn, key=key, other=other, ts=ts, bucket_seconds=bucket_seconds, name="p",
-                        bucketing=bucketing)
-    timed = bucketing.apply(txn.select(key, ts, other))
-    firsts = (timed.groupBy(key, other).agg(F.min("_b").alias("_g"))
-              .groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_new")))
-    all_b = timed.groupBy(key, F.col("_b").alias("_g")).agg(F.lit(0).alias("_z"))
-    wg = Window.partitionBy(key).orderBy("_g").rowsBetween(UNBOUNDED, -1)
-    boff = (all_b.join(firsts, [key, "_g"], "left")
-            .select(key, "_g", F.coalesce(F.sum(F.coalesce(F.col("_new"), F.lit(0))).over(wg), F.lit(0))
+    d = bucketing.apply(txn.select(key, tie, ts, other))
+    firsts = (d.groupBy(key, other).agg(F.min(F.struct("_us", tie, "_b")).alias("_f"))
+              .select(key, F.col("_f._b").alias("_b"), F.col("_f._us").alias("_us"),
+                      F.col(f"_f.{tie}").alias(tie)))
+    rows = d.select(key, "_b", "_us", tie, ts, F.lit(0).alias("_m"), F.lit(True).alias("_own"))
+    markers = firsts.select(key, "_b", "_us", tie, F.lit(None).cast(d.schema[ts].dataType).alias(ts),
+                            F.lit(1).alias("_m"), F.lit(False).alias("_own"))
+    w = Window.partitionBy(key, "_b").orderBy("_us", tie, "_own").rowsBetween(UNBOUNDED, 0)
+    local = rows.unionByName(markers).withColumn("_loc", F.sum("_m").over(w)).where(F.col("_own"))
+    # Markers in earlier buckets, for every bucket that has rows.
+    per_bucket = firsts.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_new"))
+    all_b = d.groupBy(key, "_b").agg(F.lit(0).alias("_z"))
+    wg = Window.partitionBy(key).orderBy("_b").rowsBetween(UNBOUNDED, -1)
+    boff = (all_b.join(per_bucket, [key, "_b"], "left")
+            .select(key, "_b", F.coalesce(F.sum(F.coalesce(F.col("_new"), F.lit(0))).over(wg), F.lit(0))
                     .alias("_boff")))
-    f = (d.withColumn("_prn", F.row_number().over(pair_w))
-         .join(poff, [key, "_g", other], "left")
-         .withColumn("_first", F.when(F.coalesce(F.col("_poff_p"), F.lit(0)) + F.col("_prn") == 1, 1)
-                     .otherwise(0)))
-    w = Window.partitionBy(key, "_g").orderBy("_us", tie).rowsBetween(UNBOUNDED, 0)
-    f = f.withColumn("_loc", F.sum("_first").over(w)).join(boff, [key, "_g"], "left")
+    f = local.join(boff, [key, "_b"], "left")
     return f.select(key, tie, ts, (F.coalesce(F.col("_boff"), F.lit(0)) + F.col("_loc")).cast("long").alias(out))
