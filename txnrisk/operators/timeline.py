@@ -25,10 +25,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnrisk.session import materialize
+
 US = 1_000_000
 UNBOUNDED = Window.unboundedPreceding
 
@@ -104,7 +105,7 @@ def plan_buckets(df: DataFrame, *, key: str, ts: str, default_seconds: int, min_
     average (never below ``min_seconds``, the longest time lookback).
 
     The hot-key table comes from one partial aggregate (at most
-    rows / ``hot_rows`` entries).  It is persisted and counted up front, so
+    rows / ``hot_rows`` entries).  It is materialized and counted up front, so
     the broadcast decision rests on its actual size and the rows are never
     shuffled by key just to attach a width: with no hot key there is no
     join at all, up to ``max_broadcast_keys`` it is a broadcast join, beyond
@@ -121,10 +122,9 @@ def plan_buckets(df: DataFrame, *, key: str, ts: str, default_seconds: int, min_
     width = F.floor((F.col("_hi") - F.col("_lo")).cast("double") * target_rows / F.col("_n")).cast("long")
     hot = stats.select(key, F.least(F.greatest(width, F.lit(min_seconds * US)),
                                     F.lit(default_seconds * US)).alias("_hw"))
-    hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
+    hot = materialize(hot)
     n_hot = hot.count()
     if n_hot == 0:
-        hot.unpersist()
         return Bucketing(key=key, ts=ts, default_seconds=default_seconds)
     return Bucketing(key=key, ts=ts, default_seconds=default_seconds, hot=hot,
                      broadcast_hot=n_hot <= max_broadcast_keys)
@@ -166,8 +166,8 @@ def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_i
     bt = bt.withColumn("_next", F.collect_list(F.struct(F.col("_b").alias("b"),
                                                         F.col("_cum").alias("cum")))
                        .over(wk.rowsBetween(1, lookback_rows)))
-    # One row per non-empty (key, bucket), used twice: persisted once.
-    bt = bt.persist(StorageLevel.MEMORY_AND_DISK)
+    # (One row per non-empty (key, bucket); its two readers each recompute the
+    # partial aggregate, which is cheaper than writing and reading it back.)
 
     # Pass A: position inside the bucket, local gap counts, tail rows.
     wa = Window.partitionBy(key, "_b").orderBy("_us", tie)
@@ -182,9 +182,8 @@ def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_i
     near_end = F.col("_us") > (F.col("_b") + 1) * bucket_us - F.lit(range_us)
     # Tail rows feed both the halo copies and the bucket totals.  They are a
     # small table (<= lookback_rows per bucket plus the range strip), so they
-    # are persisted once instead of re-running pass A for each consumer.
-    tails = (a.where((F.col("_rn") > F.col("_n") - lookback_rows) | near_end)
-             .persist(StorageLevel.MEMORY_AND_DISK))
+    # are computed once instead of re-running pass A for each consumer.
+    tails = materialize(a.where((F.col("_rn") > F.col("_n") - lookback_rows) | near_end))
 
     # Halo rows: each tail row is copied to the later buckets that need it.
     nxt = F.explode("_next").alias("_t")

@@ -63,3 +63,12 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written tables)."""
     base = checkpoint_dir(spark)
     return "/".join([base.rstrip("/"), *parts])
+
+
+def materialize(df):
+    """Compute ``df`` once into the shared checkpoint folder and return a
+    DataFrame reading it back: lineage is cut, executors can be lost without
+    recomputing it, and nothing stays cached in memory.  Meant for small
+    intermediate tables that several branches of one plan read."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
