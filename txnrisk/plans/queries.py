@@ -448,14 +448,19 @@ FROM scored s JOIN (SELECT txn_id, {_VALIDATE_SQL} AS msg FROM req2) v ON s.txn_
     "scored AS (", "req AS (" + __import__("txnrisk.plans.oracle_views", fromlist=["VIEWS"]).VIEWS["req"]
     + "), req2 AS (" + _REQ2 + "), scored AS (", 1))
 def q_decide(spark, sf):
-    h = rules.infer_fraud_type(_hist(spark, sf))
-    r = _req2(spark, sf)
-    v = r.select("txn_id", validate.validation_message(
-        F.col("amount"), F.col("txn_type"), F.col("card_number"), F.col("cvv"), F.col("expiry"),
-        F.col("upi_id"), AS_OF).alias("validation_message"))
-    j = h.select("txn_id", "fraud_type", ((F.col("txn_id") * 7919 % 1000) / F.lit(1000.0)).alias("fraud_probability")) \
-        .join(v, "txn_id")
-    d = rules.decide(j, threshold=0.3)
+    """Validate, featurize, name the type and decide, all on the request rows
+    themselves: the request fields ride through the history pass (no join)."""
+    t = fx.with_request_fields(_txn(spark, sf))
+    k = F.col("k")
+    t = t.withColumns({
+        "amount_in": F.when(k == 42, None).when(k == 43, -1.0).when(k == 44, 0.0).otherwise(F.col("amount")),
+        "txn_type_in": F.when(k == 45, None).otherwise(F.col("txn_type"))})
+    t = t.withColumn("validation_message", validate.validation_message(
+        F.col("amount_in"), F.col("txn_type_in"), F.col("card_number"), F.col("cvv"), F.col("expiry"),
+        F.col("upi_id"), AS_OF))
+    h = rules.infer_fraud_type(features.history_features(t))
+    h = h.withColumn("fraud_probability", (F.col("txn_id") * 7919 % 1000) / F.lit(1000.0))
+    d = rules.decide(h, threshold=0.3)
     return _norm(d.select("txn_id", "decision", "reason", "is_fraud_pred"))
 
 
@@ -607,12 +612,12 @@ _PRED_FULL_SQL = f"""SELECT l.txn_id, l.is_fraud, CASE WHEN {_PROB.replace('txn_
 
 
 def _pred_full(spark, sf):
+    """Scored rows: label, prediction, inferred type (errors every 97th row)."""
     t = _txn(spark, sf)
-    inf = rules.infer_fraud_type(features.history_features(t)).select("txn_id", F.col("fraud_type").alias("_ft"))
+    inf = rules.infer_fraud_type(features.history_features(t))
     p = (F.col("txn_id") * 7919 % 1000) / F.lit(1000.0)
-    return t.select("txn_id", "is_fraud").join(inf, "txn_id").select(
-        "txn_id", "is_fraud", F.when(p >= 0.3, 1).otherwise(0).alias("pred_is_fraud"),
-        F.when(F.col("txn_id") % 97 == 0, "Error").otherwise(F.col("_ft")).alias("fraud_type"))
+    return inf.select("txn_id", "is_fraud", F.when(p >= 0.3, 1).otherwise(0).alias("pred_is_fraud"),
+                      F.when(F.col("txn_id") % 97 == 0, "Error").otherwise(F.col("fraud_type")).alias("fraud_type"))
 
 
 def _pred_sql(body: str) -> str:

@@ -96,10 +96,16 @@ def orders_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(txn: DataFrame) -> DataFrame:
     """Payment requests: transactions plus card and UPI fields by formula."""
+    return with_request_fields(txn).select("txn_id", "k", "amount", "txn_type", "card_number", "cvv",
+                                           "expiry", "upi_id")
+
+
+def with_request_fields(txn: DataFrame) -> DataFrame:
+    """The transaction rows with their card and UPI request fields added."""
     k, tid = F.col("k"), F.col("txn_id")
     tail10 = F.lpad((tid * 7919 % 10000000000).cast("string"), 10, "0")
     return txn.select(
-        "txn_id", "k", "amount", "txn_type",
+        "*",
         F.when(k % 17 == 0, F.concat(F.lit("40000"), tail10))
         .otherwise(F.concat(F.lit("400000"), tail10)).alias("card_number"),
         F.when(k % 9 == 0, "12").when(k % 11 == 0, "12a")
