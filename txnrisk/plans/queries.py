@@ -1042,9 +1042,7 @@ def q_retrain(spark, sf):
     from txnrisk.operators import ml
     t = _txn(spark, sf)
     f = ml.hash_split(features.build_features(t), 0.2, 42)
-    fb = fx.feedback(t).select("txn_id", F.when(F.col("is_fraud"), 1).otherwise(0).alias("_fb"))
-    relabelled = (f.where(F.col("split") == "train").join(fb.groupBy("txn_id").agg(F.max("_fb").alias("_fb")), "txn_id", "left")
-                  .withColumn("is_fraud", F.coalesce(F.col("_fb"), F.col("is_fraud"))).drop("_fb"))
+    relabelled = ml.relabel_with_feedback(f.where(F.col("split") == "train"), fx.feedback(t))
     classes = relabelled.agg(F.count_distinct("is_fraud")).first()[0]
     if classes < 2:
         raise ValueError("retraining needs both classes")
