@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.operators import features, rules
-from txnrisk.operators.ledger import apply_feedback, ledger_record
+from txnrisk.operators.ledger import apply_feedback
 from txnrisk.schema import FEATURES, THRESHOLD_DEFAULT
 from txnrisk.session import shared_path
 from txnrisk.streaming.sender_state import sender_state_features
@@ -42,7 +42,7 @@ def replay_source(df: DataFrame, path: str, n_files: int, ts: str = "ts") -> Non
         df.where(cond).coalesce(1).write.mode("append").parquet(path)
 
 
-def stream_to_parquet(stream: DataFrame, out: str, checkpoint: str, trigger_once: bool = True):
+def stream_to_parquet(stream: DataFrame, out: str, checkpoint: str):
     """Append every micro-batch to ``out/epoch=<id>`` and wait for the input to drain."""
     def sink(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
@@ -129,4 +129,4 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 __all__ = ["replay_source", "stream_to_parquet", "model_features", "score_decide", "run_scoring_stream",
-           "run_feedback_stream", "scratch", "ledger_record"]
+           "run_feedback_stream", "scratch"]
