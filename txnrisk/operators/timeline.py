@@ -55,16 +55,6 @@ class Timeline:
     def window(self):
         return Window.partitionBy(self.key, "_g").orderBy("_us", self.tie)
 
-    def running(self, flag: Column) -> Column:
-        """Running sum of ``flag`` over own rows of the bucket (local part)."""
-        return F.sum(F.when(F.col("_own"), flag).otherwise(F.lit(0))).over(
-            self.window().rowsBetween(UNBOUNDED, 0))
-
-
-def with_time(df: DataFrame, ts: str, bucket_seconds: int) -> DataFrame:
-    """Add ``_us`` (event time, microseconds) and ``_b`` (fixed-width bucket)."""
-    return Bucketing(key="", ts=ts, default_seconds=bucket_seconds).apply(df)
-
 
 @dataclass(frozen=True)
 class Bucketing:
@@ -172,12 +162,11 @@ def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_i
     # Pass A: position inside the bucket, local gap counts, tail rows.
     wa = Window.partitionBy(key, "_b").orderBy("_us", tie)
     gh = gap_hours(wa)
-    a = d.withColumn("_rn", F.row_number().over(wa))
-    for name, hours in gap_counters.items():
-        # Local counts skip the bucket's first row (its predecessor lies in an
-        # earlier bucket); that row is added back from the bucket table.
-        a = a.withColumn(f"_in_{name}", F.sum(F.when(gh <= hours, 1).otherwise(0))
-                         .over(wa.rowsBetween(UNBOUNDED, 0)))
+    # Local gap counts skip the bucket's first row (its predecessor lies in an
+    # earlier bucket); that row is added back from the bucket table.
+    a = d.select("*", F.row_number().over(wa).alias("_rn"),
+                 *[F.sum(F.when(gh <= hours, 1).otherwise(0)).over(wa.rowsBetween(UNBOUNDED, 0))
+                   .alias(f"_in_{name}") for name, hours in gap_counters.items()])
     a = a.join(bt.select(key, "_b", "_n", "_cum", "_next"), [key, "_b"])
     near_end = F.col("_us") > (F.col("_b") + 1) * bucket_us - F.lit(range_us)
     # Tail rows feed both the halo copies and the bucket totals.  They are a
