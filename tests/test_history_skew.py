@@ -122,3 +122,23 @@ def test_hot_sender_gets_narrow_buckets(spark, txn):
     none = plan_buckets(txn, key="sender_id", ts="ts", default_seconds=86400, min_seconds=600,
                         hot_rows=10_000)
     assert none.hot is None
+
+
+@pytest.mark.parametrize("bucket_seconds,hot_rows", [(3600, None), (86400, 100)])
+def test_point_in_time_sender_stats(spark, txn, bucket_seconds, hot_rows):
+    """Mean amount, devices and receivers so far equal plain running windows."""
+    h = history_features(txn.na.fill({"device_id": "Unknown"}), bucket_seconds=bucket_seconds,
+                         point_in_time=True, hot_rows=hot_rows, target_rows=20)
+    data = sorted([(r[2], r[1], r[0], r[3], r[4] if r[4] is not None else "Unknown", r[6]) for r in _rows()])
+    got = {r["txn_id"]: r for r in h.collect()}
+    state = {}
+    for snd, _ts, tid, amt, dev, rcv in data:
+        s = state.setdefault(snd, {"sum": 0.0, "n": 0, "dev": set(), "rcv": set()})
+        s["sum"] += amt
+        s["n"] += 1
+        s["dev"].add(dev)
+        s["rcv"].add(rcv)
+        r = got[tid]
+        assert r["_avg_amount"] == pytest.approx(s["sum"] / s["n"])
+        assert r["Device_Count"] == len(s["dev"])
+        assert r["Receiver_Diversity"] == len(s["rcv"])

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions import geo, scalar
 from txnrisk.operators.clean import attach_one_row
-from txnrisk.operators.timeline import UNBOUNDED, US, build_timeline, pair_offsets, plan_buckets
+from txnrisk.operators.timeline import (UNBOUNDED, US, build_timeline, first_sighting_offsets, pair_offsets,
+                                       plan_buckets)
 from txnrisk.schema import (AMOUNT, DEVICE, FEATURES, FIRST_GAP_HOURS, FIRST_GAP_MINUTES,
                             GAP_COUNT_HOURS, LOCATION, MERCHANT, MERCHANT_TYPES, RAPID_GAP_HOURS,
                             RECEIVER, ROLLING_ROWS, SENDER, TS, TXN_ID, TXN_TYPE, TXN_TYPES,
@@ -38,7 +39,7 @@ def sender_totals(txn: DataFrame, key: str = SENDER) -> DataFrame:
 
 
 def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: str = TXN_ID,
-                     bucket_seconds: int = DAY_SECONDS, totals: bool = True,
+                     bucket_seconds: int = DAY_SECONDS, totals: bool = True, point_in_time: bool = False,
                      hot_rows: int | None = HOT_ROWS, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Add the point-in-time history features to every transaction row.
 
@@ -47,7 +48,11 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
     Amount_Rolling_Std_10, Is_New_Device, Location_Distance_Km,
     Is_Unusual_Location, Location_Speed_Kmh, Is_High_Speed,
     Receiver_Frequency, Is_First_Time_Receiver, Txn_Count_Last_10_Min and,
-    with ``totals``, _avg_amount, Device_Count, Receiver_Diversity.
+    with ``totals``, _avg_amount, Device_Count, Receiver_Diversity over the
+    sender's whole history.  With ``point_in_time`` the last three count
+    only the sender's history up to and including each row (mean amount so
+    far, devices and receivers seen so far), as training and streaming need.
+    Id columns are expected non-null (``clean.fill_missing`` first).
     """
     carry = [c for c in txn.columns if c not in (key, tie)]
     counters = {f"{h}h": float(h) for h in GAP_COUNT_HOURS}
@@ -56,7 +61,8 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
     tl = build_timeline(txn, key=key, ts=ts, tie=tie, carry=carry,
                         lookback_rows=ROLLING_ROWS, lookback_seconds=VELOCITY_WINDOW_SECONDS,
                         bucket_seconds=bucket_seconds, gap_counters=counters,
-                        first_gap_hours=FIRST_GAP_HOURS, bucketing=bucketing)
+                        first_gap_hours=FIRST_GAP_HOURS, bucketing=bucketing,
+                        sum_columns=(AMOUNT,) if point_in_time else ())
     w = tl.window()
     roll = w.rowsBetween(-(ROLLING_ROWS - 1), 0)
     run = w.rowsBetween(UNBOUNDED, 0)
@@ -91,16 +97,42 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
         *[F.sum(F.when(own & (tdh <= float(h)), 1).otherwise(0)).over(run).alias(f"_local_{h}h")
           for h in GAP_COUNT_HOURS],
         F.sum(F.when(own, 1).otherwise(0)).over(recv_w).alias("_local_recv"),
+        *([F.sum(F.when(own, 1).otherwise(0)).over(
+            Window.partitionBy(key, "_g", DEVICE).orderBy("_us", tie).rowsBetween(UNBOUNDED, 0))
+           .alias("_local_dev"),
+           F.sum(F.when(own, F.col(AMOUNT)).otherwise(0.0)).over(run).alias("_local_amt")]
+          if point_in_time else []),
     )
     f = f.where(F.col("_own"))
 
     buckets = tl.buckets
-    if totals:
+    if totals and not point_in_time:
         buckets = buckets.join(sender_totals(txn, key), key, "left")
-    f = f.join(buckets, [key, "_g"], "left")
     poff = pair_offsets(txn, key=key, other=RECEIVER, ts=ts, bucket_seconds=bucket_seconds,
                         name="recv", bucketing=bucketing)
+    if point_in_time:
+        dpoff = pair_offsets(txn, key=key, other=DEVICE, ts=ts, bucket_seconds=bucket_seconds,
+                             name="dev", bucketing=bucketing)
+        buckets = (buckets.join(first_sighting_offsets(tl.buckets, poff, key=key, name="recv"), [key, "_g"], "left")
+                   .join(first_sighting_offsets(tl.buckets, dpoff, key=key, name="dev"), [key, "_g"], "left"))
+    f = f.join(buckets, [key, "_g"], "left")
     f = f.join(poff, [key, "_g", RECEIVER], "left")
+    if point_in_time:
+        # First sightings: the pair's offset and its local count are both 0
+        # before this row.  Their running sums (same frames, one more window
+        # pass) plus earlier buckets' sightings give the distinct counts so far.
+        f = f.join(dpoff, [key, "_g", DEVICE], "left")
+        first_recv = (F.coalesce(F.col("_poff_recv"), F.lit(0)) + F.col("_local_recv")) == 1
+        first_dev = (F.coalesce(F.col("_poff_dev"), F.lit(0)) + F.col("_local_dev")) == 1
+        own_run = w.rowsBetween(UNBOUNDED, 0)
+        f = f.select("*",
+                     F.sum(F.when(first_recv, 1).otherwise(0)).over(own_run).alias("_loc_rdiv"),
+                     F.sum(F.when(first_dev, 1).otherwise(0)).over(own_run).alias("_loc_ddiv"))
+        n_so_far = F.col("_cum") + F.col("_local_n")
+        f = f.withColumns({
+            "_avg_amount": (F.col(f"_offsum_{AMOUNT}") + F.col("_local_amt")) / n_so_far,
+            "Device_Count": (F.col("_foff_dev") + F.col("_loc_ddiv")).cast("long"),
+            "Receiver_Diversity": (F.col("_foff_recv") + F.col("_loc_rdiv")).cast("long")})
 
     dist = geo.location_distance_km(F.col(LOCATION), F.col("_prev_location"))
     freq = (F.coalesce(F.col("_poff_recv"), F.lit(0)) + F.col("_local_recv")).cast("long")
@@ -175,19 +207,22 @@ def standardize(df: DataFrame, stats: DataFrame, col: str = AMOUNT,
 
 
 def build_features(txn: DataFrame, *, amount_scale: str = "raw", scaler: DataFrame | None = None,
-                   keep: list[str] | None = None, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                   keep: list[str] | None = None, bucket_seconds: int = DAY_SECONDS,
+                   point_in_time: bool = False) -> DataFrame:
     """The 44-feature matrix (plus ``keep`` columns), one row per transaction.
 
     ``amount_scale="raw"`` computes every amount feature on the raw amount and
     reports the raw amount; ``"standardized"`` standardizes the amount first
     (with ``scaler`` stats, fitted on ``txn`` when not given) and computes the
     amount features on the standardized value, as the coded reference does.
+    ``point_in_time`` uses only each row's past for the sender mean, device
+    count and receiver diversity (for training without look-ahead).
     """
     base = txn
     if amount_scale == "standardized":
         stats = scaler if scaler is not None else fit_standardizer(txn)
         base = standardize(txn, stats)
-    hist = history_features(base)
+    hist = history_features(base, bucket_seconds=bucket_seconds, point_in_time=point_in_time)
     feats = amount_stats(row_features(hist)).withColumn("Amount", F.col(AMOUNT))
     types = dict(feats.dtypes)
     keep = keep if keep is not None else [TXN_ID, "is_fraud"]

@@ -128,13 +128,15 @@ def gap_hours(w) -> Column:
 def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_id",
                    carry: list[str], lookback_rows: int, lookback_seconds: int,
                    bucket_seconds: int, gap_counters: dict[str, float] | None = None,
-                   first_gap_hours: float = 24.0, bucketing: Bucketing | None = None) -> Timeline:
+                   first_gap_hours: float = 24.0, bucketing: Bucketing | None = None,
+                   sum_columns: tuple[str, ...] = ()) -> Timeline:
     """Split ``df`` into (key, bucket) frames with halos and bucket offsets.
 
     ``gap_counters`` maps a name to an hour threshold: the bucket table gets
     ``_off_<name>``, the number of the key's rows in earlier buckets whose
     gap to their predecessor is at most the threshold (a key's first row
-    counts with ``first_gap_hours``).
+    counts with ``first_gap_hours``).  Each column in ``sum_columns`` gets
+    ``_offsum_<column>``, its sum over the key's earlier buckets.
     """
     if lookback_seconds > bucket_seconds:
         raise ValueError("lookback_seconds must not exceed bucket_seconds")
@@ -149,10 +151,12 @@ def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_i
     wk = Window.partitionBy(key).orderBy("_b")
     bt = (d.groupBy(key, "_b")
           .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_first_us"),
-               F.max("_us").alias("_last_us")))
-    bt = (bt.withColumn("_cum", F.coalesce(F.sum("_n").over(wk.rowsBetween(UNBOUNDED, -1)),
-                                           F.lit(0)).cast("long"))
-          .withColumn("_prev_last_us", F.lag("_last_us").over(wk)))
+               F.max("_us").alias("_last_us"), *[F.sum(c).alias(f"_bsum_{c}") for c in sum_columns]))
+    earlier = wk.rowsBetween(UNBOUNDED, -1)
+    bt = bt.withColumns({
+        "_cum": F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long"),
+        "_prev_last_us": F.lag("_last_us").over(wk),
+        **{f"_offsum_{c}": F.coalesce(F.sum(f"_bsum_{c}").over(earlier), F.lit(0)) for c in sum_columns}})
     bt = bt.withColumn("_next", F.collect_list(F.struct(F.col("_b").alias("b"),
                                                         F.col("_cum").alias("cum")))
                        .over(wk.rowsBetween(1, lookback_rows)))
@@ -187,7 +191,8 @@ def build_timeline(df: DataFrame, *, key: str, ts: str = "ts", tie: str = "txn_i
     frames = own.unionByName(halo)
 
     # Bucket offsets: exclusive prefix sums of per-bucket totals.
-    buckets = bt.select(key, F.col("_b").alias("_g"), "_cum", "_first_us", "_prev_last_us")
+    buckets = bt.select(key, F.col("_b").alias("_g"), "_cum", "_first_us", "_prev_last_us",
+                        *[f"_offsum_{c}" for c in sum_columns])
     if gap_counters:
         last = (tails.where(F.col("_rn") == F.col("_n"))
                 .select(key, F.col("_b").alias("_g"),
@@ -221,3 +226,16 @@ def pair_offsets(df: DataFrame, *, key: str, other: str, ts: str,
     w = Window.partitionBy(key, other).orderBy("_b").rowsBetween(UNBOUNDED, -1)
     return pc.select(key, other, F.col("_b").alias("_g"),
                      F.coalesce(F.sum("_pn").over(w), F.lit(0)).cast("long").alias(f"_poff_{name}"))
+
+
+
+def first_sighting_offsets(buckets: DataFrame, poff: DataFrame, *, key: str, name: str) -> DataFrame:
+    """Per (key, bucket) of ``buckets``: how many distinct values of a pair
+    table were first seen in earlier buckets (``_foff_<name>``).  A pair's
+    first bucket is where its offset is 0.  Small tables only."""
+    firsts = (poff.where(F.col(f"_poff_{name}") == 0)
+              .groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_new")))
+    w = Window.partitionBy(key).orderBy("_g").rowsBetween(UNBOUNDED, -1)
+    return (buckets.select(key, "_g").join(firsts, [key, "_g"], "left")
+            .select(key, "_g", F.coalesce(F.sum(F.coalesce(F.col("_new"), F.lit(0))).over(w), F.lit(0))
+                    .cast("long").alias(f"_foff_{name}")))

@@ -280,6 +280,28 @@ def q_matrix(spark, sf):
     return _norm(features.build_features(_txn(spark, sf)))
 
 
+_HIST_PIT = """
+SELECT * REPLACE (
+ avg(amount) OVER w AS avg_amount,
+ CAST(sum(CASE WHEN dn = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS Device_Count,
+ CAST(sum(CASE WHEN Receiver_Frequency = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS Receiver_Diversity)
+FROM (SELECT *, row_number() OVER (PARTITION BY sender_id, device_id ORDER BY ts, txn_id) AS dn FROM hist)
+WINDOW w AS (PARTITION BY sender_id ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def _matrix_pit_sql() -> str:
+    body = _MATRIX_SQL[_MATRIX_SQL.rindex("\nSELECT txn_id, CAST(is_fraud"):]
+    ctes = _MATRIX_SQL[: _MATRIX_SQL.rindex("\nSELECT txn_id, CAST(is_fraud")]
+    return ctes + f",\nhist_p AS ({_HIST_PIT})" + body.replace("FROM hist", "FROM hist_p")
+
+
+@query("feature_matrix_point_in_time", _matrix_pit_sql())
+def q_matrix_pit(spark, sf):
+    """The 44 features with the sender mean, device count and receiver
+    diversity taken over each row's past only (training without look-ahead)."""
+    return _norm(features.build_features(_txn(spark, sf), point_in_time=True))
+
+
 @query("feature_profile", with_views("""
 SELECT CAST(count(*) AS BIGINT) AS n_rows, avg(CAST(is_fraud AS DOUBLE)) AS fraud_ratio, CAST(44 AS BIGINT) AS n_features FROM txn""", "txn"))
 def q_feature_profile(spark, sf):
