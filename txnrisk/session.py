@@ -35,6 +35,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.showConsoleProgress", "false")
         # Joins on (sender, bucket, x) may reuse a (sender, bucket) partitioning.
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        # Checkpointed intermediates are removed once their DataFrames are gone.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TXNRISK_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
