@@ -44,3 +44,19 @@ def test_stream_feedback_equals_batch(spark):
     got = entry.queries()["stream_feedback"](spark, SF_SMALL).toPandas()
     want = duck(SF_SMALL).execute(entry.oracle_sql()["apply_feedback"]).df()
     assert compare(got, want) is None
+
+
+def test_json_transaction_stream(spark):
+    """A9: one JSON transaction per line, read as a stream with the canonical schema."""
+    from txnrisk.sources import io
+    t = fx.transactions(spark, SF_SMALL).select(
+        F.col("txn_id").cast("string").alias("txn_id"), "ts", "amount", "sender_id", "receiver_id", "txn_type",
+        "merchant_type", "device_id", "location", "is_fraud")
+    src, out = scoring.scratch(spark, "json-src"), scoring.scratch(spark, "json-out")
+    t.write.json(src)
+    stream = io.read_transaction_stream(spark, src, fmt="json", max_files_per_trigger=4)
+    scoring.stream_to_parquet(sender_state_features(stream, idle_seconds=400 * 86400), out,
+                              scoring.scratch(spark, "json-ckpt"))
+    got = spark.read.parquet(out)
+    assert got.count() == t.count()
+    assert got.where(F.col("Txn_Count_Total") < 1).count() == 0
