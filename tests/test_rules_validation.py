@@ -115,3 +115,14 @@ def test_risk_meters(spark):
 def test_mask_card(spark):
     r = spark.range(1).select(validate.mask_card(F.lit("4111111111111111")).alias("m")).first()
     assert r["m"] == "411111******1111"
+
+
+def test_timestamp_and_label_parsing(spark):
+    from txnrisk.operators.clean import cast_label, parse_timestamp
+    df = spark.createDataFrame([("2025-08-29 11:00:11", "1"), ("2025-11-23T23:45:00.000Z", "True"),
+                                ("2025-11-23T23:45:00", "true"), ("not a time", "0"), (None, "false")],
+                               "t string, l string")
+    got = df.select(parse_timestamp(F.col("t")).alias("ts"), cast_label(F.col("l")).alias("y")).collect()
+    assert [str(r["ts"]) if r["ts"] else None for r in got] == [
+        "2025-08-29 11:00:11", "2025-11-23 23:45:00", "2025-11-23 23:45:00", None, None]
+    assert [r["y"] for r in got] == [1, 1, 1, 0, 0]
