@@ -5,7 +5,7 @@ The test tables are not payment data, so a payment view is derived from
 deterministic function of the row's own keys, so the view is a narrow
 projection: no shuffle, and Parquet pruning keeps only the six read columns.
 
-The same formulas exist as DuckDB SQL in ``txnrisk.plans.oracle`` so
+The same formulas exist as DuckDB SQL in ``txnrisk.plans.oracle_views`` so
 results can be compared engine to engine.
 """
 
