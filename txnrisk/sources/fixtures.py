@@ -3,7 +3,9 @@
 The test tables are not payment data, so a payment view is derived from
 ``events`` by formula (see FIXTURES.md §2).  Every derived column is a
 deterministic function of the row's own keys, so the view is a narrow
-projection: no shuffle, and Parquet pruning keeps only the six read columns.
+projection over the scan (Parquet pruning keeps only the columns a query
+needs).  An input read as fewer partitions than the session's parallelism (a
+single-row-group file) is first spread round-robin; large inputs are not.
 
 The same formulas exist as DuckDB SQL in ``txnrisk.plans.oracle_views`` so
 results can be compared engine to engine.
