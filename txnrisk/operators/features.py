@@ -89,14 +89,12 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
                        "Time_Since_Last_Txn": F.coalesce(F.col("_gap_m"), F.lit(FIRST_GAP_MINUTES))})
     # Pass 2: sums of gap flags (they need pass 1's lag); same spec, same sort.
     tdh = F.col("Time_Diff_Hours")
-    recv_w = Window.partitionBy(key, "_g", RECEIVER).orderBy("_us", tie).rowsBetween(UNBOUNDED, 0)
     f = f.select(
         "*",
         F.sum(F.when(tdh <= RAPID_GAP_HOURS, 1).otherwise(0)).over(roll).cast("long")
         .alias("Rapid_Txn_Count_Last_1H"),
         *[F.sum(F.when(own & (tdh <= float(h)), 1).otherwise(0)).over(run).alias(f"_local_{h}h")
           for h in GAP_COUNT_HOURS],
-        F.sum(F.when(own, 1).otherwise(0)).over(recv_w).alias("_local_recv"),
         *([F.sum(F.when(own, 1).otherwise(0)).over(
             Window.partitionBy(key, "_g", DEVICE).orderBy("_us", tie).rowsBetween(UNBOUNDED, 0))
            .alias("_local_dev"),
@@ -116,13 +114,13 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
         buckets = (buckets.join(first_sighting_offsets(tl.buckets, poff, key=key, name="recv"), [key, "_g"], "left")
                    .join(first_sighting_offsets(tl.buckets, dpoff, key=key, name="dev"), [key, "_g"], "left"))
     f = f.join(buckets, [key, "_g"], "left")
-    f = f.join(poff, [key, "_g", RECEIVER], "left")
+    f = _receiver_running_count(f, poff, key=key, tie=tie)
     if point_in_time:
         # First sightings: the pair's offset and its local count are both 0
         # before this row.  Their running sums (same frames, one more window
         # pass) plus earlier buckets' sightings give the distinct counts so far.
         f = f.join(dpoff, [key, "_g", DEVICE], "left")
-        first_recv = (F.coalesce(F.col("_poff_recv"), F.lit(0)) + F.col("_local_recv")) == 1
+        first_recv = F.col("_recv_n") == 1
         first_dev = (F.coalesce(F.col("_poff_dev"), F.lit(0)) + F.col("_local_dev")) == 1
         own_run = w.rowsBetween(UNBOUNDED, 0)
         f = f.select("*",
@@ -135,7 +133,7 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
             "Receiver_Diversity": (F.col("_foff_recv") + F.col("_loc_rdiv")).cast("long")})
 
     dist = geo.location_distance_km(F.col(LOCATION), F.col("_prev_location"))
-    freq = (F.coalesce(F.col("_poff_recv"), F.lit(0)) + F.col("_local_recv")).cast("long")
+    freq = F.col("_recv_n").cast("long")
     out = f.withColumns({
         "Txn_Count_Total": (F.col("_cum") + F.col("_local_n")).cast("long"),
         "Receiver_Frequency": freq,
@@ -157,6 +155,26 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
     return out.drop(*drop)
 
 
+def _receiver_running_count(f: DataFrame, poff: DataFrame, *, key: str, tie: str) -> DataFrame:
+    """Running count per (sender, receiver) over the whole history, as ``_recv_n``.
+
+    Each (sender, receiver, bucket) with earlier occurrences becomes one
+    *offset marker* carrying that count.  Markers are hash-partitioned like
+    the rows, (sender, bucket) into the session's shuffle partitions, so the
+    union keeps the rows' partitioning.  A running sum over
+    (sender, bucket, receiver) then starts at the offset: no row-level join.
+    """
+    n = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    markers = (poff.where(F.col("_poff_recv") > 0)
+               .select(key, "_g", RECEIVER, F.col("_poff_recv").alias("_wt"), F.lit(False).alias("_row"))
+               .repartition(n, key, "_g"))
+    rows = f.withColumns({"_wt": F.lit(1).cast("long"), "_row": F.lit(True)})
+    u = rows.unionByName(markers, allowMissingColumns=True)
+    w = (Window.partitionBy(key, "_g", RECEIVER).orderBy(F.col("_row"), "_us", tie)
+         .rowsBetween(UNBOUNDED, 0))
+    return u.withColumn("_recv_n", F.sum("_wt").over(w)).where(F.col("_row")).drop("_wt", "_row")
+
+
 def row_features(df: DataFrame, amount_col: str = AMOUNT) -> DataFrame:
     """Per-row features: time of day, amount shape, id flags, one-hot types."""
     ts = F.col(TS)
