@@ -142,3 +142,17 @@ def test_point_in_time_sender_stats(spark, txn, bucket_seconds, hot_rows):
         assert r["_avg_amount"] == pytest.approx(s["sum"] / s["n"])
         assert r["Device_Count"] == len(s["dev"])
         assert r["Receiver_Diversity"] == len(s["rcv"])
+
+
+def test_no_row_exchange_on_pair_keys(spark, txn):
+    """Pair running counts use co-partitioned offset markers: no exchange on
+    (sender, bucket, receiver/device), whatever the co-partition setting."""
+    import re
+    old = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+    try:
+        plan = history_features(txn, point_in_time=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", old)
+    keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)]
+    assert not any(k.startswith("sender_id, _g, ") and ("receiver_id" in k or "device_id" in k) for k in keys), keys

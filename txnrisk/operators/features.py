@@ -95,10 +95,7 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
         .alias("Rapid_Txn_Count_Last_1H"),
         *[F.sum(F.when(own & (tdh <= float(h)), 1).otherwise(0)).over(run).alias(f"_local_{h}h")
           for h in GAP_COUNT_HOURS],
-        *([F.sum(F.when(own, 1).otherwise(0)).over(
-            Window.partitionBy(key, "_g", DEVICE).orderBy("_us", tie).rowsBetween(UNBOUNDED, 0))
-           .alias("_local_dev"),
-           F.sum(F.when(own, F.col(AMOUNT)).otherwise(0.0)).over(run).alias("_local_amt")]
+        *([F.sum(F.when(own, F.col(AMOUNT)).otherwise(0.0)).over(run).alias("_local_amt")]
           if point_in_time else []),
     )
     f = f.where(F.col("_own"))
@@ -114,14 +111,14 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
         buckets = (buckets.join(first_sighting_offsets(tl.buckets, poff, key=key, name="recv"), [key, "_g"], "left")
                    .join(first_sighting_offsets(tl.buckets, dpoff, key=key, name="dev"), [key, "_g"], "left"))
     f = f.join(buckets, [key, "_g"], "left")
-    f = _receiver_running_count(f, poff, key=key, tie=tie)
+    f = _pair_running_count(f, poff, key=key, tie=tie, other=RECEIVER, name="recv")
     if point_in_time:
         # First sightings: the pair's offset and its local count are both 0
         # before this row.  Their running sums (same frames, one more window
         # pass) plus earlier buckets' sightings give the distinct counts so far.
-        f = f.join(dpoff, [key, "_g", DEVICE], "left")
+        f = _pair_running_count(f, dpoff, key=key, tie=tie, other=DEVICE, name="dev")
         first_recv = F.col("_recv_n") == 1
-        first_dev = (F.coalesce(F.col("_poff_dev"), F.lit(0)) + F.col("_local_dev")) == 1
+        first_dev = F.col("_dev_n") == 1
         own_run = w.rowsBetween(UNBOUNDED, 0)
         f = f.select("*",
                      F.sum(F.when(first_recv, 1).otherwise(0)).over(own_run).alias("_loc_rdiv"),
@@ -155,24 +152,25 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
     return out.drop(*drop)
 
 
-def _receiver_running_count(f: DataFrame, poff: DataFrame, *, key: str, tie: str) -> DataFrame:
-    """Running count per (sender, receiver) over the whole history, as ``_recv_n``.
+def _pair_running_count(f: DataFrame, poff: DataFrame, *, key: str, tie: str, other: str,
+                        name: str) -> DataFrame:
+    """Running count per (sender, ``other``) over the whole history, as ``_<name>_n``.
 
-    Each (sender, receiver, bucket) with earlier occurrences becomes one
+    Each (sender, value, bucket) with earlier occurrences becomes one
     *offset marker* carrying that count.  Markers are hash-partitioned like
     the rows, (sender, bucket) into the session's shuffle partitions, so the
     union keeps the rows' partitioning.  A running sum over
-    (sender, bucket, receiver) then starts at the offset: no row-level join.
+    (sender, bucket, value) then starts at the offset: no row-level join.
     """
     n = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    markers = (poff.where(F.col("_poff_recv") > 0)
-               .select(key, "_g", RECEIVER, F.col("_poff_recv").alias("_wt"), F.lit(False).alias("_row"))
+    markers = (poff.where(F.col(f"_poff_{name}") > 0)
+               .select(key, "_g", other, F.col(f"_poff_{name}").alias("_wt"), F.lit(False).alias("_row"))
                .repartition(n, key, "_g"))
     rows = f.withColumns({"_wt": F.lit(1).cast("long"), "_row": F.lit(True)})
     u = rows.unionByName(markers, allowMissingColumns=True)
-    w = (Window.partitionBy(key, "_g", RECEIVER).orderBy(F.col("_row"), "_us", tie)
+    w = (Window.partitionBy(key, "_g", other).orderBy(F.col("_row"), "_us", tie)
          .rowsBetween(UNBOUNDED, 0))
-    return u.withColumn("_recv_n", F.sum("_wt").over(w)).where(F.col("_row")).drop("_wt", "_row")
+    return u.withColumn(f"_{name}_n", F.sum("_wt").over(w)).where(F.col("_row")).drop("_wt", "_row")
 
 
 def row_features(df: DataFrame, amount_col: str = AMOUNT) -> DataFrame:
