@@ -1050,8 +1050,8 @@ def q_one_hot_learned(spark, sf):
     """Indexer + one-hot over the six categoricals, ids included, fit on train."""
     from pyspark.ml.functions import vector_to_array
     from txnrisk.operators import ml
-    t = ml.hash_split(_txn(spark, sf), 0.2, 42)
     cats = _OHE_CATS
+    t = ml.hash_split(clean.clean_ids(_txn(spark, sf), numeric=["amount"], categorical=cats), 0.2, 42)
     model = ml.learned_one_hot(cats).fit(t.where(F.col("split") == "train"))
     out = model.transform(t)
     return _norm(out.select("txn_id", *[F.size(vector_to_array(f"{c}_ohe")).alias(f"{c}_width") for c in cats],
