@@ -24,11 +24,13 @@ from txnrisk.llm.common import staged
 from txnrisk.session import shared_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Bounds what all state stores of an executor hold in memory.
+#: Bounds what all state stores of an executor hold in memory, and lets their
+#: many small files take only the disk they fill.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 #: The hot digests' rows are spread over this many keys when their bytes are compared.
