@@ -1,18 +1,54 @@
-"""Corpus pipeline: the stages that turn raw documents into token ids."""
+"""Corpus pipeline: the stages that turn raw documents into token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet under the shared folder and read again as the next one's
+documents.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from txnrisk.llm import exact_dedup
+from txnrisk.llm import exact_dedup, jaccard_join, quality_pu, sentencepiece_codec, source_mix
 from txnrisk.llm.common import staged
 
+#: Documents scored under this are rejected.
+LEAST_QUALITY = 0.3
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
+    model = quality_pu.train(docs.where(learn), labels.where(learn))
+    return quality_pu.score(docs, model).where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of equal texts."""
     return exact_dedup.keep_documents(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every component of near-duplicates."""
+    return jaccard_join.keep_one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources repeated or thinned to their target weights, shuffled globally."""
+    return source_mix.mix_sources(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and the digests of the round trip."""
+    return sentencepiece_codec.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(TOKENIZER),
+                                                columns=("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near_duplicates),
+          ("source mix", mix), ("SentencePiece encoding", encode)]
 
 #: A trained classifier and a tokenizer are not expressible in SQL.
 ORACLE_SQL = None

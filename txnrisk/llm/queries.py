@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from txnrisk.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, substring_dedup
+from txnrisk.llm import (embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, quality_pu, sentencepiece_codec,
+                         source_mix, substring_dedup, toxicity_knn)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +36,19 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def held_out_fifth():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality_pu.train(docs.where(~held_out_fifth()), labels.where(~held_out_fifth()))
+    score = F.col("quality_score")
+    return (quality_pu.score(docs.select("doc_id", "text"), model)
+            .select("doc_id", held_out_fifth().alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted")))
+
+
 @query()
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
@@ -78,6 +93,38 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("""
+WITH RECURSIVE s AS (SELECT source IS NULL AS no_source, coalesce(source, '') AS name, count(*) AS n FROM documents GROUP BY 1, 2),
+t AS (SELECT sum(n)::DOUBLE AS all_n, sum(sqrt(n)) AS all_w FROM s),
+r AS (SELECT no_source, name, all_n / all_w * sqrt(n) / n AS rate FROM s, t),
+c AS (SELECT no_source, name, rate, 0 AS j, exp(-rate) AS p, exp(-rate) AS c FROM r
+      UNION ALL SELECT no_source, name, rate, j + 1, p * rate / (j + 1), c + p * rate / (j + 1) FROM c WHERE j < 80),
+d AS (SELECT doc_id, source, ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null') || '|2024|0'), 1, 13))::BIGINT
+             / 4503599627370496.0 AS u FROM documents),
+k AS (SELECT doc_id, source, count(*) AS n FROM d JOIN c ON c.no_source = (source IS NULL) AND c.name = coalesce(source, '') AND c.c <= d.u
+      GROUP BY ALL)
+SELECT doc_id, source, unnest(range(n))::INTEGER AS copy FROM k
+""")
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "source", F.col("__copy").alias("copy"))
+
+
+@query()
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(
+        _read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"),
+        columns=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity_knn.train(docs, labels.where(~held_out_fifth()))
+    return (toxicity_knn.score(docs.select("doc_id", "text"), model)
+            .select("doc_id", held_out_fifth().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                    "neighbours", "terms"))
+
+
 @query()
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(_read(spark, sf_dir, "documents"))
