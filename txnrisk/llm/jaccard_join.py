@@ -4,19 +4,26 @@ Documents are sets of distinct ``words``-word shingles; two link when
 ``100 * |A & B| >= percent * |A | B|``.  The result is every document's
 component under those links.
 
-1. One pass over the texts deals (shingle, document) entries into buckets by
-   shingle hash.  A bucket keeps the entries of shingles that more than one
-   document has: the corpus-level row of the matrix.  A document with fewer
-   than ``percent`` of its shingles kept cannot link and is done.
+1. The whole corpus as one group: a merged sketch tells which shingles occur
+   at least twice (overestimating).  A document with fewer than ``percent`` of
+   its shingles among them cannot link and is done.  The others' entries
+   (shingle, document) are dealt into buckets by shingle hash, which keep
+   exactly those shingles that more than one of them has; the same bound is
+   applied again.
 2. Documents with equal sets collapse to one.  The others are grouped by
    minimum hashes, each member is compared with its group's first document,
    and linked ones make up the groups (components of verified links).
-3. Token-group matrix: for the rarest tokens of every document (the prefix
-   that two linked sets must share) the groups holding them.  Tokens of one
-   group only need no further work, which ends it for most documents.
-   Otherwise the document's overlap with a group's token union bounds its
-   overlap with every member: groups under ``percent`` stay closed.  In open
-   groups the members sharing a prefix token are compared exactly.
+3. Token-group matrix: the union of every group's prefix tokens, as (token,
+   group) rows.  Linked sets of n and m tokens share a tenth of min(n, m)
+   tokens within their prefixes (see ``prefixes``), so a document's
+   overlap with a group's union bounds what it can share with any member.
+   Tokens that one group has alone, then documents with too few others, then
+   groups under the bound drop out.  A document is compared with the heads of
+   its qualifying groups first; only groups that qualify even after the merges
+   are opened and their members compared exactly.
+
+The sketch has a fixed size; when a corpus outgrows it more documents pass to
+the exact bucket step, with the same result.
 
 Every pair of linked sets is either compared or already in one component, so
 components are exact; shingles are told apart by 48 bits beside their bucket.
@@ -36,14 +43,16 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from txnrisk.llm import common
+from txnrisk.llm import common, countmin
 from txnrisk.llm.common import staged
 from txnrisk.llm.components import connected_components
 
 #: Text bytes whose shingles meet in one bucket.
 BUCKET_TEXT_BYTES = 8 << 20
+#: log2 of the sketch's cells; its bitmap (2 ** SKETCH_BITS / 8 bytes) is broadcast.
+SKETCH_BITS = 28
 #: Minimum hashes that documents are grouped by.
 GROUPINGS = 4
 LOW48 = (1 << 48) - 1
@@ -64,10 +73,23 @@ def shingle_sets(data, offsets, words: int):
             yield np.zeros(0, np.uint64)
 
 
-def deal_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+def shingle_sketch(docs: DataFrame, words: int) -> list[np.ndarray]:
+    """The bitmap of sketch cells that two or more (shingle, document) pairs fall in."""
+
+    def count(batches):
+        sets = (np.concatenate(list(shingle_sets(data, offsets, words)))
+                for batch in batches for _, data, offsets in common.text_chunks(batch.column("text")))
+        yield from countmin.sketch_batches(sets, 1, SKETCH_BITS)
+
+    return countmin.merged_bitmaps(docs.select("text").mapInArrow(count, countmin.SCHEMA), 1, SKETCH_BITS)
+
+
+def deal_shingles(docs: DataFrame, words: int, percent: int, bitmaps, buckets: int) -> DataFrame:
     """(bucket, chunk, entries): per chunk of documents and bucket the packed
-    entries shingle48 << 16 | row of the chunk.  A row with bucket -1 - b has
-    the chunk's documents instead (id, size, set digest)."""
+    entries shingle48 << 16 | row of the chunk, for documents that the sketch
+    leaves in.  A row with bucket -1 - b has all the chunk's documents (id,
+    size, set digest)."""
+    repeated = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def deal(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -80,10 +102,13 @@ def deal_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                 value = ids.slice(lo, len(sets)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 about = b"".join(struct.pack("<q?q", v, k, len(s)) + d for v, k, s, d in zip(value, known, sets, digest))
+                size = np.array([len(s) for s in sets])
+                twice = np.append(0, np.cumsum(countmin.estimated_twice(repeated.value, np.concatenate(sets), SKETCH_BITS)))
+                twice = np.diff(twice[np.append(0, np.cumsum(size))])
                 once, own = {}, np.zeros(len(sets), dtype=bool)
                 for i, d in enumerate(digest):  # equal sets of a chunk are dealt once
-                    own[i] = known[i] and once.setdefault(d, i) == i
-                row = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) * o for s, o in zip(sets, own)])
+                    own[i] = known[i] and 100 * twice[i] >= percent * size[i] and once.setdefault(d, i) == i
+                row = np.repeat(np.arange(len(sets), dtype=np.uint64), size * own)
                 token = np.concatenate([s for s, o in zip(sets, own) if o] or [np.zeros(0, np.uint64)])
                 bucket = ((token >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
                 entry = ((token & np.uint64(LOW48)) << np.uint64(16)) | row
@@ -196,78 +221,119 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(close).select("a", "n_a", "tokens_a", "b", "n_b", "tokens_b").mapInArrow(check, "u long, v long")
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    for x in "ab":
+        side = sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+        pairs = pairs.join(side, x)
+    return pairs
+
+
+def _unshared():
+    return 1 - F.octet_length("tokens") / 8 / F.col("n")
+
+
 def group_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links between each minimum-hash group's first set and its members."""
-    links = None
-    for g in range(GROUPINGS):
-        heads = (sets.groupBy(f"k{g}").agg(F.min(F.struct("node", "n", "tokens")).alias("h"), F.count(F.lit(1)).alias("c"))
-                 .where("c > 1").select(f"k{g}", F.col("h.node").alias("b"), F.col("h.n").alias("n_b"),
-                                        F.col("h.tokens").alias("tokens_b")))
-        pairs = (sets.select(f"k{g}", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
-                 .join(heads, f"k{g}").where("a <> b"))
-        found = verified(pairs, percent)
-        links = found if links is None else links.unionByName(found)
-    return links
-
-
-def prefix_tokens(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(token, node, grp): each set's prefix, in the order of token values.
-
-    Of a set of n at most n - ceil(percent * n / 100) tokens can be missing
-    from a linked set; the unshared ones are missing already.  One token more
-    than that is sure to be hit.
-    """
+    """Links between each minimum-hash group's head and its members.  The head
+    is the set with the smallest share of shingles of its own, so that edited
+    copies meet their common original."""
+    keys = sets.select("node", _unshared().alias("odd"), F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(f"k{g}").alias("k"))
+                                                   for g in range(GROUPINGS)])).alias("key")).select("node", "odd", "key.g", "key.k")
+    keys = staged(keys, "keys")
+    heads = staged(keys.groupBy("g", "k").agg(F.min(F.struct("odd", "node")).alias("h"), F.count(F.lit(1)).alias("c"))
+                   .where("c > 1").select("g", "k", F.col("h.node").alias("b")), "heads")
+    pairs = staged(keys.join(heads, ["g", "k"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    return verified(with_sets(pairs, sets), percent)
+
 
-    def cut(batches):
+def set_rows(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(token, node, n, grp): every token of every set, with the set's group."""
+
+    def explode(batches):
         for batch in batches:
-            node, n, grp = (batch.column(c).to_numpy() for c in ("node", "n", "grp"))
-            parts = []
-            for k, blob in zip(n, batch.column("tokens").to_pylist()):
-                t = np.frombuffer(blob, np.uint64)
-                missing = k - -(-percent * k // 100) - (k - len(t))
-                parts.append(np.sort(common.mix(t))[:missing + 1])
-            size = [len(p) for p in parts]
-            yield pa.record_batch({"token": pa.array(common.signed(np.concatenate(parts))),
-                                   "node": pa.array(np.repeat(node, size)), "grp": pa.array(np.repeat(grp, size))})
+            parts = [np.frombuffer(b, np.int64) for b in batch.column("tokens").to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+            yield pa.record_batch({"token": pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))}
+                                  | {c: batch.column(c).take(take) for c in ("node", "n", "grp")})
 
     named = (sets.select("node", "n", "tokens").join(groups, "node", "left")
              .select("node", "n", "tokens", F.coalesce("component", "node").alias("grp")))
-    return named.mapInArrow(cut, "token long, node long, grp long")
+    return named.mapInArrow(explode, "token long, node long, n long, grp long")
 
 
-def open_group_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Links across groups, found through the token-group matrix."""
-    prefix = staged(prefix_tokens(sets, groups, percent), "prefix")
-    across = prefix.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    prefix = staged(prefix.join(across, "token", "left_semi"), "across")
-    matrix = prefix.select("token", F.col("grp").alias("g")).distinct()
-    # one direction is enough: a document asks the groups with a smaller label
-    asked = staged(prefix.join(matrix, "token").where("g < grp").select("node", "g").distinct(), "asked")
+def prune(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows that can still take part in a link across groups.
 
-    token_schema = "node long, token long"
+    A token must be in two groups.  A set of n tokens, r of them left, can
+    only link to a set of m tokens if their overlap, at least
+    percent * (n + m) / (100 + percent), is no more than r: that bounds m
+    (``most``).  A token is of use to a set if some set in its row of the
+    matrix is small enough, and allows one as large.  Applied twice, since
+    what drops out of the first round makes more drop out in the second.
+    """
+    for step in range(2):
+        token = (rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("least"))
+                 .where("lo < hi").select("token", "least"))
+        rows = staged(rows.join(token, "token"), f"across_{step}")
+        node = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("r"), F.first("n").alias("n_"))
+                .where(F.col("r") * 100 >= F.col("n_") * percent)
+                .select("node", "r", F.floor(F.col("r") * (100 + percent) / percent - F.col("n_")).alias("most")))
+        rows = rows.join(node, "node").where("least <= most").drop("least")
+        if step == 0:
+            rows = staged(rows.select("token", "node", "n", "grp"), "left")
+    rows = staged(rows.select("token", "node", "n", "grp", "r", "most"), "left")
+    token = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max("most").alias("widest")).where("lo < hi")
+    return staged(rows.join(token, "token").where("n <= widest").select("token", "node", "n", "grp", "r", "most"), "pruned")
+
+
+def prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of each set's prefix, in an order of token hashes, and ``need``.
+
+    Of n tokens at most n - ceil(percent * n / 100) are missing from a linked
+    set; those that are not left (n - r) are missing already.  Before the l-th
+    common token stand no more than the missing ones, so two prefixes of
+    (missing + l) tokens share l.  With l = n / 10 on both sides, linked sets
+    share at least ``need`` = percent * n / 1000 prefix tokens.
+    """
+    n = F.col("n")
+    length = n - F.ceil(n * percent / 100) - (n - F.col("r")) + F.ceil(n / 10)
+    by_set = Window.partitionBy("node").orderBy(F.xxhash64("token"), "token")
+    return (rows.withColumn("nth", F.row_number().over(by_set)).where(F.col("nth") <= length)
+            .withColumn("need", F.ceil(n * percent / 1000)).drop("nth", "r"))
 
-    def explode(batches):
-        for batch in batches:
-            parts = [np.frombuffer(b, np.int64) for b in batch.column("tokens").to_pylist()]
-            node = np.repeat(batch.column("node").to_numpy(), [len(p) for p in parts])
-            yield pa.record_batch({"node": pa.array(node, pa.int64()),
-                                   "token": pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))})
-
-    named = sets.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
-    unions = (named.join(asked.select(F.col("g").alias("grp")).distinct(), "grp", "left_semi").select("node", "tokens")
-              .mapInArrow(explode, token_schema).join(named.select("node", F.col("grp").alias("g")), "node")
-              .select("g", "token").distinct())
-    queries = (sets.join(asked.select("node").distinct(), "node", "left_semi").select("node", "tokens")
-               .mapInArrow(explode, token_schema).join(asked, "node"))
-    opened = (queries.join(unions, ["g", "token"]).groupBy("node", "g").agg(F.count(F.lit(1)).alias("overlap"))
-              .join(sets.select("node", "n"), "node").where(F.col("overlap") * 100 >= F.col("n") * percent)
-              .select(F.col("node").alias("a"), "g"))
-    opened = staged(opened, "opened")
-    pairs = (prefix.select("token", F.col("node").alias("a")).join(opened, "a")
-             .join(prefix.select("token", F.col("node").alias("b"), F.col("grp").alias("g")), ["token", "g"])
-             .select("a", "b").distinct())
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    return verified(pairs.join(side("a"), "a").join(side("b"), "b"), percent)
+
+def qualifying(rows: DataFrame) -> DataFrame:
+    """(a, g): the token-group matrix bound for every set against the groups
+    with a smaller label (one direction finds every link)."""
+    matrix = staged(rows.groupBy("token", F.col("grp").alias("g")).agg(F.min("n").alias("least"), F.max("most").alias("widest")), "matrix")
+    return (rows.join(matrix, "token").where("g < grp AND least <= most AND widest >= n").groupBy("node", "g")
+            .agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).where("c >= need")
+            .select(F.col("node").alias("a"), "g"))
+
+
+def open_group_links(sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """All links needed beside ``near``, found through the token-group matrix.
+
+    First every set is compared with the heads of its qualifying groups, which
+    merges most of them; the groups that still qualify are opened.
+    """
+    groups = staged(connected_components(near), "groups")
+    rows = prune(set_rows(sets, groups), percent)
+    opened = qualifying(staged(prefixes(rows, percent), "prefixes"))
+    heads = (sets.select("node", _unshared().alias("odd")).join(groups, "node", "left")
+             .groupBy(F.coalesce("component", "node").alias("g")).agg(F.min(F.struct("odd", "node")).alias("h"))
+             .select("g", F.col("h.node").alias("b")))
+    to_heads = staged(verified(with_sets(staged(opened.join(heads, "g").select("a", "b"), "to_heads"), sets), percent), "head_links")
+
+    groups = staged(connected_components(near.unionByName(to_heads)), "groups")
+    rows = rows.drop("grp", "r", "most").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
+    rows = prune(rows.select("token", "node", "n", "grp"), percent)
+    rows = staged(prefixes(rows, percent), "prefixes")
+    opened = staged(qualifying(rows), "opened")
+    asking = rows.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), "need").join(opened, "a")
+    members = rows.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("grp").alias("g"))
+    pairs = (asking.join(members, ["token", "g"]).where("n_b <= most_a AND n_a <= most_b").groupBy("a", "b")
+             .agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b"))
+    return to_heads.unionByName(verified(with_sets(staged(pairs, "pairs"), sets), percent))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -276,7 +342,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = min(int(size // BUCKET_TEXT_BYTES) + 1, 60000)
-    shared = staged(shared_shingles(deal_shingles(rows, words, buckets)), "shared")
+    bitmaps = shingle_sketch(rows, words)
+    shared = staged(shared_shingles(deal_shingles(rows, words, percent, bitmaps, buckets)), "shared")
     about = staged(chunk_documents(shared), "about")
     classes = (about.where("n > 0").groupBy("digest")
                .agg(F.min("doc_id").alias("node"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("chunk", "row"))).alias("own")))
@@ -285,8 +352,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
               .select("chunk", "row", "n", "node"))
     sets = staged(candidate_sets(shared, owners, percent), "sets")
     near = staged(group_links(sets, percent), "near")
-    groups = staged(connected_components(near), "groups")
-    far = open_group_links(sets, groups, percent)
+    far = staged(open_group_links(sets, near, percent), "far")
     component = connected_components(near.unionByName(far))
     named = (classes.join(component, "node", "left")
              .select("digest", F.coalesce("component", "node").alias("component")))

@@ -9,14 +9,14 @@ window whose word sequence also starts in a document with a smaller doc_id.
    windows mostly share one (about 1 position in 18 is picked).
 2. Each task sketches its representatives (count-min, two rows); the sketches
    are merged by block, and the cells that reached two make two bitmaps of
-   fixed size (``2 * CELLS / 8`` bytes, the only thing broadcast).
+   fixed size (``2 * 2 ** CELL_BITS / 8`` bytes, the only thing broadcast).
 3. A second pass keeps only runs of windows whose representative is estimated
    to repeat and groups them exactly: whole runs first (one row per run, with
    map-side combining), then, among different runs that share a
    representative, window by window.
 
 The sketch only overestimates, so no repeated window is lost.  When a corpus
-outgrows ``CELLS`` more runs pass the prefilter; the exact grouping then does
+outgrows the cells more runs pass the prefilter; the exact grouping then does
 more of the work, up to one row per representative, with the same result.
 
 Defined cases: null or empty text has no words; texts under ``window`` words
@@ -31,12 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from txnrisk.llm import common
+from txnrisk.llm import common, countmin
 from txnrisk.llm.common import staged
 
 CELL_BITS = 27
-CELLS = 1 << CELL_BITS
-BLOCK_BITS = 18
 SKETCH_ROWS = 2
 
 
@@ -67,12 +65,6 @@ def _runs(words: np.ndarray, first: np.ndarray, window: int, gram: int):
     return doc[start], start, size, picked[start], grams[picked[start]]
 
 
-def _cells(rep: np.ndarray) -> list[np.ndarray]:
-    """The representative's cell in each sketch row."""
-    return [common.mix(rep + np.uint64(0x9E3779B97F4A7C15 * (r + 1) % 2**64)) >> np.uint64(64 - CELL_BITS)
-            for r in range(SKETCH_ROWS)]
-
-
 def _documents(batch, window: int, gram: int):
     """Per chunk of a batch: (first row, words' hashes, words' row starts, runs)."""
     for lo, data, offsets in common.text_chunks(batch.column("text")):
@@ -82,47 +74,13 @@ def _documents(batch, window: int, gram: int):
 
 
 def sketch(docs: DataFrame, window: int, gram: int) -> list[np.ndarray]:
-    """Per sketch row a bitmap of the cells counted at least twice."""
+    """Per sketch row the bitmap of the cells counted at least twice."""
 
     def count(batches):
-        cells = [[] for _ in range(SKETCH_ROWS)]
-        for batch in batches:
-            for _, _, _, run in _documents(batch, window, gram):
-                for into, c in zip(cells, _cells(run[4])):
-                    # the count of each cell, as 1 or (saturated) 2
-                    value, times = np.unique(c, return_counts=True)
-                    into.append(value * np.uint64(2) + (times > 1))
-        for row, parts in enumerate(cells):
-            if not parts:
-                continue
-            merged = np.sort(np.concatenate(parts))
-            block = (merged >> np.uint64(BLOCK_BITS + 1)).astype(np.int64)
-            edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
-            local = (merged & np.uint64((2 << BLOCK_BITS) - 1)).astype(np.uint32)
-            parts = np.split(local, edge[1:]) if len(edge) else []
-            yield pa.record_batch({"sketch_row": pa.array([row] * len(parts), pa.int32()),
-                                   "block": pa.array(block[edge] if len(edge) else [], pa.int64()),
-                                   "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
-
-    def merge(key, table):
-        total = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
-        for blob in table.column("counts"):
-            x = np.frombuffer(blob.as_py(), dtype=np.uint32)
-            total += np.minimum(np.bincount(x >> 1, weights=1 + (x & 1), minlength=1 << BLOCK_BITS), 2).astype(np.uint8)
-            np.minimum(total, 2, out=total)
-        twice = total > 1
-        rows = [True] if twice.any() else []
-        return pa.table({"sketch_row": pa.array([key[0].as_py()] * len(rows), pa.int32()),
-                         "block": pa.array([key[1].as_py()] * len(rows), pa.int64()),
-                         "bits": pa.array([np.packbits(twice).tobytes()] * len(rows), pa.binary())})
-
-    merged = (docs.select("text").mapInArrow(count, "sketch_row int, block long, counts binary")
-              .groupBy("sketch_row", "block").applyInArrow(merge, "sketch_row int, block long, bits binary"))
-    bitmaps = [np.zeros(CELLS >> 3, dtype=np.uint8) for _ in range(SKETCH_ROWS)]
-    width = 1 << (BLOCK_BITS - 3)
-    for r in merged.toLocalIterator():  # at most SKETCH_ROWS * CELLS / 8 bytes in all
-        bitmaps[r.sketch_row][r.block * width:(r.block + 1) * width] = np.frombuffer(r.bits, dtype=np.uint8)
-    return bitmaps
+        keys = (run[4] for batch in batches for _, _, _, run in _documents(batch, window, gram))
+        yield from countmin.sketch_batches(keys, SKETCH_ROWS, CELL_BITS)
+
+    return countmin.merged_bitmaps(docs.select("text").mapInArrow(count, countmin.SCHEMA), SKETCH_ROWS, CELL_BITS)
 
 
 def repeated_runs(docs: DataFrame, bitmaps, window: int, gram: int) -> DataFrame:
@@ -136,10 +94,7 @@ def repeated_runs(docs: DataFrame, bitmaps, window: int, gram: int) -> DataFrame
             for lo, words, _first, (doc, start, size, at, rep) in _documents(batch, window, gram):
                 if not len(rep):
                     continue
-                hit = np.ones(len(rep), dtype=bool)
-                for bits, c in zip(shared.value, _cells(rep)):
-                    hit &= (bits[(c >> np.uint64(3)).astype(np.int64)] >> (7 - (c & np.uint64(7))).astype(np.uint8)) & 1 > 0
-                hit = np.flatnonzero(hit)
+                hit = np.flatnonzero(countmin.estimated_twice(shared.value, rep, CELL_BITS))
                 if not len(hit):
                     continue
                 grams = common.gram_hashes(words, window, seed=37)
@@ -186,6 +141,7 @@ def later_windows(runs: DataFrame) -> DataFrame:
     # whole runs that an earlier document has, and single windows that one has
     verdict = (kinds.join(earlier, ["rep", "span"], "left").where("first < last OR earlier IS NOT NULL")
                .select("rep", "span", "first", "earlier"))
+    verdict = staged(verdict, "verdict")  # so that the join below can split a hot run's rows
     found = runs.drop("wins").join(verdict, ["rep", "span"])
     whole = F.when(F.col("first") < F.col("doc_id"), F.array(F.struct(F.col("start"), (F.col("start") + F.col("n")).alias("stop"))))
     single = F.transform(F.filter(F.coalesce("earlier", F.array().cast("array<struct<k:int,least:bigint>>")),
