@@ -155,5 +155,4 @@ FRAUD_TYPE_DESCRIPTIONS = [
 ADMIN_FLAGGED = "Admin Flagged"
 NO_FRAUD_TYPE = "-"
 FEEDBACK_DEFAULT_PROBABILITY = 0.5
-FEEDBACK_BUFFER_CAP, FEEDBACK_BUFFER_KEEP = 10000, 5000
 RETRAIN_MIN_SAMPLES, RETRAIN_INTERVAL_HOURS = 50, 24

@@ -49,12 +49,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  When it is unset (tests, local runs) a scratch folder is created
-    once and registered with the SparkContext so every later call agrees.
+    as is.  When it is unset on a local master (tests, local runs) a scratch
+    folder is created once and registered with the SparkContext so every later
+    call agrees; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     path = sc.getConf().get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="txnrisk-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

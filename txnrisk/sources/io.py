@@ -66,11 +66,14 @@ def write_predictions(pred: DataFrame, path: str, mode: str = "overwrite") -> No
 
 
 def ensure_ledger(spark: SparkSession, path: str) -> None:
-    """Create an empty ledger table when none exists yet."""
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-    except Exception:  # noqa: BLE001 - absent or unreadable: create it
-        spark.createDataFrame([], LEDGER_SCHEMA).write.mode("overwrite").parquet(path)
+    """Create an empty ledger table when nothing is at ``path``.
+
+    Existence is asked of the file system: a ledger that is there but cannot
+    be read just now is left alone, and nothing is ever overwritten.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        spark.createDataFrame([], LEDGER_SCHEMA).write.mode("errorifexists").parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -24,7 +24,8 @@ def retrain_due(run_log: DataFrame, feedback: DataFrame, now: DataFrame,
     now1 = now.select(F.col(now.columns[0]).alias("_now"))
     j = attach_one_row(attach_one_row(fb, last), now1)
     due = ((F.col("n_feedback") >= min_samples) & (F.col("n_classes") == 2)
-           & (F.col("_now") >= F.col("_last") + F.make_interval(hours=F.lit(interval_hours))))
+           & (F.col("_last").isNull()  # no good run yet
+              | (F.col("_now") >= F.col("_last") + F.make_interval(hours=F.lit(interval_hours)))))
     return j.select("n_feedback", "n_classes", due.alias("due"))
 
 

@@ -100,21 +100,26 @@ def run_feedback_stream(spark: SparkSession, source: str, schema, ledger_path: s
     def version(epoch_id: int) -> str:
         return f"{work}/ledger_epoch={epoch_id}"
 
-    state = {"last": None}
-
     def upsert(batch: DataFrame, epoch_id: int) -> None:
         prev = version(epoch_id - 1) if epoch_id > 0 else ledger_path
-        if not _exists(batch.sparkSession, prev):
-            prev = ledger_path
+        if epoch_id > 0 and not _exists(batch.sparkSession, f"{prev}/_SUCCESS"):
+            raise RuntimeError(f"ledger version {prev} is missing or incomplete; earlier feedback would be lost")
         current = batch.sparkSession.read.parquet(prev)
         apply_feedback(current, batch).write.mode("overwrite").parquet(version(epoch_id))
-        state["last"] = epoch_id
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
     q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{work}/_ckpt")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return version(state["last"]) if state["last"] is not None else ledger_path
+    done = _complete_epochs(spark, work)
+    return version(max(done)) if done else ledger_path
+
+
+def _complete_epochs(spark: SparkSession, work: str) -> list[int]:
+    """Epochs whose ledger version was written to its end, also by earlier runs."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work}/ledger_epoch=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return [int(f.getPath().getParent().getName().partition("=")[2]) for f in found]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
