@@ -15,33 +15,27 @@ from pyspark.sql import types as T
 from txnrisk.operators.locations import nearest_city
 from txnrisk.schema import CITIES
 
-HASH_PRIME = 1000003
-HASH_MULT = 2654435761
-HASH_SEED_MULT = 40503
+# Leading hex digits of a digest that make a draw: 52 bits, exact in a double.
+DRAW_DIGITS = 13
 
 
-def unit_hash(key: Column, seed: int, integral: bool = True) -> Column:
-    """Deterministic value in [0, 1) per key and seed.
-
-    Integral keys use overflow-free integer arithmetic (reproducible in any
-    SQL engine); other keys use xxhash64.
-    """
-    if integral:
-        h = ((key % HASH_PRIME) * HASH_MULT + seed * HASH_SEED_MULT) % HASH_PRIME
-        return h / F.lit(float(HASH_PRIME))
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(HASH_PRIME)) / F.lit(float(HASH_PRIME))
+def unit_hash(key: Column, seed: int) -> Column:
+    """Deterministic value in [0, 1) per key and seed, independent between
+    seeds: the leading 52 bits of SHA-256 over ``key|seed``.  Keys of any type
+    and sign; reproducible in any SQL engine.  Null keys give null."""
+    digest = F.sha2(F.concat(key.cast("string"), F.lit(f"|{seed}")), 256)
+    return F.conv(F.substring(digest, 1, DRAW_DIGITS), 16, 10).cast("long") / F.lit(float(16 ** DRAW_DIGITS))
 
 
 def _uniform(u: Column, lo: Column | float, hi: Column | float) -> Column:
     return F.lit(lo) + (F.lit(hi) - F.lit(lo)) * u if not isinstance(lo, Column) else lo + (hi - lo) * u
 
 
-def inject_simple(df: DataFrame, ratio: float = 0.2, seed: int = 0, key: str = "txn_id",
-                  integral: bool = True) -> DataFrame:
+def inject_simple(df: DataFrame, ratio: float = 0.2, seed: int = 0, key: str = "txn_id") -> DataFrame:
     """High amount (5000-10000), location ``0.0, 0.0``, device ``DEV_Unknown``,
     merchant ``Unknown``, label 1 for a ``ratio`` share of rows."""
-    u = unit_hash(F.col(key), seed, integral)
-    u2 = unit_hash(F.col(key), seed + 1000, integral)
+    u = unit_hash(F.col(key), seed)
+    u2 = unit_hash(F.col(key), seed + 1000)
     hit = u < ratio
     return (df.withColumn("is_fraud", F.when(hit, 1).otherwise(F.col("is_fraud")))
             .withColumn("amount", F.when(hit, 5000 + 5000 * u2).otherwise(F.col("amount")))
@@ -81,12 +75,11 @@ def _keep_or(new: Column, old: str) -> Column:
     return F.coalesce(new, F.col(old))
 
 
-def inject_nine_patterns(df: DataFrame, ratio: float = 0.03, seed: int = 0, key: str = "txn_id",
-                         integral: bool = True) -> DataFrame:
+def inject_nine_patterns(df: DataFrame, ratio: float = 0.03, seed: int = 0, key: str = "txn_id") -> DataFrame:
     """Label a ``ratio`` share of rows as one of nine fraud patterns (equal
     shares in expectation) and rewrite their columns to the pattern."""
-    u = unit_hash(F.col(key), seed, integral)
-    u2 = unit_hash(F.col(key), seed + 1000, integral)
+    u = unit_hash(F.col(key), seed)
+    u2 = unit_hash(F.col(key), seed + 1000)
     hit = u < ratio
     idx = F.least(F.floor(u / F.lit(ratio) * 9).cast("int"), F.lit(8))
     p = F.when(hit, F.element_at(_pattern_array(NINE_PATTERNS), idx + 1))
@@ -124,14 +117,13 @@ def _randint(u: Column, lo: Column, hi: Column) -> Column:
     return (lo + F.floor(u * (hi - lo + 1))).cast("long")
 
 
-def inject_anomaly_patterns(df: DataFrame, ratio: float = 0.08, seed: int = 0, key: str = "txn_id",
-                            integral: bool = True) -> DataFrame:
+def inject_anomaly_patterns(df: DataFrame, ratio: float = 0.08, seed: int = 0, key: str = "txn_id") -> DataFrame:
     """Label a ``ratio`` share of rows with one of seven anomaly patterns:
     integer amount in the pattern range, receiver by kind and payment type,
     a different base city when the pattern moves location, an unknown
     device when it changes device, merchant ``Unknown``."""
-    u = unit_hash(F.col(key), seed, integral)
-    us = [unit_hash(F.col(key), seed + 1000 * (i + 1), integral) for i in range(4)]
+    u = unit_hash(F.col(key), seed)
+    us = [unit_hash(F.col(key), seed + 1000 * (i + 1)) for i in range(4)]
     hit = u < ratio
     n = len(ANOMALY_PATTERNS)
     idx = F.least(F.floor(u / F.lit(ratio) * n).cast("int"), F.lit(n - 1))

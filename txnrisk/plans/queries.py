@@ -808,9 +808,13 @@ def q_class_weights(spark, sf):
     return _norm(class_weight_table(_txn(spark, sf)))
 
 
-@query("stratified_split", with_views("""
+def _uh(seed: int) -> str:
+    return f"(('0x' || substring(sha256(concat(CAST(txn_id AS VARCHAR), '|{seed}')), 1, 13))::BIGINT / 4503599627370496.0e0)"
+
+
+@query("stratified_split", with_views(f"""
 SELECT CAST(is_fraud AS BIGINT) AS is_fraud, split, CAST(count(*) AS BIGINT) AS n FROM (
- SELECT is_fraud, CASE WHEN (txn_id * 7919 + 42 * 104729) % 1000 < 200 THEN 'test' ELSE 'train' END AS split FROM txn)
+ SELECT is_fraud, CASE WHEN {_uh(42)} < 0.2 THEN 'test' ELSE 'train' END AS split FROM txn)
 GROUP BY 1, 2""", "txn"))
 def q_split(spark, sf):
     from txnrisk.operators.ml import hash_split
@@ -829,23 +833,18 @@ def q_nearest_city(spark, sf):
 
 
 # -------------------------------------------------------------- injection --
-@query("inject_simple", with_views("""
+@query("inject_simple", with_views(f"""
 SELECT txn_id, CAST(CASE WHEN u < 0.2 THEN 1 ELSE is_fraud END AS BIGINT) AS is_fraud,
  CASE WHEN u < 0.2 THEN 5000 + 5000 * u2 ELSE amount END AS amount,
  CASE WHEN u < 0.2 THEN '0.0, 0.0' ELSE location END AS location,
  CASE WHEN u < 0.2 THEN 'DEV_Unknown' ELSE device_id END AS device_id,
  CASE WHEN u < 0.2 THEN 'Unknown' ELSE merchant_type END AS merchant_type
-FROM (SELECT *, (((txn_id % 1000003) * 2654435761 + 7 * 40503) % 1000003) / 1000003.0e0 AS u,
-  (((txn_id % 1000003) * 2654435761 + 1007 * 40503) % 1000003) / 1000003.0e0 AS u2 FROM txn)""", "txn"))
+FROM (SELECT *, {_uh(7)} AS u, {_uh(1007)} AS u2 FROM txn)""", "txn"))
 def q_inject_simple(spark, sf):
     out = inject.inject_simple(_txn(spark, sf), ratio=0.2, seed=7)
     return _norm(out.select("txn_id", "is_fraud", "amount", "location", "device_id", "merchant_type"))
 
 
-def _uh(seed: int) -> str:
-    return f"((((txn_id % 1000003) * 2654435761 + {seed} * 40503) % 1000003) / 1000003.0e0)"
-
-
 def _nine_sql() -> str:
     vals = ",\n".join(
         f"({i}, '{n}', {S.dbl(lo)}, {S.dbl(hi)}, '{tt}', " + ", ".join(
@@ -1032,7 +1031,7 @@ _OHE_CATS = ["txn_type", "merchant_type", "sender_id", "receiver_id", "device_id
 
 
 def _one_hot_sql() -> str:
-    train = "(((txn_id * 7919 + 42 * 104729) % 1000) / 1000.0e0) >= 0.2"
+    train = f"{_uh(42)} >= 0.2"
     extra, cols, joins = [], [], []
     for c in _OHE_CATS:
         extra.append((f"lab_{c}", f"""SELECT {c} AS v, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS i,
