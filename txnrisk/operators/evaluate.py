@@ -2,8 +2,9 @@
 
 Everything is computed from aggregates: conditional counts in one pass
 (map-side combined) for fixed thresholds, or counts per distinct score for
-curves and AUC.  Only the per-score table - bounded by the number of
-distinct scores, which ``score_digits`` caps - is ever ordered globally.
+curves and AUC.  The per-score table may be as long as the input: it is cut
+into score ranges, summed inside each range, and offset by the totals of the
+ranges before (at most ``RANGES`` + 1 rows).
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Scores are rounded to this many decimals before per-score aggregation, which
-# bounds the globally ordered per-score table to 10**6 + 1 rows.
-SCORE_DIGITS = 6
+# Score ranges of the running sums, and how far their sizes may differ
+# (a share of the distinct scores).
+RANGES = 256
+RANGE_ERROR = 0.001
 
 # Thresholds of the sweep and the fallback threshold.
 SWEEP_THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
@@ -77,49 +79,51 @@ def classification_report(df: DataFrame, label: str = "is_fraud", pred: str = "p
     return c.select(F.inline(rows))
 
 
-def score_counts(df: DataFrame, label: str = "is_fraud", score: str = "score",
-                 score_digits: int | None = SCORE_DIGITS) -> DataFrame:
+def score_counts(df: DataFrame, label: str = "is_fraud", score: str = "score") -> DataFrame:
     """Positives and negatives per distinct score (partial aggregate)."""
-    s = F.col(score)
-    if score_digits is not None:
-        s = F.round(s, score_digits)
     y = _label(label)
-    return df.groupBy(s.alias("score")).agg(
+    return df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(F.when(y, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(y, 0).otherwise(1)).cast("long").alias("neg"))
 
 
-def _curve_table(df, label, score, score_digits):
-    """Per distinct score: counts at or above it (descending cumulative sums)."""
-    sc = score_counts(df, label, score, score_digits)
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(F.lit(1))
-    return (sc.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
-            .withColumn("P", F.sum("pos").over(tot)).withColumn("N", F.sum("neg").over(tot)))
-
-
-def roc_auc(df: DataFrame, label: str = "is_fraud", score: str = "score",
-            score_digits: int | None = SCORE_DIGITS) -> DataFrame:
+def _running(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Per distinct score, exact: positives and negatives at or above it
+    (``tp``, ``fp``), below it (``neg_below``), and in all (``P``, ``N``)."""
+    sc = score_counts(df, label, score)
+    shares = [k / RANGES for k in range(1, RANGES)]
+    cuts = sorted(set(sc.approxQuantile("score", shares, RANGE_ERROR)))
+    # A range is the number of cuts at or below the score: a function of the
+    # score alone, so a lost task recomputes the same one.
+    sc = sc.withColumn("range", F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("score"))))
+    totals = sc.groupBy("range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
+    above = Window.partitionBy(F.lit(1)).orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(F.lit(1))
+    offsets = totals.select("range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("op"),
+                            F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("on"),
+                            F.sum("rp").over(whole).alias("P"), F.sum("rn").over(whole).alias("N"))
+    w = Window.partitionBy("range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return (sc.join(F.broadcast(offsets), "range")  # a row per range
+            .withColumn("tp", F.sum("pos").over(w) + F.col("op")).withColumn("fp", F.sum("neg").over(w) + F.col("on"))
+            .withColumn("neg_below", F.col("N") - F.col("fp")).drop("range", "op", "on"))
+
+
+def roc_auc(df: DataFrame, label: str = "is_fraud", score: str = "score") -> DataFrame:
     """Area under the ROC curve by rank sums with tied scores counted half."""
-    sc = score_counts(df, label, score, score_digits)
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    t = sc.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    return t.agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5))
-                  / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+    return _running(df, label, score).agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5))
+                                           / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
 
 
-def roc_curve(df: DataFrame, label: str = "is_fraud", score: str = "score",
-              score_digits: int | None = SCORE_DIGITS) -> DataFrame:
+def roc_curve(df: DataFrame, label: str = "is_fraud", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, all points kept."""
-    t = _curve_table(df, label, score, score_digits)
+    t = _running(df, label, score)
     return t.select(F.col("score").alias("threshold"), _safe_div(F.col("fp"), F.col("N")).alias("fpr"),
                     _safe_div(F.col("tp"), F.col("P")).alias("tpr"))
 
 
-def pr_curve(df: DataFrame, label: str = "is_fraud", score: str = "score",
-             score_digits: int | None = SCORE_DIGITS) -> DataFrame:
+def pr_curve(df: DataFrame, label: str = "is_fraud", score: str = "score") -> DataFrame:
     """(threshold, precision, recall) for every distinct score."""
-    t = _curve_table(df, label, score, score_digits)
+    t = _running(df, label, score)
     return t.select(F.col("score").alias("threshold"),
                     (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                     _safe_div(F.col("tp"), F.col("P")).alias("recall"))
