@@ -92,6 +92,57 @@ def test_near_cluster_without_losing_links(spark):
     assert 1 < len(set(head.values())) < 150
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_members_apart_from_their_head(spark, seed):
+    """Copies with cut, dropped, added and replaced words at few places: links
+    to members of a group that do not link to its head, brute-force components."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for i in range(120):
+        w = (BASE + " " + " ".join("t%d" % k for k in range(20))).split()
+        w = w[r.integers(0, 4) * 6:len(w) - r.integers(0, 4) * 6]
+        for at in r.choice([15, 30, 45, 60, 75, 90], r.integers(0, 4), replace=False):
+            w[at:at + r.integers(0, 4)] = ["e%d" % k for k in range(r.integers(0, 4))]
+        if r.integers(0, 3) == 0:
+            w += ["own%d-%d" % (i, k) for k in range(r.integers(0, 12))]
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    head = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in range(20):
+        for a, b in links:
+            head[a] = head[b] = min(head[a], head[b])
+    got = by_id(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: got[i].component_id for i in sets} == head
+    assert len(set(head.values())) < 120
+
+
+def test_candidates_by_differences(spark):
+    """Every link of a set that is not close to the head is among the candidates, which are far from all pairs."""
+    r = np.random.default_rng(11)
+    words = BASE.split()
+
+    def copy(edits):
+        w = list(words)
+        for at in r.choice(len(w) // 4, edits, replace=False):
+            w[4 * at] = "e%d" % r.integers(0, 3)
+        return w
+
+    texts = [words] + [copy(k) for k in [1] * 20 + [2] * 20 + [3] * 40]
+    sets = [np.unique([hash(tuple(w[i:i + 5])) for i in range(len(w) - 4)]) for w in texts]
+    table = spark.createDataFrame([(i, len(t), bytearray(t.astype(np.int64).tobytes())) for i, t in enumerate(sets)],
+                                  "node long, n long, tokens binary")
+    pairs = spark.createDataFrame([(i, 0, 10**6, 0) for i in range(1, len(sets))], "a long, g long, most long, b long")
+    apart = jaccard_join.apart_from_head(pairs, table, 80)
+    asking = apart.where("NOT linked AND NOT close")
+    got = {(x.a, x.b) for x in jaccard_join.member_pairs(asking, apart, 80).collect()}
+    ask = [x.a for x in asking.collect()]
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    links = {(a, b) for a in ask for b in range(1, len(sets)) if 180 * both(a, b) >= 80 * (len(sets[a]) + len(sets[b]))}
+    assert ask and {x for x in links if x[0] != x[1]} and links <= got
+    assert 5 * len(got) <= len(ask) * (len(sets) - 1)
+
+
 def test_substring_dedup(docs, empty):
     out = substring_dedup.substring_dedup(docs)
     assert out.count() == docs.count()

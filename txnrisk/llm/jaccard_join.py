@@ -310,30 +310,103 @@ def qualifying(rows: DataFrame) -> DataFrame:
             .select(F.col("node").alias("a"), "g"))
 
 
+def group_heads(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(g, b): the member of each group with the smallest share of shingles of its own."""
+    return (sets.select("node", _unshared().alias("odd")).join(groups, "node", "left")
+            .groupBy(F.coalesce("component", "node").alias("g")).agg(F.min(F.struct("odd", "node")).alias("h"))
+            .select("g", F.col("h.node").alias("b")))
+
+
+def apart_from_head(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For pairs (a, g, most, b) of a set and a group's head b: the size of the
+    head's tokens, how many of them a has (``common``), and the tokens that
+    only one of the two has (those that a lacks complemented).  ``linked``:
+    the sets link; ``close``: they only fail to since the head has tokens
+    that no other set has."""
+
+    def compare(batches):
+        for batch in batches:
+            size, common_, apart = [], [], []
+            for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()):
+                own, head = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                lacking = np.setdiff1d(head, own, assume_unique=True)
+                size.append(len(head))
+                common_.append(len(head) - len(lacking))
+                apart.append(np.concatenate([np.setdiff1d(own, head, assume_unique=True), ~lacking]))
+            yield pa.record_batch([batch.column(c) for c in ("a", "g", "n_a", "most", "b", "n_b")]
+                                  + [pa.array(size, pa.int64()), pa.array(common_, pa.int64()), pa.array(apart, pa.list_(pa.int64()))],
+                                  names=["a", "g", "n", "most", "b", "n_b", "size", "common", "apart"])
+
+    out = with_sets(pairs, sets).select("a", "g", "n_a", "most", "b", "n_b", "tokens_a", "tokens_b").mapInArrow(
+        compare, "a long, g long, n long, most long, b long, n_b long, size long, common long, apart array<long>")
+    whole = F.col("common") * (100 + percent)
+    return out.select("*", (whole >= (F.col("n") + F.col("n_b")) * percent).alias("linked"),
+                      (whole >= (F.col("n") + F.col("size")) * percent).alias("close"))
+
+
+def member_pairs(asking: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of sets that are not close to a group's head and
+    the members of that group, by what both differ from the head in.
+
+    With the head's tokens H, |a & b| = |a & H| + |b & H| - |H| + the
+    differences from H that a and b share.  A link needs percent * (n_a + n_b)
+    / (100 + percent) common tokens, so it needs that many shared differences
+    more than the rest of the sum gives; as a is not close to H, it needs at
+    least ``least`` (1 or more) for any a.  Of a member's D differences
+    that some asking set has, the D - least + 1 rarest must hold one of them.
+    """
+    asked = asking.select("a", "g", F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("common").alias("common_a"),
+                          F.explode("apart").alias("key"))
+    least = F.greatest(F.lit(1), F.floor((F.col("n") - F.col("size")) * percent / (100 + percent)) + F.col("size") - F.col("common") + 1)
+    held = members.withColumn("least", least).where(F.size("apart") >= F.col("least")).select(
+        F.col("a").alias("b"), "g", F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("common").alias("common_b"),
+        "size", "least", F.explode("apart").alias("key"))
+    held = held.join(asked.groupBy("g", "key").agg(F.count(F.lit(1)).alias("often")), ["g", "key"])
+    by_set = Window.partitionBy("g", "b")
+    held = (held.withColumn("nth", F.row_number().over(by_set.orderBy("often", "key"))).withColumn("d", F.count(F.lit(1)).over(by_set))
+            .where(F.col("nth") <= F.col("d") - F.col("least") + 1).drop("nth", "d", "often"))
+    need = (F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)) + F.col("size") - F.col("common_a") - F.col("common_b")
+            - F.col("least") + 1)
+    return (asked.join(held, ["g", "key"]).where("n_b <= most_a AND n_a <= most_b").groupBy("a", "b")
+            .agg(F.count(F.lit(1)).alias("c"), F.min(need).alias("need")).where("c >= need").select("a", "b"))
+
+
+def prefix_pairs(rows: DataFrame, asking: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of asking sets and the members of their groups by common prefix tokens."""
+    asked = rows.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), "need").join(
+        asking.select("a", "g"), "a")
+    members = rows.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("grp").alias("g"))
+    return (asked.join(members, ["token", "g"]).where("n_b <= most_a AND n_a <= most_b").groupBy("a", "b")
+            .agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b"))
+
+
 def open_group_links(sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     """All links needed beside ``near``, found through the token-group matrix.
 
     First every set is compared with the heads of its qualifying groups, which
-    merges most of them; the groups that still qualify are opened.
+    merges most of them; the groups that still qualify are opened, and their
+    members found by the differences from the head (see ``member_pairs``).
     """
     groups = staged(connected_components(near), "groups")
     rows = prune(set_rows(sets, groups), percent)
     opened = qualifying(staged(prefixes(rows, percent), "prefixes"))
-    heads = (sets.select("node", _unshared().alias("odd")).join(groups, "node", "left")
-             .groupBy(F.coalesce("component", "node").alias("g")).agg(F.min(F.struct("odd", "node")).alias("h"))
-             .select("g", F.col("h.node").alias("b")))
-    to_heads = staged(verified(with_sets(staged(opened.join(heads, "g").select("a", "b"), "to_heads"), sets), percent), "head_links")
+    to_heads = staged(verified(with_sets(staged(opened.join(group_heads(sets, groups), "g").select("a", "b"), "to_heads"), sets), percent), "head_links")
 
     groups = staged(connected_components(near.unionByName(to_heads)), "groups")
     rows = rows.drop("grp", "r", "most").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
     rows = prune(rows.select("token", "node", "n", "grp"), percent)
+    nodes = staged(rows.select("node", "n", "most", "grp").distinct(), "nodes")
     rows = staged(prefixes(rows, percent), "prefixes")
-    opened = staged(qualifying(rows), "opened")
-    asking = rows.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), "need").join(opened, "a")
-    members = rows.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("grp").alias("g"))
-    pairs = (asking.join(members, ["token", "g"]).where("n_b <= most_a AND n_a <= most_b").groupBy("a", "b")
-             .agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b"))
-    return to_heads.unionByName(verified(with_sets(staged(pairs, "pairs"), sets), percent))
+    heads = staged(group_heads(sets, groups), "heads")
+    opened = staged(qualifying(rows).join(heads, "g"), "opened")
+    asking = opened.join(nodes.select(F.col("node").alias("a"), "most"), "a").select("a", "g", "most", "b")
+    asking = staged(apart_from_head(asking, sets, percent), "asking")
+    members = nodes.withColumnRenamed("grp", "g").join(opened.select("g", "b").distinct(), "g").where("node <> b")
+    members = staged(apart_from_head(members.select(F.col("node").alias("a"), "g", "most", "b"), sets, percent), "members")
+    pairs = staged(member_pairs(asking.where("NOT linked AND NOT close"), members, percent)
+                   .unionByName(prefix_pairs(rows, asking.where("NOT linked AND close"))), "pairs")
+    return (to_heads.unionByName(asking.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+            .unionByName(verified(with_sets(pairs, sets), percent)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
