@@ -42,7 +42,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from txnrisk.llm import common, countmin
@@ -84,12 +84,11 @@ def shingle_sketch(docs: DataFrame, words: int) -> list[np.ndarray]:
     return countmin.merged_bitmaps(docs.select("text").mapInArrow(count, countmin.SCHEMA), 1, SKETCH_BITS)
 
 
-def deal_shingles(docs: DataFrame, words: int, percent: int, bitmaps, buckets: int) -> DataFrame:
+def deal_shingles(docs: DataFrame, words: int, percent: int, repeated: Broadcast, buckets: int) -> DataFrame:
     """(bucket, chunk, entries): per chunk of documents and bucket the packed
     entries shingle48 << 16 | row of the chunk, for documents that the sketch
     leaves in.  A row with bucket -1 - b has all the chunk's documents (id,
     size, set digest)."""
-    repeated = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def deal(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -310,6 +309,11 @@ def qualifying(rows: DataFrame) -> DataFrame:
             .select(F.col("node").alias("a"), "g"))
 
 
+def stars(groups: DataFrame) -> DataFrame:
+    """Components as links (u, v) to their smallest node."""
+    return groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
 def group_heads(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """(g, b): the member of each group with the smallest share of shingles of its own."""
     return (sets.select("node", _unshared().alias("odd")).join(groups, "node", "left")
@@ -381,7 +385,8 @@ def prefix_pairs(rows: DataFrame, asking: DataFrame) -> DataFrame:
 
 
 def open_group_links(sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """All links needed beside ``near``, found through the token-group matrix.
+    """Links with the components of all sets, given ``near``, the links within
+    minimum-hash groups; the others are found through the token-group matrix.
 
     First every set is compared with the heads of its qualifying groups, which
     merges most of them; the groups that still qualify are opened, and their
@@ -390,22 +395,21 @@ def open_group_links(sets: DataFrame, near: DataFrame, percent: int) -> DataFram
     groups = staged(connected_components(near), "groups")
     rows = prune(set_rows(sets, groups), percent)
     opened = qualifying(staged(prefixes(rows, percent), "prefixes"))
-    to_heads = staged(verified(with_sets(staged(opened.join(group_heads(sets, groups), "g").select("a", "b"), "to_heads"), sets), percent), "head_links")
+    to_heads = verified(with_sets(staged(opened.join(group_heads(sets, groups), "g").select("a", "b"), "to_heads"), sets), percent)
 
-    groups = staged(connected_components(near.unionByName(to_heads)), "groups")
+    groups = staged(connected_components(stars(groups).unionByName(to_heads)), "groups")
     rows = rows.drop("grp", "r", "most").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
     rows = prune(rows.select("token", "node", "n", "grp"), percent)
-    nodes = staged(rows.select("node", "n", "most", "grp").distinct(), "nodes")
+    nodes = rows.select("node", "n", "most", "grp").distinct()
     rows = staged(prefixes(rows, percent), "prefixes")
-    heads = staged(group_heads(sets, groups), "heads")
-    opened = staged(qualifying(rows).join(heads, "g"), "opened")
+    opened = staged(qualifying(rows).join(group_heads(sets, groups), "g"), "opened")
     asking = opened.join(nodes.select(F.col("node").alias("a"), "most"), "a").select("a", "g", "most", "b")
     asking = staged(apart_from_head(asking, sets, percent), "asking")
     members = nodes.withColumnRenamed("grp", "g").join(opened.select("g", "b").distinct(), "g").where("node <> b")
-    members = staged(apart_from_head(members.select(F.col("node").alias("a"), "g", "most", "b"), sets, percent), "members")
+    members = apart_from_head(members.select(F.col("node").alias("a"), "g", "most", "b"), sets, percent)
     pairs = staged(member_pairs(asking.where("NOT linked AND NOT close"), members, percent)
                    .unionByName(prefix_pairs(rows, asking.where("NOT linked AND close"))), "pairs")
-    return (to_heads.unionByName(asking.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return (stars(groups).unionByName(asking.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
             .unionByName(verified(with_sets(pairs, sets), percent)))
 
 
@@ -415,8 +419,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = min(int(size // BUCKET_TEXT_BYTES) + 1, 60000)
-    bitmaps = shingle_sketch(rows, words)
-    shared = staged(shared_shingles(deal_shingles(rows, words, percent, bitmaps, buckets)), "shared")
+    repeated = docs.sparkSession.sparkContext.broadcast(shingle_sketch(rows, words))
+    shared = staged(shared_shingles(deal_shingles(rows, words, percent, repeated, buckets)), "shared")
+    repeated.destroy()
     about = staged(chunk_documents(shared), "about")
     classes = (about.where("n > 0").groupBy("digest")
                .agg(F.min("doc_id").alias("node"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("chunk", "row"))).alias("own")))
@@ -424,9 +429,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     owners = (about.where("doc_id IS NOT NULL").join(classes, "digest").where("own.chunk = chunk AND own.row = row")
               .select("chunk", "row", "n", "node"))
     sets = staged(candidate_sets(shared, owners, percent), "sets")
-    near = staged(group_links(sets, percent), "near")
-    far = staged(open_group_links(sets, near, percent), "far")
-    component = connected_components(near.unionByName(far))
+    component = connected_components(open_group_links(sets, group_links(sets, percent), percent))
     named = (classes.join(component, "node", "left")
              .select("digest", F.coalesce("component", "node").alias("component")))
     return (about.join(named, "digest", "left")
