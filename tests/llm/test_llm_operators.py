@@ -171,6 +171,15 @@ def test_exact_dedup(docs, empty):
     assert kept.columns == docs.columns and kept.count() == len({t or "" for t in TEXTS})
 
 
+def test_kept_documents_by_id_and_text(spark):
+    """Different texts without an id, or under one id, all stay; copies do not."""
+    rows = [(None, "only here"), (None, "only there"), (None, "only there"), (None, "numbered"), (1, "numbered"),
+            (2, "first"), (2, "second"), (3, "second"), (4, ""), (4, None)]
+    kept = exact_dedup.keep_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(None, "only here"), (None, "only there"), (1, "numbered"), (2, "first"), (3, "second"), (4, "")], key=str)
+
+
 def test_exact_dedup_checks_bytes(spark):
     """A digest that collides: texts of one length and first letter."""
     rows = [(1, "ab"), (2, "ac"), (3, "ab"), (4, "b")]

@@ -116,7 +116,7 @@ class ExactDedup:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 folder: str | None = None, digest=sha256_bytes) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, digest.
+    """One row per document: doc_id, keep_id, group_size, kept, digest, n_bytes.
 
     Texts are equal when their bytes are; the largest doc_id of a group stays.
     """
@@ -140,12 +140,19 @@ def resolve(state: ExactDedup, docs: DataFrame, id_col: str = "doc_id", text_col
         out = (out.join(unequal, ["digest", "n_bytes"], "left_anti")
                .select("digest", "n_bytes", "doc_id", "keep_id", "n").unionByName(apart))
     return out.select("doc_id", "keep_id", F.col("n").alias("group_size"),
-                      F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+                      F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "n_bytes")
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the copies: of equal texts the row with the largest
-    doc_id; of repeated rows under one doc_id, one."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return (docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
-            .dropDuplicates([id_col]))
+    doc_id; of repeated rows of one doc_id and text, one.  Rows are told apart
+    by identifier and text, so different texts under one doc_id, or under none,
+    all stay."""
+    key = ["__id", "__digest", "__n_bytes"]
+    kept = (exact_dedup(docs, id_col, text_col).where("kept")
+            .select(*[F.col(c).alias(f"__kept{k}") for c, k in zip(("doc_id", "digest", "n_bytes"), key)]).distinct())
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select("*", F.col(id_col).cast("long").alias("__id"), sha256_bytes(text).alias("__digest"),
+                       F.octet_length(text).cast("long").alias("__n_bytes"))
+    same = [rows[k].eqNullSafe(kept[f"__kept{k}"]) for k in key]
+    return rows.join(kept, same, "left_semi").dropDuplicates(key).drop(*key)
