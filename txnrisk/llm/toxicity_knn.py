@@ -1,13 +1,16 @@
-"""Toxicity by the nearest labelled examples, by exact TF-IDF cosine.
-
-Terms are words and word beginnings.  The vocabulary holds the terms that the
-labelled examples associate with either class (chi-square); document
-frequencies of those terms are counted over the whole corpus.  The examples
+"""Toxicity by the nearest labelled examples, by TF-IDF cosine over selected terms.
+
+Terms are words and word beginnings.  The vocabulary holds only the terms that
+the labelled examples associate with either class (chi-square of 20 at least,
+``max_terms`` at most), so the neighbours are not those by the texts' whole
+TF-IDF vectors, and a text of toxic words too rare among the examples gets the
+prior; the README has figures against the whole vocabulary.  Document
+frequencies of the terms are counted over the whole corpus.  The examples
 form an inverted index cut into blocks of documents, and every term stores its
 largest weight in each block.  A text's products with those maxima bound its
 cosine to any example of a block; blocks are scored in falling order of their
-bound until the next bound cannot enter the k nearest, so the k nearest are
-exact.  Each neighbour votes with its similarity (one less its distance)
+bound until the next bound cannot enter the k nearest, so the k nearest over
+these terms are exact.  Each neighbour votes with its similarity (one less its distance)
 against a prior weight, and the vote is calibrated on the examples' own
 leave-one-out votes.  The neighbours and the terms that matched are the
 evidence.
