@@ -914,7 +914,6 @@ def q_type_counts(spark, sf):
 
 
 # -------------------------------------------------------------- streaming --
-REPLAY_IDLE_SECONDS = 400 * 86400  # replays keep every sender's whole history
 def _stream_features(spark, sf):
     from txnrisk.streaming import scoring
     from txnrisk.streaming.sender_state import sender_state_features
@@ -922,7 +921,7 @@ def _stream_features(spark, sf):
     src, out = scoring.scratch(spark, "src"), scoring.scratch(spark, "out")
     scoring.replay_source(t, src, n_files=8)
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(src)
-    feats = sender_state_features(stream, idle_seconds=REPLAY_IDLE_SECONDS)
+    feats = sender_state_features(stream)
     scoring.stream_to_parquet(feats, out, scoring.scratch(spark, "ckpt"))
     return spark.read.parquet(out)
 
@@ -944,7 +943,7 @@ WINDOW w AS (PARTITION BY sender_id ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED P
 @query("stream_features", _STREAM_FEATURES_SQL)
 def q_stream_features(spark, sf):
     """Replay the table as a file stream through keyed sender state."""
-    return _stream_features(spark, sf).drop("epoch")
+    return _stream_features(spark, sf).drop("epoch", "late")
 
 
 @query("stream_velocity", _hist_sql("SELECT txn_id, sender_id, Txn_Count_Last_10_Min FROM hist"))
@@ -966,7 +965,7 @@ def q_stream_score(spark, sf):
     src, out = scoring.scratch(spark, "src"), scoring.scratch(spark, "out")
     scoring.replay_source(raw, src, n_files=4)
     scoring.run_scoring_stream(spark, src, raw.schema, model, out, scoring.scratch(spark, "ckpt"),
-                               max_files_per_trigger=2, idle_seconds=REPLAY_IDLE_SECONDS)
+                               max_files_per_trigger=2)
     return spark.read.parquet(out).select("txn_id", "fraud_probability", "fraud_type", "decision", "reason")
 
 
@@ -1170,7 +1169,7 @@ def q_latency(spark, sf):
     src, out = scoring.scratch(spark, "lat-src"), scoring.scratch(spark, "lat-out")
     scoring.replay_source(t, src, n_files=6)
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = scoring.stream_to_parquet(sender_state_features(stream, idle_seconds=REPLAY_IDLE_SECONDS), out,
+    q = scoring.stream_to_parquet(sender_state_features(stream), out,
                                   scoring.scratch(spark, "lat-ckpt"))
     rows = [(p["batchId"], float(p["durationMs"].get("triggerExecution", 0)), int(p["numInputRows"]))
             for p in q.recentProgress if p["numInputRows"] > 0]

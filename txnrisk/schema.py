@@ -90,7 +90,6 @@ ZERO_GAP_HOURS = 0.01             # divisor used when the gap is 0
 HIGH_SPEED_KMH = 1000.0
 ZERO_MEAN_DIVISOR = 0.01
 VELOCITY_WINDOW_SECONDS = 600     # 10-minute count used by the rules
-STATE_IDLE_SECONDS = 24 * 3600    # senders idle this long are evicted
 
 # Decision thresholds.
 THRESHOLD_DEFAULT, THRESHOLD_GATEWAY, THRESHOLD_EVAL = 0.3, 0.05, 0.5

@@ -22,6 +22,9 @@ from txnrisk.schema import FEATURES, THRESHOLD_DEFAULT
 from txnrisk.session import shared_path
 from txnrisk.streaming.sender_state import sender_state_features
 
+#: Reason of the rows that arrive behind the watermark.
+LATE = "Late: older than the stream's watermark"
+
 
 def replay_source(df: DataFrame, path: str, n_files: int, ts: str = "ts") -> None:
     """Write a table as ``n_files`` time slices, oldest first, one append per
@@ -64,25 +67,34 @@ def model_features(stream_feats: DataFrame) -> DataFrame:
 
 
 def score_decide(feats: DataFrame, model: PipelineModel | None, threshold: float = THRESHOLD_DEFAULT) -> DataFrame:
-    """Score with ``model`` (fraud probability), name the type, decide."""
+    """Score with ``model`` (fraud probability), name the type, decide.
+
+    Rows that came too late for their sender's state are not scored: their
+    decision is ERROR, with ``LATE`` as the reason."""
     x = model_features(feats)
+    late = F.col("late") if "late" in x.columns else F.lit(False)
     if model is not None:
         for c in FEATURES:
-            x = x.withColumn(c, F.col(c).cast("double"))
+            x = x.withColumn(c, F.when(late, 0.0).otherwise(F.col(c).cast("double")))
         x = model.transform(x).withColumn("fraud_probability",
                                           F.element_at(vector_to_array(F.col("probability")), 2))
         x = x.drop("features", "rawPrediction", "probability", "prediction")
+        x = x.withColumn("fraud_probability", F.when(~late, F.col("fraud_probability")))
+        for c in FEATURES:
+            x = x.withColumn(c, F.when(~late, F.col(c)))
     else:
         x = x.withColumn("fraud_probability", F.lit(None).cast("double"))
     x = rules.infer_fraud_type(x)
     if "validation_message" not in x.columns:
         x = x.withColumn("validation_message", F.lit(None).cast("string"))
+    x = x.withColumn("fraud_type", F.when(~late, F.col("fraud_type")))
+    x = x.withColumn("validation_message", F.when(late, LATE).otherwise(F.col("validation_message")))
     return rules.decide(x, threshold=threshold)
 
 
 def run_scoring_stream(spark: SparkSession, source: str, schema, model: PipelineModel | None,
                        out: str, checkpoint: str, threshold: float = THRESHOLD_DEFAULT,
-                       max_files_per_trigger: int = 1, idle_seconds: int = 24 * 3600):
+                       max_files_per_trigger: int = 1, idle_seconds: int | None = None):
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
     scored = score_decide(sender_state_features(events, idle_seconds=idle_seconds), model, threshold)
     return stream_to_parquet(scored, out, checkpoint)

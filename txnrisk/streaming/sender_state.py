@@ -4,9 +4,11 @@ Each sender's state holds what the next event needs: last time, device and
 location, running counters, the last 10 amounts and rapid flags, the
 timestamps of the last 10 minutes, receiver counts and the device set.  The
 state is updated event by event in (time, id) order inside each micro-batch
-and evicted when the sender has been idle for 24 hours of event time (the
-watermark).  Late rows inside the watermark are scored against the state as
-it stands when they arrive.
+and kept without expiry, unless the caller gives an idle time after which a
+sender's history starts anew.  Rows older than the 24-hour watermark come out
+with ``late`` = true and null features and leave the state alone, so no row is
+lost; late rows inside the watermark are scored against the state as it stands
+when they arrive.
 
 This is the one place where Python runs per row: a sender's events form a
 sequential chain, so each group is folded in order; the grouping, shuffling
@@ -27,7 +29,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from txnrisk.schema import (EARTH_RADIUS_KM, FIRST_GAP_HOURS, FIRST_GAP_MINUTES, GAP_COUNT_HOURS,
                             HIGH_SPEED_KMH, MISSING_DISTANCE_KM, RAPID_GAP_HOURS, ROLLING_ROWS,
-                            STATE_IDLE_SECONDS, UNUSUAL_DISTANCE_KM, UNUSUAL_GAP_HOURS,
+                            UNUSUAL_DISTANCE_KM, UNUSUAL_GAP_HOURS,
                             VELOCITY_WINDOW_SECONDS, ZERO_GAP_HOURS)
 
 FEATURE_FIELDS = [
@@ -242,15 +244,35 @@ def _fold_vectorized(st: _SenderState, pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int,
-               vectorize_min_rows: int = VECTORIZE_MIN_ROWS):
+def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int | None,
+               vectorize_min_rows: int = VECTORIZE_MIN_ROWS, streaming: bool = True):
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        st = _SenderState(state.get if state.exists else None)
         pdf = pd.concat(list(batches), ignore_index=True)
+        late = pdf["_us"] < state.getCurrentWatermarkMs() * 1000 if streaming else pd.Series(False, pdf.index)
+        if late.any():
+            old = pdf.loc[late, [tie, *passthrough]].reset_index(drop=True)
+            old.insert(0, key_col, key[0])
+            yield old.reindex(columns=[*old.columns, *[f for f, _ in FEATURE_FIELDS]]).assign(late=True)
+            pdf = pdf[~late]
+            if pdf.empty:
+                return
+        st = _SenderState(state.get if state.exists else None)
         pdf = pdf.sort_values(["_us", tie], kind="mergesort").reset_index(drop=True)
+        if idle_seconds is None:
+            runs = [pdf]
+        else:  # a gap of ``idle_seconds`` starts a fresh history
+            before = pdf["_us"].shift(1, fill_value=int(pdf["_us"].iloc[0]) if st.last_us is None else st.last_us)
+            anew = pdf["_us"] - before >= idle_seconds * 1_000_000
+            runs = [run.reset_index(drop=True) for _, run in pdf.groupby(anew.cumsum())]
+            if anew.iloc[0]:
+                st = _SenderState()
+        for k, run in enumerate(runs):
+            if k:
+                st = _SenderState()
+            yield on_time(key, st, run)
+        state.update(st.to_row())
+
+    def on_time(key, st: _SenderState, pdf: pd.DataFrame) -> pd.DataFrame:
         in_order = st.last_us is None or int(pdf["_us"].iloc[0]) >= st.last_us
         if in_order and len(pdf) >= vectorize_min_rows:
             res = _fold_vectorized(st, pdf)
@@ -258,26 +280,23 @@ def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int
             feats = [st.step(int(u), float(a), d, loc, r) for u, a, d, loc, r in
                      zip(pdf["_us"], pdf["amount"], pdf["device_id"], pdf["location"], pdf["receiver_id"])]
             res = pd.DataFrame(feats, columns=[f for f, _ in FEATURE_FIELDS])
-        state.update(st.to_row())
-        # Evict after ``idle_seconds`` of event-time inactivity (never before
-        # the current watermark, which the timeout may not precede).
-        wm = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(int(st.last_us // 1000) + idle_seconds * 1000, wm + 1))
         base = pdf[[tie, *passthrough]].reset_index(drop=True)
         res = pd.concat([base, res.reset_index(drop=True)], axis=1)
         res.insert(0, key_col, key[0])
-        yield res
+        return res.assign(late=False)
     return fold
 
 
 def sender_state_features(events: DataFrame, key: str = "sender_id", tie: str = "txn_id",
-                          watermark: str = "24 hours", idle_seconds: int = STATE_IDLE_SECONDS,
+                          watermark: str = "24 hours", idle_seconds: int | None = None,
                           vectorize_min_rows: int = VECTORIZE_MIN_ROWS) -> DataFrame:
     """Streaming DataFrame of events -> events with point-in-time features.
 
-    A sender idle for ``idle_seconds`` of event time loses its state (its
-    next event starts a fresh history); choose it longer than any gap whose
-    history must survive.
+    Every row comes out.  One older than the watermark has ``late`` = true and
+    null features: its place in the sender's order has passed.  With
+    ``idle_seconds`` a sender's first event after that much event time without
+    one starts a fresh history; by default histories are kept for good.  Spark
+    itself drops rows only under an event-time timeout, so none is set.
     """
     from pyspark.sql import functions as F
     ev = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -285,10 +304,11 @@ def sender_state_features(events: DataFrame, key: str = "sender_id", tie: str =
     fields = {f.name: f for f in ev.schema.fields}
     out_schema = T.StructType([T.StructField(key, T.StringType()), fields[tie]]
                               + [fields[c] for c in passthrough]
-                              + [T.StructField(n, t) for n, t in FEATURE_FIELDS])
+                              + [T.StructField(n, t) for n, t in FEATURE_FIELDS]
+                              + [T.StructField("late", T.BooleanType())])
     ev = ev.withColumn("_us", F.unix_micros(F.col("ts"))).select(key, tie, "_us", *passthrough)
     if events.isStreaming:
         ev = ev.withWatermark("ts", watermark)
     return ev.groupBy(key).applyInPandasWithState(
-        _make_fold(key, tie, passthrough, idle_seconds, vectorize_min_rows), out_schema, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+        _make_fold(key, tie, passthrough, idle_seconds, vectorize_min_rows, events.isStreaming), out_schema,
+        STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
