@@ -12,7 +12,9 @@ when they arrive.
 
 This is the one place where Python runs per row: a sender's events form a
 sequential chain, so each group is folded in order; the grouping, shuffling
-and state storage are Spark's.
+and state storage are Spark's.  The fold (``_advance``) is the same for groups
+of any size; distance, speed and their flags are column expressions after it.
+``_SenderState.step`` is the row-by-row definition that tests compare it with.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from txnrisk.functions import geo
 from txnrisk.schema import (EARTH_RADIUS_KM, FIRST_GAP_HOURS, FIRST_GAP_MINUTES, GAP_COUNT_HOURS,
                             HIGH_SPEED_KMH, MISSING_DISTANCE_KM, RAPID_GAP_HOURS, ROLLING_ROWS,
                             UNUSUAL_DISTANCE_KM, UNUSUAL_GAP_HOURS,
@@ -133,126 +136,115 @@ class _SenderState:
                 len(self.recent_us), len(self.devices), len(self.receivers), self.amount_sum / self.n)
 
 
-# Groups this large (a busy sender in one micro-batch) are folded with array
-# operations; smaller ones row by row, where pandas' fixed costs would dominate.
-VECTORIZE_MIN_ROWS = 256
-
 PASSTHROUGH = ["ts", "amount", "device_id", "location", "receiver_id", "txn_type", "merchant_type",
                "is_fraud"]
 
 
-def _parse_many(locs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Vector form of ``_parse``: lat/lon arrays, NaN where unparseable."""
-    parsed = [_parse(x) if isinstance(x, str) else None for x in locs]
-    lat = np.array([p[0] if p else np.nan for p in parsed], dtype=float)
-    lon = np.array([p[1] if p else np.nan for p in parsed], dtype=float)
-    return lat, lon
-
-
-def _haversine_many(lat1, lon1, lat2, lon2) -> np.ndarray:
-    s_lat = np.sin(np.radians(lat2 - lat1) / 2)
-    s_lon = np.sin(np.radians(lon2 - lon1) / 2)
-    h = s_lat * s_lat + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * s_lon * s_lon
-    root = np.sqrt(h)
-    d = EARTH_RADIUS_KM * (2 * np.arcsin(np.where(root > 1.0, 1.0, root)))
-    return np.where(np.isnan(d), MISSING_DISTANCE_KM, d)
-
-
-def _fold_vectorized(st: _SenderState, pdf: pd.DataFrame) -> pd.DataFrame:
-    """All events of one sender in one micro-batch, in time order, at once.
-
-    Same results as stepping ``_SenderState.step`` row by row (used when the
-    batch holds rows older than the state, i.e. late data)."""
+def _rolling_stats(values: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample deviation of the last ``ROLLING_ROWS`` values at each
+    position from ``first`` on.  Each window is summed on its own, oldest value
+    first, so no value outside it and no batch boundary leaves a trace."""
+    pos = np.arange(first, len(values))
+    n = np.minimum(pos + 1, ROLLING_ROWS)
+    mean, std = np.empty(len(pos)), np.zeros(len(pos))
+    for lo in range(0, len(pos), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        at = pos[part, None] - np.arange(ROLLING_ROWS)[::-1]
+        held, window = at >= 0, values[np.maximum(at, 0)]
+        mean[part] = np.cumsum(np.where(held, window, 0.0), axis=1)[:, -1] / n[part]
+        off = np.where(held, window - mean[part, None], 0.0)
+        std[part] = np.sqrt(np.cumsum(off * off, axis=1)[:, -1] / np.maximum(n[part] - 1, 1))
+    return mean, std
+
+
+def _advance(st: _SenderState, pdf: pd.DataFrame) -> dict:
+    """All events of one sender in one micro-batch, in time order: moves the
+    state on and returns, by column, what each event needs of it.  Rows older
+    than the state are taken as they come.  Batches of any size give the same."""
     m = len(pdf)
     us = pdf["_us"].to_numpy(dtype=np.int64)
     amt = pdf["amount"].to_numpy(dtype=float)
     first_ever = st.last_us is None
-    prev_us = np.concatenate([[st.last_us if not first_ever else 0], us[:-1]]).astype(np.int64)
-    gap = (us - prev_us).astype(float)
-    gap_h = gap / 1e6 / 3600.0
-    gap_m = gap / 1e6 / 60.0
+    gap = np.diff(us, prepend=us[0] if first_ever else st.last_us).astype(float)
+    tdh, tsl = gap / 1e6 / 3600.0, gap / 1e6 / 60.0
     if first_ever:
-        gap_h[0], gap_m[0] = np.nan, np.nan
-    tdh = np.where(np.isnan(gap_h), FIRST_GAP_HOURS, gap_h)
-    tsl = np.where(np.isnan(gap_m), FIRST_GAP_MINUTES, gap_m)
+        tdh[0], tsl[0] = FIRST_GAP_HOURS, FIRST_GAP_MINUTES
     n_total = st.n + np.arange(1, m + 1)
     gap_counts = [st.gap_counts[i] + np.cumsum(tdh <= h) for i, h in enumerate(GAP_COUNT_HOURS)]
     # Rolling 10: previous amounts/flags from the state, then this batch.
     k = len(st.amounts)
-    all_amt = pd.Series(np.concatenate([np.asarray(st.amounts, dtype=float), amt]))
-    roll = all_amt.rolling(ROLLING_ROWS, min_periods=1)
-    mean10 = roll.mean().to_numpy()[k:]
-    std10 = np.nan_to_num(roll.std(ddof=1).to_numpy()[k:], nan=0.0)
-    rapid_new = (tdh <= RAPID_GAP_HOURS).astype(int)
-    kr = len(st.rapid)
-    all_rapid = pd.Series(np.concatenate([np.asarray(st.rapid, dtype=int), rapid_new]))
-    rapid10 = all_rapid.rolling(ROLLING_ROWS, min_periods=1).sum().to_numpy()[kr:].astype(np.int64)
+    all_amt = np.concatenate([np.asarray(st.amounts, dtype=float), amt])
+    mean10, std10 = _rolling_stats(all_amt, k)
+    all_rapid = np.concatenate([np.asarray(st.rapid, dtype=np.int64), (tdh <= RAPID_GAP_HOURS).astype(np.int64)])
+    runs = np.concatenate([[0], np.cumsum(all_rapid)])
+    end = np.arange(k, k + m) + 1
+    rapid10 = runs[end] - runs[np.maximum(end - ROLLING_ROWS, 0)]
     # 10-minute count: rows in (t - 10 min, t], earlier-or-equal in processing order.
-    recent = np.asarray(st.recent_us, dtype=np.int64)
-    all_us = np.concatenate([recent, us])
-    window = VELOCITY_WINDOW_SECONDS * 1_000_000
-    pos = len(recent) + np.arange(m)
-    left = np.searchsorted(all_us, us - window, side="right")
-    count10 = pos - left + 1
-    # Device novelty and distance against the previous event.
-    dev = pdf["device_id"].astype(object).to_numpy()
-    prev_dev = np.concatenate([[st.last_device if not first_ever else None], dev[:-1]])
-    same_dev = np.array([a is not None and a == b for a, b in zip(dev, prev_dev)])
-    if first_ever:
-        same_dev[0] = False
-    new_device = np.where(same_dev, 0, 1)
-    loc = pdf["location"]
-    prev_loc = pd.Series([st.last_location if not first_ever else None] + list(loc.iloc[:-1]), dtype=object)
-    lat, lon = _parse_many(loc)
-    plat, plon = _parse_many(prev_loc)
-    dist = _haversine_many(lat, lon, plat, plon)
-    unusual = ((dist > UNUSUAL_DISTANCE_KM) & (tdh < UNUSUAL_GAP_HOURS)).astype(int)
-    speed = dist / np.where(tdh == 0, ZERO_GAP_HOURS, tdh)
+    recent = np.sort(np.asarray(st.recent_us, dtype=np.int64))
+    cutoff = us - VELOCITY_WINDOW_SECONDS * 1_000_000
+    count10 = (len(recent) - np.searchsorted(recent, cutoff, side="right")
+               + np.arange(1, m + 1) - np.searchsorted(us, cutoff, side="right"))
+    # Device novelty and location against the previous event.
+    dev, loc = ([None if pd.isna(x) else x for x in pdf[c]] for c in ("device_id", "location"))
+    new_device = [int(a is None or a != b) for a, b in zip(dev, [st.last_device, *dev])]
+    prev_location = [st.last_location, *loc[:-1]]
     # Receiver frequency and first sightings (state counts + order in batch).
-    rkey = pdf["receiver_id"].astype(object).where(pdf["receiver_id"].notna(), "").astype(str)
-    dkey = pdf["device_id"].astype(object).where(pdf["device_id"].notna(), "").astype(str)
-    freq = (rkey.map(lambda r: st.receivers.get(r, 0)).to_numpy()
-            + rkey.groupby(rkey).cumcount().to_numpy() + 1)
-    seen_dev = set(st.devices)
-    dev_first = (~dkey.isin(seen_dev) & ~dkey.duplicated()).to_numpy()
-    rcv_first = (freq == 1)
-    amount_sum = st.amount_sum + np.cumsum(amt)
-    out = pd.DataFrame({
+    freq, n_devices, n_receivers = [], [], []
+    seen = set(st.devices)
+    for r, d in zip(pdf["receiver_id"], dev):
+        r, d = "" if pd.isna(r) else str(r), "" if d is None else str(d)
+        st.receivers[r] = st.receivers.get(r, 0) + 1
+        if d not in seen:
+            seen.add(d)
+            st.devices.append(d)
+        freq.append(st.receivers[r])
+        n_devices.append(len(st.devices))
+        n_receivers.append(len(st.receivers))
+    amount_sum = np.cumsum(np.concatenate([[st.amount_sum], amt]))[1:]
+    # New state.
+    st.last_us, st.last_device, st.last_location = int(us[-1]), dev[-1], loc[-1]
+    st.n = int(n_total[-1])
+    st.gap_counts = [int(g[-1]) for g in gap_counts]
+    st.amounts = [float(x) for x in all_amt[-ROLLING_ROWS:]]
+    st.rapid = [int(x) for x in all_rapid[-ROLLING_ROWS:]]
+    st.recent_us = [int(t) for t in np.concatenate([recent, us]) if t > cutoff[-1]]
+    st.amount_sum = float(amount_sum[-1])
+    return {
         "Time_Since_Last_Txn": tsl, "Time_Diff_Hours": tdh, "Txn_Count_Total": n_total,
         "Txn_Count_Last_1H": gap_counts[0], "Txn_Count_Last_6H": gap_counts[1],
         "Txn_Count_Last_24H": gap_counts[2], "Rapid_Txn_Count_Last_1H": rapid10,
         "Amount_Rolling_Mean_10": mean10, "Amount_Rolling_Std_10": std10, "Is_New_Device": new_device,
-        "Location_Distance_Km": dist, "Is_Unusual_Location": unusual, "Location_Speed_Kmh": speed,
-        "Is_High_Speed": (speed > HIGH_SPEED_KMH).astype(int), "Receiver_Frequency": freq,
-        "Is_First_Time_Receiver": (freq == 1).astype(int), "Txn_Count_Last_10_Min": count10,
-        "device_count_so_far": len(st.devices) + np.cumsum(dev_first),
-        "receiver_diversity_so_far": len(st.receivers) + np.cumsum(rcv_first),
+        "prev_location": prev_location, "Receiver_Frequency": freq,
+        "Is_First_Time_Receiver": [int(f == 1) for f in freq], "Txn_Count_Last_10_Min": count10,
+        "device_count_so_far": n_devices, "receiver_diversity_so_far": n_receivers,
         "sender_mean_so_far": amount_sum / n_total,
-    })
-    # New state.
-    st.last_us, st.last_device, st.last_location = int(us[-1]), dev[-1], loc.iloc[-1]
-    st.n = int(n_total[-1])
-    st.gap_counts = [int(g[-1]) for g in gap_counts]
-    st.amounts = [float(x) for x in all_amt.to_numpy()[-ROLLING_ROWS:]]
-    st.rapid = [int(x) for x in all_rapid.to_numpy()[-ROLLING_ROWS:]]
-    st.recent_us = [int(t) for t in all_us[all_us > us[-1] - window]]
-    for r in rkey:
-        st.receivers[r] = st.receivers.get(r, 0) + 1
-    for d in dkey[dev_first]:
-        st.devices.append(d)
-    st.amount_sum = float(amount_sum[-1])
-    return out
+    }
+
+
+def _fold_vectorized(st: _SenderState, pdf: pd.DataFrame) -> pd.DataFrame:
+    """``_advance`` with the location columns of ``_SenderState.step``; for comparison with it."""
+    x = _advance(st, pdf)
+    x["Location_Distance_Km"] = dist = np.array([_haversine(_parse(a), _parse(b)) for a, b in
+                                                 zip(pdf["location"], x["prev_location"])])
+    x["Is_Unusual_Location"] = ((dist > UNUSUAL_DISTANCE_KM) & (x["Time_Diff_Hours"] < UNUSUAL_GAP_HOURS)).astype(int)
+    x["Location_Speed_Kmh"] = speed = dist / np.where(x["Time_Diff_Hours"] == 0, ZERO_GAP_HOURS, x["Time_Diff_Hours"])
+    x["Is_High_Speed"] = (speed > HIGH_SPEED_KMH).astype(int)
+    return pd.DataFrame(x)[[f for f, _ in FEATURE_FIELDS]]
+
+
+#: What the fold leaves to column expressions (``functions/geo.py``).
+LOCATION_FIELDS = ["Location_Distance_Km", "Is_Unusual_Location", "Location_Speed_Kmh", "Is_High_Speed"]
+FOLD_FIELDS = [(f, t) for f, t in FEATURE_FIELDS if f not in LOCATION_FIELDS] + [("prev_location", T.StringType())]
 
 
-def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int | None,
-               vectorize_min_rows: int = VECTORIZE_MIN_ROWS, streaming: bool = True):
+def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int | None, streaming: bool = True):
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches), ignore_index=True)
         late = pdf["_us"] < state.getCurrentWatermarkMs() * 1000 if streaming else pd.Series(False, pdf.index)
         if late.any():
             old = pdf.loc[late, [tie, *passthrough]].reset_index(drop=True)
             old.insert(0, key_col, key[0])
-            yield old.reindex(columns=[*old.columns, *[f for f, _ in FEATURE_FIELDS]]).assign(late=True)
+            yield old.reindex(columns=[*old.columns, *[f for f, _ in FOLD_FIELDS]]).assign(late=True)
             pdf = pdf[~late]
             if pdf.empty:
                 return
@@ -273,13 +265,7 @@ def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int
         state.update(st.to_row())
 
     def on_time(key, st: _SenderState, pdf: pd.DataFrame) -> pd.DataFrame:
-        in_order = st.last_us is None or int(pdf["_us"].iloc[0]) >= st.last_us
-        if in_order and len(pdf) >= vectorize_min_rows:
-            res = _fold_vectorized(st, pdf)
-        else:  # small groups and late rows: fold one by one against the state
-            feats = [st.step(int(u), float(a), d, loc, r) for u, a, d, loc, r in
-                     zip(pdf["_us"], pdf["amount"], pdf["device_id"], pdf["location"], pdf["receiver_id"])]
-            res = pd.DataFrame(feats, columns=[f for f, _ in FEATURE_FIELDS])
+        res = pd.DataFrame(_advance(st, pdf))[[f for f, _ in FOLD_FIELDS]]
         base = pdf[[tie, *passthrough]].reset_index(drop=True)
         res = pd.concat([base, res.reset_index(drop=True)], axis=1)
         res.insert(0, key_col, key[0])
@@ -289,7 +275,7 @@ def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int
 
 def sender_state_features(events: DataFrame, key: str = "sender_id", tie: str = "txn_id",
                           watermark: str = "24 hours", idle_seconds: int | None = None,
-                          vectorize_min_rows: int = VECTORIZE_MIN_ROWS) -> DataFrame:
+                          vectorize_min_rows: int | None = None) -> DataFrame:
     """Streaming DataFrame of events -> events with point-in-time features.
 
     Every row comes out.  One older than the watermark has ``late`` = true and
@@ -297,6 +283,7 @@ def sender_state_features(events: DataFrame, key: str = "sender_id", tie: str =
     ``idle_seconds`` a sender's first event after that much event time without
     one starts a fresh history; by default histories are kept for good.  Spark
     itself drops rows only under an event-time timeout, so none is set.
+    ``vectorize_min_rows`` is accepted and has no effect: there is one fold.
     """
     from pyspark.sql import functions as F
     ev = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -304,11 +291,18 @@ def sender_state_features(events: DataFrame, key: str = "sender_id", tie: str =
     fields = {f.name: f for f in ev.schema.fields}
     out_schema = T.StructType([T.StructField(key, T.StringType()), fields[tie]]
                               + [fields[c] for c in passthrough]
-                              + [T.StructField(n, t) for n, t in FEATURE_FIELDS]
+                              + [T.StructField(n, t) for n, t in FOLD_FIELDS]
                               + [T.StructField("late", T.BooleanType())])
     ev = ev.withColumn("_us", F.unix_micros(F.col("ts"))).select(key, tie, "_us", *passthrough)
     if events.isStreaming:
         ev = ev.withWatermark("ts", watermark)
-    return ev.groupBy(key).applyInPandasWithState(
-        _make_fold(key, tie, passthrough, idle_seconds, vectorize_min_rows, events.isStreaming), out_schema,
+    out = ev.groupBy(key).applyInPandasWithState(
+        _make_fold(key, tie, passthrough, idle_seconds, events.isStreaming), out_schema,
         STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    gap = F.col("Time_Diff_Hours")
+    out = out.withColumn("Location_Distance_Km", geo.location_distance_km(F.col("location"), F.col("prev_location")))
+    out = out.withColumn("Location_Speed_Kmh", geo.speed_kmh(F.col("Location_Distance_Km"), gap))
+    out = (out.withColumn("Is_Unusual_Location", geo.is_unusual_location(F.col("Location_Distance_Km"), gap).cast("long"))
+           .withColumn("Is_High_Speed", geo.is_high_speed(F.col("Location_Speed_Kmh")).cast("long")))
+    shown = [F.when(~F.col("late"), F.col(f)).alias(f) if f in LOCATION_FIELDS else F.col(f) for f, _ in FEATURE_FIELDS]
+    return out.select(key, tie, *passthrough, *shown, "late")
