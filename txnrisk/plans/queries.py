@@ -960,7 +960,7 @@ def q_stream_score(spark, sf):
     t = _txn(spark, sf)
     # Trained on point-in-time features: the stream's sender state only knows the past.
     feats = ml.hash_split(features.build_features(t, point_in_time=True), 0.2, 42)
-    model = ml.fit(ml.random_forest_pipeline(num_trees=10, max_depth=6), feats.where(F.col("split") == "train"))
+    model = ml.fit(ml.random_forest_pipeline(), feats.where(F.col("split") == "train"))
     raw = t.drop("user_id", "k")
     src, out = scoring.scratch(spark, "src"), scoring.scratch(spark, "out")
     scoring.replay_source(raw, src, n_files=4)
@@ -995,7 +995,7 @@ def q_train_rf(spark, sf):
     """Random forest on the train split (balanced weights); test-split scores."""
     from txnrisk.operators import ml
     f = _split_features(spark, sf)
-    model = ml.fit(ml.random_forest_pipeline(num_trees=20, max_depth=10, min_leaf=4), f.where(F.col("split") == "train"))
+    model = ml.fit(ml.random_forest_pipeline(), f.where(F.col("split") == "train"))
     return ml.score(model, f.where(F.col("split") == "test")).select("txn_id", "is_fraud", "score", "pred")
 
 
@@ -1004,7 +1004,7 @@ def q_train_gbt(spark, sf):
     """Boosted trees with fixed positive weight 10; test-split scores."""
     from txnrisk.operators import ml
     f = _split_features(spark, sf)
-    model = ml.fit(ml.boosted_trees_pipeline(max_iter=20, max_depth=6), f.where(F.col("split") == "train"),
+    model = ml.fit(ml.boosted_trees_pipeline(), f.where(F.col("split") == "train"),
                    balance="fixed", fixed_positive=10.0)
     return ml.score(model, f.where(F.col("split") == "test")).select("txn_id", "is_fraud", "score", "pred")
 
@@ -1013,7 +1013,7 @@ def q_train_gbt(spark, sf):
 def q_importance(spark, sf):
     from txnrisk.operators import ml
     f = _split_features(spark, sf)
-    model = ml.fit(ml.random_forest_pipeline(num_trees=20), f.where(F.col("split") == "train"))
+    model = ml.fit(ml.random_forest_pipeline(), f.where(F.col("split") == "train"))
     rows = ml.feature_importance(model)
     return spark.createDataFrame([(n, float(v)) for n, v in rows], "feature string, importance double")
 
@@ -1067,7 +1067,7 @@ def q_retrain(spark, sf):
     classes = relabelled.agg(F.count_distinct("is_fraud")).first()[0]
     if classes < 2:
         raise ValueError("retraining needs both classes")
-    model = ml.fit(ml.random_forest_pipeline(num_trees=10, max_depth=8), relabelled)
+    model = ml.fit(ml.random_forest_pipeline(), relabelled)
     from txnrisk.streaming.scoring import scratch
     ml.save_pipeline(model, scratch(spark, "models"), "v1")
     return ml.score(model, f.where(F.col("split") == "test")).select("txn_id", "is_fraud", "score", "pred")
@@ -1189,7 +1189,7 @@ def q_model_quality(spark, sf):
     cut = f.select(F.percentile_approx(F.unix_micros("ts"), 0.8).alias("_cut"))
     f = clean.attach_one_row(f, cut).withColumn(
         "split", F.when(F.unix_micros("ts") > F.col("_cut"), "test").otherwise("train")).drop("_cut")
-    model = ml.fit(ml.random_forest_pipeline(num_trees=30, max_depth=10), f.where(F.col("split") == "train"))
+    model = ml.fit(ml.random_forest_pipeline(), f.where(F.col("split") == "train"))
     scored = ml.score(model, f.where(F.col("split") == "test"))
     sweep = evaluate.threshold_sweep(scored)
     best = evaluate.best_threshold(sweep)
