@@ -5,11 +5,12 @@ line goes when it lies in a run whose line sequence also starts earlier: in a
 document with a smaller doc_id, or in the same document further up.
 
 Winnowing picks, in every window of ``min_run`` line hashes, the smallest
-one; equal runs pick the same line, so a repeated run is sure to share a
-fingerprint.  Fingerprints at more than one position are joined, and around
-each the match is extended both ways through the windows that picked it,
-compared by their whole sequence of line hashes.  Overlapping windows make up
-the full repeated run.
+one; equal windows pick the same line, so a repeated run is sure to share a
+fingerprint.  Every window is staged with its hashes; fingerprints at more than
+one position only narrow the windows down (a semi-join).  Repeats are then
+found by grouping whole windows, which stands in for joining fingerprint
+positions and extending each match: a run of any length is made up of its
+overlapping windows, each of which repeats an earlier one.
 
 Defined cases: null or empty text has no lines; blank lines are never matched
 and stay; a document without ``min_run`` lines stays whole; rows with a null
