@@ -300,6 +300,25 @@ def test_quality(spark, docs, empty):
     assert abs(quality_pu.estimate_prior(np.linspace(0, 1, 4000), np.r_[np.linspace(0, 1, 2800), np.full(1200, -1.0)]) - 0.7) < 0.06
 
 
+def test_quality_statistics_of_all_rows(spark):
+    """Centring counts every row, and the fit takes one row of an id however often it is repeated."""
+    texts = [prose(22, 200 + i) if i % 2 else " | ".join(prose(20, 300 + i).split()) for i in range(60)]
+    rows = list(enumerate(texts)) + [(1000, "one | two | three !!!")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 40, 2)], "doc_id long, quality int")
+    x = np.concatenate([quality_pu.measurements(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for _, t in rows])
+    models = [quality_pu.train(docs, labels, fit_rows=n) for n in (20, 100)]
+    for m in models:
+        assert np.allclose(m["centre"], x.mean(axis=0)) and np.allclose(m["scale"], x.std(axis=0) + 1e-6, atol=1e-6)
+    nets = {h: models[0]["net"] for h in (0, 1)}
+    half, cuts = F.col("doc_id") % 2, {h: np.array([-1.0, 0.0, 0.5]) for h in (0, 1)}
+    got = quality_pu.corpus_tails(docs, half, nets, cuts, models[0]["centre"], models[0]["scale"])
+    scores = quality_pu.logits(np.clip((x - models[0]["centre"]) / models[0]["scale"], -8, 8), nets[0])
+    for h in (0, 1):
+        own = scores[[i % 2 == h for i, _ in rows]]
+        assert got[h][1] == len(own) and np.allclose(got[h][0], [(own >= c).mean() for c in cuts[h]])
+
+
 def test_language(spark, docs, empty):
     import glob
     known = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -3,14 +3,16 @@
 A small network is trained on trusted positives and unlabelled web text with
 the non-negative risk: the unlabelled rows' loss as negatives, less the
 positives' share of it, is held at zero or above.  The class prior is
-estimated from the two samples alone: the unlabelled sample's tail above a
-score divided by the positives' tail, at its least over all scores, with a
-margin for the sample size, each half scored by a network fitted on the other.  Inputs are style measurements of the whole text
+estimated from scores alone: the share of all unlabelled rows above a score
+divided by the positives' share, at its least over all scores, with a
+margin for their numbers, each half scored by a network fitted on the other.  Inputs are style measurements of the whole text
 (character classes, word repetition, line shapes); labels, language, source
 and ids are never inputs.
 
 At most ``fit_rows`` positives and ``fit_rows`` unlabelled rows, those of the
-smallest hashed ids, are fitted on; every text is scored in full.
+smallest hashed ids and one for an id, are fitted on.  The centring of the
+measurements and the unlabelled shares behind the prior come from all rows, by
+one pass each; every text is scored in full.
 
 Defined cases: null and empty text get the score of a text whose every
 measurement is 0; without positives or unlabelled rows every score is 1 (no
@@ -110,23 +112,71 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> floa
     """Share of positives among the unlabelled, from both samples' scores: the
     least ratio of tail masses, where both tails' sampling margins are small."""
     cuts = np.unique(np.concatenate([pos, unl]))
-    tail_p = 1 - np.searchsorted(np.sort(pos), cuts) / len(pos)
-    tail_u = 1 - np.searchsorted(np.sort(unl), cuts) / len(unl)
-    margin = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(unl)))
+    return prior_from_tails(tails(cuts, pos), 1 - np.searchsorted(np.sort(unl), cuts) / len(unl), len(pos), len(unl), delta)
+
+
+def tails(cuts: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Share of ``scores`` at or above each cut."""
+    return 1 - np.searchsorted(np.sort(scores), cuts) / len(scores)
+
+
+def prior_from_tails(tail_p: np.ndarray, tail_u: np.ndarray, n_pos: int, n_unl: int, delta: float = 0.1) -> float:
+    margin = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(n_pos) + 1 / np.sqrt(n_unl))
     ok = tail_p > 0
     at = np.argmin((tail_u[ok] + margin) / tail_p[ok])
     # the lower end of the estimate: a prior that is too high makes accepting everything the least risk
-    share = tail_u[ok][at] / tail_p[ok][at] * (1 - 0.5 * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(unl))))
+    share = tail_u[ok][at] / tail_p[ok][at] * (1 - 0.5 * (1 / np.sqrt(n_pos) + 1 / np.sqrt(n_unl)))
     return float(np.clip(share, 0.05, 0.95))
 
 
-def _half_prior(z, is_pos, is_unl, half: int) -> float:
-    """The prior from the scores of one half, ranked by a net fitted on the other."""
-    own = np.arange(len(z)) % 2 == half
-    if not all(part.any() for part in (is_pos & own, is_unl & own, is_pos & ~own, is_unl & ~own)):
-        return 0.5
-    net = fit_nnpu(z[is_pos & ~own], z[is_unl & ~own], 0.5)
-    return estimate_prior(logits(z[is_pos & own], net), logits(z[is_unl & own], net))
+def corpus_moments(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of every measurement over all rows."""
+    def sums(batches):
+        n, total, squares = 0, np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
+        for batch in batches:
+            for _, data, offsets in common.text_chunks(batch.column(0)):
+                x = measurements(data, offsets)
+                n, total, squares = n + len(x), total + x.sum(axis=0), squares + (x * x).sum(axis=0)
+        yield pa.record_batch({"k": pa.array(np.arange(len(FEATURES))), "n": pa.array(np.full(len(FEATURES), n)),
+                               "s": pa.array(total), "q": pa.array(squares)})
+
+    rows = (docs.select(F.col(text_col).cast("string")).mapInArrow(sums, "k long, n long, s double, q double")
+            .groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("k").collect())  # one row per measurement
+    n = np.array([max(r.n, 1) for r in rows], dtype=float)
+    mean = np.array([r.s for r in rows]) / n
+    return mean, np.sqrt(np.maximum(np.array([r.q for r in rows]) / n - mean * mean, 0)) + 1e-6
+
+
+def corpus_tails(docs: DataFrame, half, nets: dict, cuts: dict, centre, scale, text_col: str = "text") -> dict:
+    """By half: the share of all its rows with a score at or above each cut,
+    and their number, scored by that half's net."""
+    shared = docs.sparkSession.sparkContext.broadcast((nets, cuts, centre, scale))
+
+    def count(batches):
+        nets, cuts, centre, scale = shared.value
+        bins = {h: np.zeros(len(c) + 1, dtype=np.int64) for h, c in cuts.items()}
+        for batch in batches:
+            halves = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, data, offsets in common.text_chunks(batch.column(0)):
+                z = np.clip((measurements(data, offsets) - centre) / scale, -8, 8)
+                for h, c in cuts.items():
+                    own = halves[lo:lo + len(z)] == h
+                    if own.any():
+                        at = np.searchsorted(c, logits(z[own], nets[h]), side="right")
+                        bins[h] += np.bincount(at, minlength=len(c) + 1)
+        for h, b in bins.items():
+            yield pa.record_batch({"half": pa.array(np.full(len(b), h, dtype=np.int32)), "bin": pa.array(np.arange(len(b))), "n": pa.array(b)})
+
+    rows = (docs.select(F.col(text_col).cast("string"), half.cast("int")).mapInArrow(count, "half int, bin long, n long")
+            .groupBy("half", "bin").agg(F.sum("n").alias("n")).collect())  # one row per half and cut
+    out = {}
+    for h, c in cuts.items():
+        bins = np.zeros(len(c) + 1)
+        for row in rows:
+            if row.half == h:
+                bins[row.bin] = row.n
+        out[h] = np.cumsum(bins[::-1])[::-1][1:] / max(bins.sum(), 1), int(bins.sum())
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
@@ -142,20 +192,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for lo, data, offsets in common.text_chunks(batch.column("text")):
                 n = len(offsets) - 1
-                yield pa.record_batch({"id": batch.column("id").slice(lo, n), "p": batch.column("p").slice(lo, n), "u": batch.column("u").slice(lo, n),
+                yield pa.record_batch({"id": batch.column("id").slice(lo, n), "p": batch.column("p").slice(lo, n), "u": batch.column("u").slice(lo, n), "half": batch.column("half").slice(lo, n),
                                        "x": pa.array(list(measurements(data, offsets)), pa.list_(pa.float64()))})
 
+    half = F.pmod(F.xxhash64(id_col, F.lit(seed + 1)), F.lit(2))
     rows = (docs.join(F.broadcast(picked), id_col)
-            .select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), "p", (~F.col("only")).alias("u"))
-            .mapInArrow(measure, "id long, p boolean, u boolean, x array<double>").collect())  # 2 * fit_rows rows at most
+            .groupBy(F.col(id_col)).agg(F.min(F.col(text_col).cast("string")).alias("text"), F.first("p").alias("p"), F.first("only").alias("only"))
+            .select(F.col(id_col).cast("long").alias("id"), "text", "p", (~F.col("only")).alias("u"), half.cast("int").alias("half"))
+            .mapInArrow(measure, "id long, p boolean, u boolean, half int, x array<double>").collect())  # 2 * fit_rows rows at most
     rows.sort(key=lambda r: (r.id, r.x))
     x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
     is_pos, is_unl = np.array([r.p for r in rows], dtype=bool), np.array([r.u for r in rows], dtype=bool)
     if not is_pos.any() or not is_unl.any():
         return {"net": None, "prior": None}
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    centre, scale = corpus_moments(docs, text_col)
     z = np.clip((x - centre) / scale, -8, 8)
-    prior = float(np.mean([_half_prior(z, is_pos, is_unl, h) for h in (0, 1)])) if len(z) > 3 else 0.5
+    own = {h: np.array([r.half for r in rows]) == h for h in (0, 1)}
+    prior = 0.5
+    if all((part & o).any() for part in (is_pos, is_unl) for o in own.values()):
+        nets = {h: fit_nnpu(z[is_pos & own[1 - h]], z[is_unl & own[1 - h]], 0.5) for h in own}
+        found = {h: logits(z[is_pos & o], nets[h]) for h, o in own.items()}
+        cuts = {h: np.unique(np.concatenate([found[h], logits(z[is_unl & o], nets[h])])) for h, o in own.items()}
+        shares = corpus_tails(docs, half, nets, cuts, centre, scale, text_col)
+        prior = float(np.mean([prior_from_tails(tails(cuts[h], found[h]), shares[h][0], len(found[h]), shares[h][1]) for h in own]))
     return {"net": fit_nnpu(z[is_pos], z[is_unl], prior), "prior": prior, "centre": centre, "scale": scale}
 
 
