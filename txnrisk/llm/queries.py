@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from txnrisk.llm import (embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, quality_pu, sentencepiece_codec,
+from txnrisk.llm import (embedding_dedup, exact_dedup, fuzzy_fingerprint, jaccard_join, language_id, line_dedup, quality_pu, sentencepiece_codec,
                          source_mix, substring_dedup, toxicity_knn)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(_read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_fingerprint.next_likeness(_read(spark, sf_dir, "documents"))
