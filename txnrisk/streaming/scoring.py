@@ -3,35 +3,45 @@
 Sources are file directories (one JSON or Parquet file per arrival batch);
 sinks are Parquet tables written per micro-batch with ``foreachBatch``
 (idempotent per epoch: each epoch writes its own directory, so a retried
-batch overwrites its own output).  Checkpoints live under the shared
+batch overwrites its own output).  The ledger takes one commit per epoch
+(``sources.commits``), so a batch that dies between its write and its commit
+leaves no row twice and loses none.  Checkpoints live under the shared
 ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
+from contextlib import contextmanager
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnrisk.functions import validate
 from txnrisk.operators import features, rules
-from txnrisk.operators.ledger import apply_feedback
-from txnrisk.schema import FEATURES, THRESHOLD_DEFAULT
+from txnrisk.operators.ledger import LEDGER_COLUMNS, ledger_record
+from txnrisk.schema import FEATURES, LEDGER_SCHEMA, THRESHOLD_DEFAULT
 from txnrisk.session import shared_path
-from txnrisk.streaming.sender_state import sender_state_features
+from txnrisk.sources.commits import EpochTable
+from txnrisk.sources.delta_ledger import DeltaLedger
+from txnrisk.streaming.sender_state import CLOSING_SENDER, STATE_CONF, sender_state_features
 
 #: Reason of the rows that arrive behind the watermark.
 LATE = "Late: older than the stream's watermark"
+#: Reasons of the other rows without features.
+REFUSED = {"late": LATE, "duplicate": "Duplicate: its id has been seen", "no time": "No time", "no amount": "No amount"}
 
 
-def replay_source(df: DataFrame, path: str, n_files: int, ts: str = "ts") -> None:
-    """Write a table as ``n_files`` time slices, oldest first, one append per
+def replay_source(df: DataFrame, path: str, n_files: int, ts: str = "ts", arrival: Column | None = None,
+                  fmt: str = "parquet") -> None:
+    """Write a table as ``n_files`` slices, oldest first, one append per
     slice, so a file stream (which orders files by modification time) replays
-    it in event-time order.  Slice bounds are approximate quantiles of the
-    time column (``n_files - 1`` numbers to the driver)."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    it in event-time order, or in order of ``arrival`` (microseconds).  Slice
+    bounds are approximate quantiles (``n_files - 1`` numbers to the driver)."""
+    us = F.unix_micros(F.col(ts).cast("timestamp")) if arrival is None else arrival
     probs = [i / n_files for i in range(1, n_files)]
     cuts = df.select(us.alias("_u")).approxQuantile("_u", probs, 0.001) if n_files > 1 else []
     bounds = [None, *cuts, None]
@@ -42,7 +52,38 @@ def replay_source(df: DataFrame, path: str, n_files: int, ts: str = "ts") -> Non
             cond = cond & (us > F.lit(int(lo)))
         if hi is not None:
             cond = cond & (us <= F.lit(int(hi)))
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+        df.where(cond).coalesce(1).write.mode("append").format(fmt).save(path)
+
+
+def seal_source(df: DataFrame, path: str, ts: str = "ts", key: str = "sender_id", after: str = "2 days",
+                fmt: str = "parquet") -> None:
+    """End a finite replay: one marker row, ``after`` the latest time of ``df``, moves the watermark past every row.
+    It comes out of no query."""
+    late = df.agg((F.max(F.col(ts).cast("timestamp")) + F.expr(f"INTERVAL {after}")).cast(df.schema[ts].dataType).alias(ts))
+    rest = [F.lit(CLOSING_SENDER).alias(key) if f.name == key else F.col(ts) if f.name == ts
+            else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    late.select(*rest).coalesce(1).write.mode("append").format(fmt).save(path)
+
+
+@contextmanager
+def state_conf(spark: SparkSession):
+    """The state store settings, for queries started inside."""
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _drained(stream: DataFrame, sink, checkpoint: str):
+    with state_conf(stream.sparkSession):
+        q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
 
 
 def stream_to_parquet(stream: DataFrame, out: str, checkpoint: str):
@@ -50,10 +91,7 @@ def stream_to_parquet(stream: DataFrame, out: str, checkpoint: str):
     def sink(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
 
-    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
+    return _drained(stream, sink, checkpoint)
 
 
 def model_features(stream_feats: DataFrame) -> DataFrame:
@@ -66,78 +104,100 @@ def model_features(stream_feats: DataFrame) -> DataFrame:
     return f
 
 
-def score_decide(feats: DataFrame, model: PipelineModel | None, threshold: float = THRESHOLD_DEFAULT) -> DataFrame:
-    """Score with ``model`` (fraud probability), name the type, decide.
+def score_decide(feats: DataFrame, model: PipelineModel | None, threshold: float = THRESHOLD_DEFAULT,
+                 probability: Column | None = None) -> DataFrame:
+    """Score with ``model`` (fraud probability), or by the expression ``probability``; name the type, decide.
 
-    Rows that came too late for their sender's state are not scored: their
-    decision is ERROR, with ``LATE`` as the reason."""
+    Rows without features are not scored: their decision is ERROR, with the
+    failed validation or one of ``REFUSED`` as the reason."""
     x = model_features(feats)
-    late = F.col("late") if "late" in x.columns else F.lit(False)
+    refused = F.col("refused") if "refused" in x.columns else F.lit(None).cast("string")
+    known = refused.isNull()
     if model is not None:
         for c in FEATURES:
-            x = x.withColumn(c, F.when(late, 0.0).otherwise(F.col(c).cast("double")))
+            x = x.withColumn(c, F.when(known, F.col(c).cast("double")).otherwise(0.0))
         x = model.transform(x).withColumn("fraud_probability",
                                           F.element_at(vector_to_array(F.col("probability")), 2))
         x = x.drop("features", "rawPrediction", "probability", "prediction")
-        x = x.withColumn("fraud_probability", F.when(~late, F.col("fraud_probability")))
         for c in FEATURES:
-            x = x.withColumn(c, F.when(~late, F.col(c)))
+            x = x.withColumn(c, F.when(known, F.col(c)))
     else:
-        x = x.withColumn("fraud_probability", F.lit(None).cast("double"))
+        x = x.withColumn("fraud_probability", F.lit(None).cast("double") if probability is None else probability)
+    x = x.withColumn("fraud_probability", F.when(known, F.col("fraud_probability")))
     x = rules.infer_fraud_type(x)
     if "validation_message" not in x.columns:
         x = x.withColumn("validation_message", F.lit(None).cast("string"))
-    x = x.withColumn("fraud_type", F.when(~late, F.col("fraud_type")))
-    x = x.withColumn("validation_message", F.when(late, LATE).otherwise(F.col("validation_message")))
+    x = x.withColumn("fraud_type", F.when(known, F.col("fraud_type")))
+    why = F.coalesce(*[F.when(refused == k, F.lit(text)) for k, text in REFUSED.items()])
+    x = x.withColumn("validation_message", F.coalesce("validation_message", why))
     return rules.decide(x, threshold=threshold)
 
 
-def run_scoring_stream(spark: SparkSession, source: str, schema, model: PipelineModel | None,
+def validated(events: DataFrame, as_of: dt.date) -> DataFrame:
+    """``events`` with the message of the first failed request check (null: valid)."""
+    field = {c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+             for c in ("amount", "txn_type", "card_number", "cvv", "expiry", "upi_id")}
+    return events.withColumn("validation_message", validate.validation_message(*field.values(), as_of))
+
+
+def ledger_rows(decided: DataFrame) -> DataFrame:
+    """The blocked and pending transactions as ledger rows."""
+    taken = decided.where(F.col("decision").isin("BLOCKED", "PENDING"))
+    taken = taken.withColumnRenamed("Amount", "amount")  # the model's name of it
+    taken = taken.withColumns({"is_fraud": F.col("is_fraud_pred"), "txn_id": F.col("txn_id").cast("string"),
+                               "fraud_type": F.when(F.col("decision") == "BLOCKED", F.col("fraud_type"))})
+    return ledger_record(taken, F.col("decision")).select(*[F.col(c).cast(LEDGER_SCHEMA[c].dataType) for c in LEDGER_COLUMNS])
+
+
+def run_scoring_stream(spark: SparkSession, source, schema, model: PipelineModel | None,
                        out: str, checkpoint: str, threshold: float = THRESHOLD_DEFAULT,
-                       max_files_per_trigger: int = 1, idle_seconds: int | None = None):
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
-    scored = score_decide(sender_state_features(events, idle_seconds=idle_seconds), model, threshold)
-    return stream_to_parquet(scored, out, checkpoint)
+                       max_files_per_trigger: int = 1, idle_seconds: int | None = None, as_of: dt.date | None = None,
+                       ledger: str | None = None, probability: Column | None = None, watermark: str = "24 hours"):
+    """Validate, add sender features, score, decide, and append to the ledger.
+
+    ``source`` is a Parquet folder or a streaming DataFrame (``sources.io.read_transaction_stream``).  With ``as_of`` the
+    request fields are validated and invalid requests leave no trace in the sender state.  With ``ledger`` each epoch's
+    blocked and pending rows become one commit of the ``EpochTable`` in that folder."""
+    events = source if isinstance(source, DataFrame) else (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source))
+    if as_of is not None:
+        events = validated(events, as_of)
+    feats = sender_state_features(events, watermark=watermark, idle_seconds=idle_seconds)
+    scored = score_decide(feats, model, threshold, probability)
+    table = EpochTable(spark, ledger) if ledger else None
+
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        if table is not None and epoch_id in table.numbers():
+            return  # committed by an earlier attempt
+        here = f"{out}/epoch={epoch_id}"
+        batch.write.mode("overwrite").parquet(here)
+        if table is not None:  # from the written rows: the batch is computed once
+            table.append(ledger_rows(batch.sparkSession.read.schema(batch.schema).parquet(here)), epoch_id)
+
+    return _drained(scored, sink, checkpoint)
 
 
 def run_feedback_stream(spark: SparkSession, source: str, schema, ledger_path: str, work: str,
-                        max_files_per_trigger: int = 1) -> str:
-    """Apply each feedback micro-batch to the ledger, writing a new ledger
-    version per epoch; returns the path of the final version.
+                        max_files_per_trigger: int = 1, compact_every: int = 16) -> str:
+    """Apply each feedback micro-batch to the ledger; returns the folder of the ``DeltaLedger``.
 
-    Epoch ``e`` reads the version written by epoch ``e - 1`` (the initial
-    ledger for the first epoch) and writes ``ledger_epoch=e``; a retried
-    epoch therefore recomputes the same output from the same input.
+    The ledger at ``ledger_path`` is taken over once.  A micro-batch appends
+    its feedback rows as a delta, in one commit per epoch; every
+    ``compact_every`` deltas the touched buckets are rewritten.
     """
-    def version(epoch_id: int) -> str:
-        return f"{work}/ledger_epoch={epoch_id}"
+    store = DeltaLedger(spark, f"{work}/ledger")
+    store.create(spark.read.parquet(ledger_path))
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
-        prev = version(epoch_id - 1) if epoch_id > 0 else ledger_path
-        if epoch_id > 0 and not _exists(batch.sparkSession, f"{prev}/_SUCCESS"):
-            raise RuntimeError(f"ledger version {prev} is missing or incomplete; earlier feedback would be lost")
-        current = batch.sparkSession.read.parquet(prev)
-        apply_feedback(current, batch).write.mode("overwrite").parquet(version(epoch_id))
+        store.upsert(batch, epoch_id)
+        if len(store.latest()[1]["deltas"]) >= compact_every:
+            store.compact()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
     q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{work}/_ckpt")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    done = _complete_epochs(spark, work)
-    return version(max(done)) if done else ledger_path
-
-
-def _complete_epochs(spark: SparkSession, work: str) -> list[int]:
-    """Epochs whose ledger version was written to its end, also by earlier runs."""
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work}/ledger_epoch=*/_SUCCESS")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    return [int(f.getPath().getParent().getName().partition("=")[2]) for f in found]
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return store.folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -145,5 +205,5 @@ def scratch(spark: SparkSession, name: str) -> str:
     return shared_path(spark, "txnrisk", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-__all__ = ["replay_source", "stream_to_parquet", "model_features", "score_decide", "run_scoring_stream",
-           "run_feedback_stream", "scratch"]
+__all__ = ["replay_source", "seal_source", "state_conf", "stream_to_parquet", "model_features", "score_decide", "validated",
+           "ledger_rows", "run_scoring_stream", "run_feedback_stream", "scratch"]

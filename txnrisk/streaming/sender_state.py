@@ -1,39 +1,45 @@
-"""Point-in-time sender features for a transaction stream (keyed state).
-
-Each sender's state holds what the next event needs: last time, device and
-location, running counters, the last 10 amounts and rapid flags, the
-timestamps of the last 10 minutes, receiver counts and the device set.  The
-state is updated event by event in (time, id) order inside each micro-batch
-and kept without expiry, unless the caller gives an idle time after which a
-sender's history starts anew.  Rows older than the 24-hour watermark come out
-with ``late`` = true and null features and leave the state alone, so no row is
-lost; late rows inside the watermark are scored against the state as it stands
-when they arrive.
-
-This is the one place where Python runs per row: a sender's events form a
-sequential chain, so each group is folded in order; the grouping, shuffling
-and state storage are Spark's.  The fold (``_advance``) is the same for groups
-of any size; distance, speed and their flags are column expressions after it.
-``_SenderState.step`` is the row-by-row definition that tests compare it with.
+"""Point-in-time sender features for a transaction stream, in event-time order.
+
+Rows wait in their sender's state until the watermark has passed them and are
+then folded in (time, id) order, so rows that arrive out of order within the
+watermark get the same features as in a batch over the sorted table.  What
+waits lies in map state by time slot; one event-time timer per sender wakes it
+for its next due row.  A sender's history is a small record plus two maps,
+receiver -> count and device -> count, of which a micro-batch reads and writes
+only the entries it meets.
+
+Every row comes out once.  ``refused`` says why a row has no features and left
+no trace in the state:
+
+* ``late``: older than the watermark when it arrived (``late`` is then true);
+* ``duplicate``: its id is one of an earlier row of the sender whose time is
+  less than the watermark's delay behind the watermark, or one of the same batch;
+* ``invalid``: ``validation_message`` is not null (where there is such a column);
+* ``no time``, ``no amount``: null time; null or non-finite amount.
+
+With ``idle_seconds`` a sender's first event after so much event time without
+one starts a fresh history, and a timer clears the history of a sender that
+stays away; by default histories are kept for good.
+
+At the end of a finite replay the last rows still wait for the watermark;
+``scoring.seal_source`` adds a marker that moves it past them.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from txnrisk.functions import geo
-from txnrisk.schema import (EARTH_RADIUS_KM, FIRST_GAP_HOURS, FIRST_GAP_MINUTES, GAP_COUNT_HOURS,
-                            HIGH_SPEED_KMH, MISSING_DISTANCE_KM, RAPID_GAP_HOURS, ROLLING_ROWS,
-                            UNUSUAL_DISTANCE_KM, UNUSUAL_GAP_HOURS,
-                            VELOCITY_WINDOW_SECONDS, ZERO_GAP_HOURS)
+from txnrisk.schema import (FIRST_GAP_HOURS, FIRST_GAP_MINUTES, GAP_COUNT_HOURS, RAPID_GAP_HOURS, ROLLING_ROWS,
+                            VELOCITY_WINDOW_SECONDS)
+from txnrisk.session import workers_find_package
 
 FEATURE_FIELDS = [
     ("Time_Since_Last_Txn", T.DoubleType()), ("Time_Diff_Hours", T.DoubleType()),
@@ -47,97 +53,54 @@ FEATURE_FIELDS = [
     ("Txn_Count_Last_10_Min", T.LongType()), ("device_count_so_far", T.LongType()),
     ("receiver_diversity_so_far", T.LongType()), ("sender_mean_so_far", T.DoubleType()),
 ]
+#: What the fold leaves to column expressions (``functions/geo.py``).
+LOCATION_FIELDS = ["Location_Distance_Km", "Is_Unusual_Location", "Location_Speed_Kmh", "Is_High_Speed"]
+FOLD_FIELDS = [(f, t) for f, t in FEATURE_FIELDS if f not in LOCATION_FIELDS] + [("prev_location", T.StringType())]
+
+#: Columns of the events that ride along.
+PASSTHROUGH = ["amount", "device_id", "location", "receiver_id", "txn_type", "merchant_type", "is_fraud", "validation_message"]
+#: Sender of the marker row that ends a finite replay.
+CLOSING_SENDER = "\u0000closing"
+#: Time slots of the waiting rows within the watermark's delay.
+SLOTS = 288
+
+
+def _struct(**fields) -> T.StructType:
+    """Workers have no session to parse a type's text."""
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_LONG, _TEXT, _LONGS = T.LongType(), T.StringType(), T.ArrayType(T.LongType())
+
+
+class History:
+    """What a sender's next event needs, besides its receivers and devices."""
+
+    SCHEMA = _struct(last_us=_LONG, last_device=_TEXT, last_location=_TEXT, n=_LONG, gap_counts=_LONGS,
+                     amounts=T.ArrayType(T.DoubleType()), rapid=_LONGS, recent_us=_LONGS, amount_sum=T.DoubleType(),
+                     n_receivers=_LONG, n_devices=_LONG)
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("last_us", T.LongType()), T.StructField("last_device", T.StringType()),
-    T.StructField("last_location", T.StringType()), T.StructField("n", T.LongType()),
-    T.StructField("gap_counts", T.StringType()), T.StructField("amounts", T.StringType()),
-    T.StructField("rapid", T.StringType()), T.StructField("recent_us", T.StringType()),
-    T.StructField("receivers", T.StringType()), T.StructField("devices", T.StringType()),
-    T.StructField("amount_sum", T.DoubleType()),
-])
-
-
-def _parse(loc):
-    if loc is None:
-        return None
-    parts = str(loc).split(",")
-    if len(parts) != 2:
-        return None
-    try:
-        return float(parts[0].strip()), float(parts[1].strip())
-    except ValueError:
-        return None
-
-
-def _haversine(a, b) -> float:
-    if a is None or b is None:
-        return MISSING_DISTANCE_KM
-    lat1, lon1 = a
-    lat2, lon2 = b
-    s_lat = math.sin(math.radians(lat2 - lat1) / 2)
-    s_lon = math.sin(math.radians(lon2 - lon1) / 2)
-    h = s_lat * s_lat + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * s_lon * s_lon
-    return EARTH_RADIUS_KM * (2 * math.asin(min(math.sqrt(h), 1.0)))
-
-
-class _SenderState:
     def __init__(self, row=None):
-        if row is None:
-            self.last_us = None
-            self.last_device = None
-            self.last_location = None
-            self.n = 0
-            self.gap_counts = [0] * len(GAP_COUNT_HOURS)
-            self.amounts, self.rapid, self.recent_us = [], [], []
-            self.receivers, self.devices = {}, []
-            self.amount_sum = 0.0
-        else:
-            (self.last_us, self.last_device, self.last_location, self.n, gc, am, ra, rec, rcv, dev,
-             self.amount_sum) = row
-            self.gap_counts = json.loads(gc)
-            self.amounts, self.rapid, self.recent_us = json.loads(am), json.loads(ra), json.loads(rec)
-            self.receivers, self.devices = json.loads(rcv), json.loads(dev)
-
-    def to_row(self):
-        return (self.last_us, self.last_device, self.last_location, self.n, json.dumps(self.gap_counts),
-                json.dumps(self.amounts), json.dumps(self.rapid), json.dumps(self.recent_us),
-                json.dumps(self.receivers), json.dumps(self.devices), self.amount_sum)
-
-    def step(self, us: int, amount: float, device, location, receiver) -> tuple:
-        gap_h = (us - self.last_us) / 1e6 / 3600.0 if self.last_us is not None else None
-        gap_m = (us - self.last_us) / 1e6 / 60.0 if self.last_us is not None else None
-        tdh = FIRST_GAP_HOURS if gap_h is None else gap_h
-        tsl = FIRST_GAP_MINUTES if gap_m is None else gap_m
-        self.n += 1
-        for i, h in enumerate(GAP_COUNT_HOURS):
-            self.gap_counts[i] += 1 if tdh <= h else 0
-        self.amounts = (self.amounts + [amount])[-ROLLING_ROWS:]
-        self.rapid = (self.rapid + [1 if tdh <= RAPID_GAP_HOURS else 0])[-ROLLING_ROWS:]
-        arr = np.asarray(self.amounts, dtype=float)
-        mean10 = float(arr.mean())
-        std10 = float(arr.std(ddof=1)) if len(arr) > 1 else 0.0
-        cutoff = us - VELOCITY_WINDOW_SECONDS * 1_000_000
-        self.recent_us = [t for t in self.recent_us if t > cutoff] + [us]
-        new_device = 0 if (self.n > 1 and device is not None and device == self.last_device) else 1
-        dist = _haversine(_parse(location), _parse(self.last_location) if self.n > 1 else None)
-        unusual = 1 if (dist > UNUSUAL_DISTANCE_KM and tdh < UNUSUAL_GAP_HOURS) else 0
-        speed = dist / (ZERO_GAP_HOURS if tdh == 0 else tdh)
-        key = "" if receiver is None else str(receiver)
-        self.receivers[key] = self.receivers.get(key, 0) + 1
-        dkey = "" if device is None else str(device)
-        if dkey not in self.devices:
-            self.devices.append(dkey)
-        self.amount_sum += amount
-        self.last_us, self.last_device, self.last_location = us, device, location
-        freq = self.receivers[key]
-        return (tsl, tdh, self.n, *self.gap_counts, int(sum(self.rapid)), mean10, std10, new_device,
-                dist, unusual, speed, 1 if speed > HIGH_SPEED_KMH else 0, freq, 1 if freq == 1 else 0,
-                len(self.recent_us), len(self.devices), len(self.receivers), self.amount_sum / self.n)
-
-
-PASSTHROUGH = ["ts", "amount", "device_id", "location", "receiver_id", "txn_type", "merchant_type",
-               "is_fraud"]
+        values = row or (None, None, None, 0, [0] * len(GAP_COUNT_HOURS), [], [], [], 0.0, 0, 0)
+        for name, value in zip(self.SCHEMA.fieldNames(), values):
+            setattr(self, name, list(value) if isinstance(value, (list, tuple, np.ndarray)) else value)
+
+    def to_row(self) -> tuple:
+        return tuple(getattr(self, name) for name in self.SCHEMA.fieldNames())
+
+
+class Agenda:
+    """Slots with waiting rows (their parts and first time), slots whose ids are still held, and the next timer."""
+
+    SCHEMA = _struct(slots=_LONGS, parts=_LONGS, firsts=_LONGS, done=_LONGS, wake=_LONG)
+
+    def __init__(self, row=None):
+        slots, parts, firsts, done, self.wake = row or ([], [], [], [], None)
+        self.waiting = {int(s): (int(p), int(f)) for s, p, f in zip(slots, parts, firsts)}
+        self.done = sorted(int(s) for s in done)
+
+    def to_row(self) -> tuple:
+        return ([*self.waiting], [p for p, _ in self.waiting.values()], [f for _, f in self.waiting.values()], self.done, self.wake)
 
 
 def _rolling_stats(values: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,13 +120,23 @@ def _rolling_stats(values: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarr
     return mean, std
 
 
-def _advance(st: _SenderState, pdf: pd.DataFrame) -> dict:
-    """All events of one sender in one micro-batch, in time order: moves the
-    state on and returns, by column, what each event needs of it.  Rows older
-    than the state are taken as they come.  Batches of any size give the same."""
+def _counted(values: pd.Series, counts) -> np.ndarray:
+    """How often each value has been met, itself included; reads and writes one entry of ``counts`` per distinct value."""
+    names = values.map(lambda v: "" if pd.isna(v) else str(v))
+    so_far = names.groupby(names).cumcount().to_numpy() + 1
+    before = {name: counts.get(name) for name in names.unique()}
+    met = so_far + names.map(before).to_numpy(dtype=np.int64)
+    for name, n in names.value_counts().items():
+        counts.put(name, before[name] + int(n))
+    return met
+
+
+def advance(st: History, pdf: pd.DataFrame, receivers, devices) -> pd.DataFrame:
+    """Events of one sender in (time, id) order, none older than the state:
+    moves the state on and returns what each event needs of it.  However the
+    events are cut into calls, the rows are the same."""
     m = len(pdf)
-    us = pdf["_us"].to_numpy(dtype=np.int64)
-    amt = pdf["amount"].to_numpy(dtype=float)
+    us, amt = pdf["event_us"].to_numpy(dtype=np.int64), pdf["amount"].to_numpy(dtype=float)
     first_ever = st.last_us is None
     gap = np.diff(us, prepend=us[0] if first_ever else st.last_us).astype(float)
     tdh, tsl = gap / 1e6 / 3600.0, gap / 1e6 / 60.0
@@ -171,7 +144,7 @@ def _advance(st: _SenderState, pdf: pd.DataFrame) -> dict:
         tdh[0], tsl[0] = FIRST_GAP_HOURS, FIRST_GAP_MINUTES
     n_total = st.n + np.arange(1, m + 1)
     gap_counts = [st.gap_counts[i] + np.cumsum(tdh <= h) for i, h in enumerate(GAP_COUNT_HOURS)]
-    # Rolling 10: previous amounts/flags from the state, then this batch.
+    # Rolling 10: previous amounts and flags from the state, then these.
     k = len(st.amounts)
     all_amt = np.concatenate([np.asarray(st.amounts, dtype=float), amt])
     mean10, std10 = _rolling_stats(all_amt, k)
@@ -179,130 +152,236 @@ def _advance(st: _SenderState, pdf: pd.DataFrame) -> dict:
     runs = np.concatenate([[0], np.cumsum(all_rapid)])
     end = np.arange(k, k + m) + 1
     rapid10 = runs[end] - runs[np.maximum(end - ROLLING_ROWS, 0)]
-    # 10-minute count: rows in (t - 10 min, t], earlier-or-equal in processing order.
-    recent = np.sort(np.asarray(st.recent_us, dtype=np.int64))
+    # 10-minute count: rows in (t - 10 min, t], this one and earlier ones.
+    times = np.concatenate([np.asarray(st.recent_us, dtype=np.int64), us])
     cutoff = us - VELOCITY_WINDOW_SECONDS * 1_000_000
-    count10 = (len(recent) - np.searchsorted(recent, cutoff, side="right")
-               + np.arange(1, m + 1) - np.searchsorted(us, cutoff, side="right"))
-    # Device novelty and location against the previous event.
+    count10 = np.arange(len(st.recent_us), len(times)) + 1 - np.searchsorted(times, cutoff, side="right")
+    # Device and location against the previous event.
     dev, loc = ([None if pd.isna(x) else x for x in pdf[c]] for c in ("device_id", "location"))
     new_device = [int(a is None or a != b) for a, b in zip(dev, [st.last_device, *dev])]
     prev_location = [st.last_location, *loc[:-1]]
-    # Receiver frequency and first sightings (state counts + order in batch).
-    freq, n_devices, n_receivers = [], [], []
-    seen = set(st.devices)
-    for r, d in zip(pdf["receiver_id"], dev):
-        r, d = "" if pd.isna(r) else str(r), "" if d is None else str(d)
-        st.receivers[r] = st.receivers.get(r, 0) + 1
-        if d not in seen:
-            seen.add(d)
-            st.devices.append(d)
-        freq.append(st.receivers[r])
-        n_devices.append(len(st.devices))
-        n_receivers.append(len(st.receivers))
+    frequency, sightings = _counted(pdf["receiver_id"], receivers), _counted(pdf["device_id"], devices)
+    n_receivers, n_devices = st.n_receivers + np.cumsum(frequency == 1), st.n_devices + np.cumsum(sightings == 1)
     amount_sum = np.cumsum(np.concatenate([[st.amount_sum], amt]))[1:]
-    # New state.
     st.last_us, st.last_device, st.last_location = int(us[-1]), dev[-1], loc[-1]
-    st.n = int(n_total[-1])
+    st.n, st.n_receivers, st.n_devices = int(n_total[-1]), int(n_receivers[-1]), int(n_devices[-1])
     st.gap_counts = [int(g[-1]) for g in gap_counts]
     st.amounts = [float(x) for x in all_amt[-ROLLING_ROWS:]]
     st.rapid = [int(x) for x in all_rapid[-ROLLING_ROWS:]]
-    st.recent_us = [int(t) for t in np.concatenate([recent, us]) if t > cutoff[-1]]
+    st.recent_us = [int(t) for t in times if t > cutoff[-1]]
     st.amount_sum = float(amount_sum[-1])
-    return {
+    return pd.DataFrame({
         "Time_Since_Last_Txn": tsl, "Time_Diff_Hours": tdh, "Txn_Count_Total": n_total,
         "Txn_Count_Last_1H": gap_counts[0], "Txn_Count_Last_6H": gap_counts[1],
         "Txn_Count_Last_24H": gap_counts[2], "Rapid_Txn_Count_Last_1H": rapid10,
         "Amount_Rolling_Mean_10": mean10, "Amount_Rolling_Std_10": std10, "Is_New_Device": new_device,
-        "prev_location": prev_location, "Receiver_Frequency": freq,
-        "Is_First_Time_Receiver": [int(f == 1) for f in freq], "Txn_Count_Last_10_Min": count10,
-        "device_count_so_far": n_devices, "receiver_diversity_so_far": n_receivers,
-        "sender_mean_so_far": amount_sum / n_total,
-    }
-
+        "Receiver_Frequency": frequency, "Is_First_Time_Receiver": (frequency == 1).astype(int),
+        "Txn_Count_Last_10_Min": count10, "device_count_so_far": n_devices, "receiver_diversity_so_far": n_receivers,
+        "sender_mean_so_far": amount_sum / n_total, "prev_location": prev_location,
+    })
+
+
+class _Counts:
+    """Map state name -> count."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def get(self, name: str) -> int:
+        row = self.state.getValue((name,))
+        return 0 if row is None else int(row[0])
+
+    def put(self, name: str, n: int) -> None:
+        self.state.updateValue((name,), (n,))
+
+
+class SenderFeatures(StatefulProcessor):
+    """Keeps a sender's rows until the watermark has passed them, then folds them in order."""
+
+    def __init__(self, key: str, tie: str, row_schema: T.StructType, out_schema: T.StructType, delay_us: int,
+                 idle_us: int | None, ordered: bool):
+        self.key, self.tie, self.rows, self.out = key, tie, to_arrow_schema(row_schema), out_schema.fieldNames()
+        self.delay_us, self.idle_us, self.ordered = delay_us, idle_us, ordered
+        self.slot_us = max(delay_us // SLOTS, 1_000_000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.history = handle.getValueState("history", History.SCHEMA)
+        self.agenda = handle.getValueState("agenda", Agenda.SCHEMA)
+        self.receivers = handle.getMapState("receivers", _struct(name=_TEXT), _struct(n=_LONG))
+        self.devices = handle.getMapState("devices", _struct(name=_TEXT), _struct(n=_LONG))
+        self.waiting = handle.getMapState("waiting", _struct(slot=_LONG, part=_LONG), _struct(rows=T.BinaryType()))
+        self.ids = handle.getMapState("ids", _struct(id=_TEXT), _struct(us=_LONG))
+        self.done = handle.getMapState("done", _struct(slot=_LONG), _struct(ids=T.ArrayType(_TEXT)))
+
+    # -------------------------------------------------------------- arrivals
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        if key[0] == CLOSING_SENDER:
+            return
+        pdf = pdf.drop(columns=[self.key])
+        mark = timerValues.getCurrentWatermarkInMs() * 1000 if self.ordered else 0
+        refused = pd.Series([None] * len(pdf), dtype=object)
+        if mark > 0:
+            refused[pdf["event_us"] < mark] = "late"
+        refused[~np.isfinite(pdf["amount"].to_numpy(dtype=float, na_value=np.nan))] = "no amount"
+        refused[pdf["event_us"].isna()] = "no time"
+        if "validation_message" in pdf:
+            refused[pdf["validation_message"].notna()] = "invalid"
+        good = pdf[refused.isna()].sort_values(["event_us", self.tie], kind="mergesort")
+        again = good[self.tie].notna() & good.duplicated(self.tie)
+        if self.ordered:
+            again |= pd.Series([t is not None and self.ids.getValue((t,)) is not None for t in self._texts(good)], good.index, dtype=bool)
+        refused[again.index[again]] = "duplicate"
+        if refused.notna().any():
+            yield self._shown(key, pdf[refused.notna()].reset_index(drop=True), refused[refused.notna()].tolist())
+        good = good[~again].reset_index(drop=True)
+        if good.empty:
+            return
+        if not self.ordered:
+            yield from self._fold(key, good)
+            return
+        agenda = Agenda(self.agenda.get())
+        for text, us in zip(self._texts(good), good["event_us"]):
+            if text is not None:
+                self.ids.updateValue((text,), (int(us),))
+        for slot, part in good.groupby(good["event_us"].astype("int64") // self.slot_us):
+            parts, first = agenda.waiting.get(int(slot), (0, int(part["event_us"].iloc[0])))
+            self._keep(int(slot), parts, part)
+            agenda.waiting[int(slot)] = (parts + 1, min(first, int(part["event_us"].iloc[0])))
+        self._rest(agenda)
+
+    # ---------------------------------------------------------------- timers
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, agenda = timerValues.getCurrentWatermarkInMs() * 1000, Agenda(self.agenda.get())
+        due = []
+        for slot in sorted(s for s, (_, first) in agenda.waiting.items() if first < mark):
+            parts, _ = agenda.waiting.pop(slot)
+            held = [pa.ipc.open_stream(self.waiting.getValue((slot, part))[0]).read_pandas() for part in range(parts)]
+            for part in range(parts):
+                self.waiting.removeKey((slot, part))
+            held = pd.concat(held, ignore_index=True)
+            ready = held["event_us"] < mark
+            due.append(held[ready])
+            if not ready.all():
+                later = held[~ready]
+                self._keep(slot, 0, later)
+                agenda.waiting[slot] = (1, int(later["event_us"].min()))
+            known = self.done.getValue((slot,)) if slot in agenda.done else None
+            self.done.updateValue((slot,), ([*(known[0] if known else []), *(t for t in self._texts(held[ready]) if t is not None)],))
+            agenda.done = sorted({*agenda.done, slot})
+        if due:
+            yield from self._fold(key, pd.concat(due, ignore_index=True).sort_values(["event_us", self.tie], kind="mergesort").reset_index(drop=True))
+        # Ids are held for the watermark's delay after their rows.
+        while agenda.done and self._expiry(agenda.done[0]) <= mark:
+            slot = agenda.done.pop(0)
+            for text in self.done.getValue((slot,))[0]:
+                self.ids.removeKey((text,))
+            self.done.removeKey((slot,))
+        if self.idle_us is not None and not agenda.waiting and self.history.exists():
+            if History(self.history.get()).last_us + self.idle_us <= mark:
+                self._forget()
+        self._rest(agenda)
+
+    # --------------------------------------------------------------- helpers
+    def _texts(self, pdf: pd.DataFrame) -> list[str | None]:
+        # pandas holds whole numbers as floats where some are null
+        return [None if pd.isna(t) else str(int(t)) if isinstance(t, float) and t.is_integer() else str(t) for t in pdf[self.tie]]
+
+    def _keep(self, slot: int, part: int, pdf: pd.DataFrame) -> None:
+        table, sink = pa.Table.from_pandas(pdf, schema=self.rows, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.rows) as out:
+            out.write_table(table)
+        self.waiting.updateValue((slot, part), (sink.getvalue().to_pybytes(),))
+
+    def _expiry(self, slot: int) -> int:
+        return (slot + 1) * self.slot_us + self.delay_us
+
+    def _rest(self, agenda: Agenda) -> None:
+        """Store the agenda and set the one timer of the sender."""
+        times = [first for _, first in agenda.waiting.values()] + [self._expiry(s) for s in agenda.done[:1]]
+        if self.idle_us is not None and self.history.exists():
+            times.append(History(self.history.get()).last_us + self.idle_us)
+        wake = min(times) // 1000 + 1 if times else None
+        if wake != agenda.wake:
+            if agenda.wake is not None:
+                self.handle.deleteTimer(agenda.wake)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+            agenda.wake = wake
+        if wake is None:
+            self.agenda.clear()
+        else:
+            self.agenda.update(agenda.to_row())
+
+    def _forget(self) -> None:
+        for state in (self.history, self.receivers, self.devices):
+            state.clear()
+
+    def _fold(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        st = History(self.history.get() if self.history.exists() else None)
+        runs = [pdf]
+        if self.idle_us is not None:  # a gap of ``idle_us`` starts a fresh history
+            before = pdf["event_us"].shift(1, fill_value=int(pdf["event_us"].iloc[0]) if st.last_us is None else st.last_us)
+            anew = pdf["event_us"] - before >= self.idle_us
+            runs = [run.reset_index(drop=True) for _, run in pdf.groupby(anew.cumsum())]
+            if anew.iloc[0]:
+                self._forget()
+                st = History()
+        for k, run in enumerate(runs):
+            if k:
+                self._forget()
+                st = History()
+            found = advance(st, run, _Counts(self.receivers), _Counts(self.devices))
+            yield self._shown(key, pd.concat([run, found], axis=1), None)
+        self.history.update(st.to_row())
 
-def _fold_vectorized(st: _SenderState, pdf: pd.DataFrame) -> pd.DataFrame:
-    """``_advance`` with the location columns of ``_SenderState.step``; for comparison with it."""
-    x = _advance(st, pdf)
-    x["Location_Distance_Km"] = dist = np.array([_haversine(_parse(a), _parse(b)) for a, b in
-                                                 zip(pdf["location"], x["prev_location"])])
-    x["Is_Unusual_Location"] = ((dist > UNUSUAL_DISTANCE_KM) & (x["Time_Diff_Hours"] < UNUSUAL_GAP_HOURS)).astype(int)
-    x["Location_Speed_Kmh"] = speed = dist / np.where(x["Time_Diff_Hours"] == 0, ZERO_GAP_HOURS, x["Time_Diff_Hours"])
-    x["Is_High_Speed"] = (speed > HIGH_SPEED_KMH).astype(int)
-    return pd.DataFrame(x)[[f for f, _ in FEATURE_FIELDS]]
+    def _shown(self, key, pdf: pd.DataFrame, refused: list | None) -> pd.DataFrame:
+        out = pdf.assign(refused=refused, late=[r == "late" for r in refused] if refused else False)
+        out[self.key] = key[0]
+        nothing = pd.Series([None] * len(out), index=out.index, dtype=object)
+        return pd.DataFrame({c: out[c] if c in out and out[c].notna().any() else nothing for c in self.out})
 
+    def close(self) -> None:
+        pass
 
-#: What the fold leaves to column expressions (``functions/geo.py``).
-LOCATION_FIELDS = ["Location_Distance_Km", "Is_Unusual_Location", "Location_Speed_Kmh", "Is_High_Speed"]
-FOLD_FIELDS = [(f, t) for f, t in FEATURE_FIELDS if f not in LOCATION_FIELDS] + [("prev_location", T.StringType())]
 
+STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+              "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
-def _make_fold(key_col: str, tie: str, passthrough: list[str], idle_seconds: int | None, streaming: bool = True):
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True)
-        late = pdf["_us"] < state.getCurrentWatermarkMs() * 1000 if streaming else pd.Series(False, pdf.index)
-        if late.any():
-            old = pdf.loc[late, [tie, *passthrough]].reset_index(drop=True)
-            old.insert(0, key_col, key[0])
-            yield old.reindex(columns=[*old.columns, *[f for f, _ in FOLD_FIELDS]]).assign(late=True)
-            pdf = pdf[~late]
-            if pdf.empty:
-                return
-        st = _SenderState(state.get if state.exists else None)
-        pdf = pdf.sort_values(["_us", tie], kind="mergesort").reset_index(drop=True)
-        if idle_seconds is None:
-            runs = [pdf]
-        else:  # a gap of ``idle_seconds`` starts a fresh history
-            before = pdf["_us"].shift(1, fill_value=int(pdf["_us"].iloc[0]) if st.last_us is None else st.last_us)
-            anew = pdf["_us"] - before >= idle_seconds * 1_000_000
-            runs = [run.reset_index(drop=True) for _, run in pdf.groupby(anew.cumsum())]
-            if anew.iloc[0]:
-                st = _SenderState()
-        for k, run in enumerate(runs):
-            if k:
-                st = _SenderState()
-            yield on_time(key, st, run)
-        state.update(st.to_row())
 
-    def on_time(key, st: _SenderState, pdf: pd.DataFrame) -> pd.DataFrame:
-        res = pd.DataFrame(_advance(st, pdf))[[f for f, _ in FOLD_FIELDS]]
-        base = pdf[[tie, *passthrough]].reset_index(drop=True)
-        res = pd.concat([base, res.reset_index(drop=True)], axis=1)
-        res.insert(0, key_col, key[0])
-        return res.assign(late=False)
-    return fold
+def delay_micros(watermark: str) -> int:
+    """Microseconds of a delay such as ``24 hours``."""
+    n, unit = watermark.split()
+    return int(float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000)
 
 
 def sender_state_features(events: DataFrame, key: str = "sender_id", tie: str = "txn_id",
-                          watermark: str = "24 hours", idle_seconds: int | None = None,
-                          vectorize_min_rows: int | None = None) -> DataFrame:
+                          watermark: str = "24 hours", idle_seconds: int | None = None) -> DataFrame:
     """Streaming DataFrame of events -> events with point-in-time features.
 
-    Every row comes out.  One older than the watermark has ``late`` = true and
-    null features: its place in the sender's order has passed.  With
-    ``idle_seconds`` a sender's first event after that much event time without
-    one starts a fresh history; by default histories are kept for good.  Spark
-    itself drops rows only under an event-time timeout, so none is set.
-    ``vectorize_min_rows`` is accepted and has no effect: there is one fold.
+    Start the query with ``STATE_CONF`` set (``scoring.stream_to_parquet`` does).
+    A batch DataFrame is folded as a whole, sorted by (time, id).
     """
-    from pyspark.sql import functions as F
-    ev = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    passthrough = [c for c in PASSTHROUGH if c in ev.columns]
-    fields = {f.name: f for f in ev.schema.fields}
-    out_schema = T.StructType([T.StructField(key, T.StringType()), fields[tie]]
-                              + [fields[c] for c in passthrough]
-                              + [T.StructField(n, t) for n, t in FOLD_FIELDS]
-                              + [T.StructField("late", T.BooleanType())])
-    ev = ev.withColumn("_us", F.unix_micros(F.col("ts"))).select(key, tie, "_us", *passthrough)
+    workers_find_package(events.sparkSession)
+    passthrough = [c for c in PASSTHROUGH if c in events.columns]
+    fields = {f.name: f for f in events.schema.fields}
+    kept = [T.StructField(tie, fields[tie].dataType), T.StructField("event_us", T.LongType())] + [
+        T.StructField(c, fields[c].dataType) for c in passthrough]
+    out_schema = T.StructType([T.StructField(key, T.StringType()), *kept, *[T.StructField(n, t) for n, t in FOLD_FIELDS],
+                               T.StructField("late", T.BooleanType()), T.StructField("refused", T.StringType())])
+    ev = events.withColumn("_at", F.col("ts").cast("timestamp"))
     if events.isStreaming:
-        ev = ev.withWatermark("ts", watermark)
-    out = ev.groupBy(key).applyInPandasWithState(
-        _make_fold(key, tie, passthrough, idle_seconds, events.isStreaming), out_schema,
-        STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    gap = F.col("Time_Diff_Hours")
+        ev = ev.withWatermark("_at", watermark)
+    # The state sees the time as a number: Spark would drop late rows by the watermarked column itself.
+    ev = ev.select(F.col(key).cast("string").alias(key), tie, F.unix_micros("_at").alias("event_us"), *passthrough)
+    fold = SenderFeatures(key, tie, T.StructType(kept), out_schema, delay_micros(watermark),
+                          None if idle_seconds is None else idle_seconds * 1_000_000, events.isStreaming)
+    out = ev.groupBy(key).transformWithStateInPandas(fold, out_schema, "Append", "EventTime" if events.isStreaming else "None")
+    gap, known = F.col("Time_Diff_Hours"), F.col("refused").isNull()
     out = out.withColumn("Location_Distance_Km", geo.location_distance_km(F.col("location"), F.col("prev_location")))
     out = out.withColumn("Location_Speed_Kmh", geo.speed_kmh(F.col("Location_Distance_Km"), gap))
     out = (out.withColumn("Is_Unusual_Location", geo.is_unusual_location(F.col("Location_Distance_Km"), gap).cast("long"))
            .withColumn("Is_High_Speed", geo.is_high_speed(F.col("Location_Speed_Kmh")).cast("long")))
-    shown = [F.when(~F.col("late"), F.col(f)).alias(f) if f in LOCATION_FIELDS else F.col(f) for f, _ in FEATURE_FIELDS]
-    return out.select(key, tie, *passthrough, *shown, "late")
+    shown = [F.when(known, F.col(f)).alias(f) if f in LOCATION_FIELDS else F.col(f) for f, _ in FEATURE_FIELDS]
+    return out.select(key, tie, F.timestamp_micros("event_us").alias("ts"), *passthrough, *shown, "late", "refused")
