@@ -51,7 +51,7 @@ from txnrisk.llm.components import connected_components
 
 #: Text bytes whose shingles meet in one bucket.
 BUCKET_TEXT_BYTES = 8 << 20
-#: log2 of the sketch's cells; its bitmap (2 ** SKETCH_BITS / 8 bytes) is broadcast.
+#: log2 of the sketch's cells at most; its bitmap (2 ** bits / 8 bytes) is broadcast.
 SKETCH_BITS = 28
 #: Minimum hashes that documents are grouped by.
 GROUPINGS = 4
@@ -73,18 +73,23 @@ def shingle_sets(data, offsets, words: int):
             yield np.zeros(0, np.uint64)
 
 
-def shingle_sketch(docs: DataFrame, words: int) -> list[np.ndarray]:
+def sketch_bits(text_bytes: int) -> int:
+    """log2 of the cells for so much text: about one to two a word."""
+    return min(SKETCH_BITS, max(20, (text_bytes // 6).bit_length()))
+
+
+def shingle_sketch(docs: DataFrame, words: int, bits: int) -> list[np.ndarray]:
     """The bitmap of sketch cells that two or more (shingle, document) pairs fall in."""
 
     def count(batches):
         sets = (np.concatenate(list(shingle_sets(data, offsets, words)))
                 for batch in batches for _, data, offsets in common.text_chunks(batch.column("text")))
-        yield from countmin.sketch_batches(sets, 1, SKETCH_BITS)
+        yield from countmin.sketch_batches(sets, 1, bits)
 
-    return countmin.merged_bitmaps(docs.select("text").mapInArrow(count, countmin.SCHEMA), 1, SKETCH_BITS)
+    return countmin.merged_bitmaps(docs.select("text").mapInArrow(count, countmin.SCHEMA), 1, bits)
 
 
-def deal_shingles(docs: DataFrame, words: int, percent: int, repeated: Broadcast, buckets: int) -> DataFrame:
+def deal_shingles(docs: DataFrame, words: int, percent: int, repeated: Broadcast, buckets: int, bits: int) -> DataFrame:
     """(bucket, chunk, entries): per chunk of documents and bucket the packed
     entries shingle48 << 16 | row of the chunk, for documents that the sketch
     leaves in.  A row with bucket -1 - b has all the chunk's documents (id,
@@ -102,7 +107,7 @@ def deal_shingles(docs: DataFrame, words: int, percent: int, repeated: Broadcast
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 about = b"".join(struct.pack("<q?q", v, k, len(s)) + d for v, k, s, d in zip(value, known, sets, digest))
                 size = np.array([len(s) for s in sets])
-                twice = np.append(0, np.cumsum(countmin.estimated_twice(repeated.value, np.concatenate(sets), SKETCH_BITS)))
+                twice = np.append(0, np.cumsum(countmin.estimated_twice(repeated.value, np.concatenate(sets), bits)))
                 twice = np.diff(twice[np.append(0, np.cumsum(size))])
                 once, own = {}, np.zeros(len(sets), dtype=bool)
                 for i, d in enumerate(digest):  # equal sets of a chunk are dealt once
@@ -419,8 +424,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = min(int(size // BUCKET_TEXT_BYTES) + 1, 60000)
-    repeated = docs.sparkSession.sparkContext.broadcast(shingle_sketch(rows, words))
-    shared = staged(shared_shingles(deal_shingles(rows, words, percent, repeated, buckets)), "shared")
+    bits = sketch_bits(size)
+    repeated = docs.sparkSession.sparkContext.broadcast(shingle_sketch(rows, words, bits))
+    shared = staged(shared_shingles(deal_shingles(rows, words, percent, repeated, buckets, bits)), "shared")
     repeated.destroy()
     about = staged(chunk_documents(shared), "about")
     classes = (about.where("n > 0").groupBy("digest")

@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                                        "x": pa.array(list(measurements(data, offsets)), pa.list_(pa.float64()))})
 
     half = F.pmod(F.xxhash64(id_col, F.lit(seed + 1)), F.lit(2))
-    rows = (docs.join(F.broadcast(picked), id_col)
+    rows = (docs.select(id_col, text_col).join(F.broadcast(picked), id_col)  # other columns may be named like these
             .groupBy(F.col(id_col)).agg(F.min(F.col(text_col).cast("string")).alias("text"), F.first("p").alias("p"), F.first("only").alias("only"))
             .select(F.col(id_col).cast("long").alias("id"), "text", "p", (~F.col("only")).alias("u"), half.cast("int").alias("half"))
             .mapInArrow(measure, "id long, p boolean, u boolean, half int, x array<double>").collect())  # 2 * fit_rows rows at most
@@ -218,8 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {"net": fit_nnpu(z[is_pos], z[is_unl], prior), "prior": prior, "centre": centre, "scale": scale}
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` plus quality_score (0 to 1, higher: quality likelier)."""
+def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
+    """``docs`` plus ``out_col`` (0 to 1, higher: quality likelier); a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(texts: pd.Series) -> pd.Series:
@@ -232,4 +232,4 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 parts.append(1 / (1 + np.exp(-np.clip(logits(z, m["net"]), -30, 30))))
         return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
-    return docs.withColumn("quality_score", F.pandas_udf(rate, "double")(F.col(text_col)))
+    return docs.withColumn(out_col, F.pandas_udf(rate, "double")(F.col(text_col)))
