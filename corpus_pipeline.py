@@ -3,10 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet under the shared folder and read again as the next one's
 documents.  All but the last return the columns of ``documents``.
+
+Every stage takes null ids and texts, empty and very long texts, repeated
+rows, empty tables and further columns of any name (kept as they are, but for
+the last stage): a null text counts as empty; rows without an id are never
+near duplicates; of equal rows one stays after the exact stage.
 """
 
 from __future__ import annotations
 
+import gc
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
     model = quality_pu.train(docs.where(learn), labels.where(learn))
-    return quality_pu.score(docs, model).where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    return quality_pu.score(docs, model, out_col="__quality").where(F.col("__quality") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        gc.collect()  # lets Spark drop the broadcasts and plans of the stages before
         if k < len(STAGES) - 1:
             docs = staged(docs, name.replace(" ", "_"))
     return docs

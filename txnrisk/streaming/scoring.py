@@ -110,7 +110,8 @@ def score_decide(feats: DataFrame, model: PipelineModel | None, threshold: float
 
     Rows without features are not scored: their decision is ERROR, with the
     failed validation or one of ``REFUSED`` as the reason."""
-    x = model_features(feats)
+    # The model's "Amount" would take the place of "amount", which the rules read.
+    x = model_features(feats.withColumn("__amount", F.col("amount")))
     refused = F.col("refused") if "refused" in x.columns else F.lit(None).cast("string")
     known = refused.isNull()
     if model is not None:
@@ -124,6 +125,7 @@ def score_decide(feats: DataFrame, model: PipelineModel | None, threshold: float
     else:
         x = x.withColumn("fraud_probability", F.lit(None).cast("double") if probability is None else probability)
     x = x.withColumn("fraud_probability", F.when(known, F.col("fraud_probability")))
+    x = x.drop("Amount").withColumnRenamed("__amount", "amount")
     x = rules.infer_fraud_type(x)
     if "validation_message" not in x.columns:
         x = x.withColumn("validation_message", F.lit(None).cast("string"))
@@ -143,7 +145,6 @@ def validated(events: DataFrame, as_of: dt.date) -> DataFrame:
 def ledger_rows(decided: DataFrame) -> DataFrame:
     """The blocked and pending transactions as ledger rows."""
     taken = decided.where(F.col("decision").isin("BLOCKED", "PENDING"))
-    taken = taken.withColumnRenamed("Amount", "amount")  # the model's name of it
     taken = taken.withColumns({"is_fraud": F.col("is_fraud_pred"), "txn_id": F.col("txn_id").cast("string"),
                                "fraud_type": F.when(F.col("decision") == "BLOCKED", F.col("fraud_type"))})
     return ledger_record(taken, F.col("decision")).select(*[F.col(c).cast(LEDGER_SCHEMA[c].dataType) for c in LEDGER_COLUMNS])
