@@ -13,6 +13,7 @@ def test_close_scores_stay_apart_and_ties_count_half(spark):
     wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
     assert abs(evaluate.roc_auc(df).first().roc_auc - wins / (len(pos) * len(neg))) < 1e-12
     got = {r.threshold: (r.fpr, r.tpr) for r in evaluate.roc_curve(df).collect()}
+    assert got.pop(None) == (0.0, 0.0)  # the starting point
     assert got == {t: (sum(n >= t for n in neg) / len(neg), sum(p >= t for p in pos) / len(pos)) for t in {s for _, s in rows}}
 
 

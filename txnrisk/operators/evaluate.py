@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnrisk.session import materialize
+
 # Score ranges of the running sums, and how far their sizes may differ
 # (a share of the distinct scores).
 RANGES = 256
@@ -87,15 +89,31 @@ def score_counts(df: DataFrame, label: str = "is_fraud", score: str = "score") -
         F.sum(F.when(y, 0).otherwise(1)).cast("long").alias("neg"))
 
 
+def _range_of(score: Column, cuts: list[float]) -> Column:
+    """How many of the sorted ``cuts`` are at or below the score: a binary search in plain expressions."""
+    if not cuts:
+        return F.lit(0)
+    middle = len(cuts) // 2
+    low, high = cuts[:middle], cuts[middle + 1:]
+    below = _range_of(score, low) if low else F.lit(0)
+    above = _range_of(score, high) + (middle + 1) if high else F.lit(middle + 1)
+    return F.when(score >= cuts[middle], above).otherwise(below)
+
+
 def _running(df: DataFrame, label: str, score: str) -> DataFrame:
     """Per distinct score, exact: positives and negatives at or above it
     (``tp``, ``fp``), below it (``neg_below``), and in all (``P``, ``N``)."""
-    sc = score_counts(df, label, score)
+    sc = materialize(score_counts(df, label, score))  # read for the cuts, the totals and the sums
     shares = [k / RANGES for k in range(1, RANGES)]
     cuts = sorted(set(sc.approxQuantile("score", shares, RANGE_ERROR)))
-    # A range is the number of cuts at or below the score: a function of the
-    # score alone, so a lost task recomputes the same one.
-    sc = sc.withColumn("range", F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("score"))))
+    # The range is a function of the score alone, so a lost task recomputes the
+    # same one.  Two levels of a sixteenth each keep the expression small.
+    coarse, fine = cuts[15::16], [cuts[i:i + 15] for i in range(0, len(cuts), 16)]
+    sc = sc.withColumn("coarse", _range_of(F.col("score"), coarse))
+    inner = F.lit(0)
+    for k, part in enumerate(fine):
+        inner = F.when(F.col("coarse") == k, _range_of(F.col("score"), part)).otherwise(inner)
+    sc = sc.withColumn("range", F.col("coarse") * 16 + inner).drop("coarse")
     totals = sc.groupBy("range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
     above = Window.partitionBy(F.lit(1)).orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(1))
@@ -114,19 +132,28 @@ def roc_auc(df: DataFrame, label: str = "is_fraud", score: str = "score") -> Dat
                                            / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
 
 
+def _point(df: DataFrame, **values) -> DataFrame:
+    """One row beside a curve's points, with no threshold."""
+    return df.sparkSession.createDataFrame([(None, *values.values())], "threshold double, " + ", ".join(f"{k} double" for k in values))
+
+
 def roc_curve(df: DataFrame, label: str = "is_fraud", score: str = "score") -> DataFrame:
-    """(threshold, fpr, tpr) for every distinct score, all points kept."""
+    """(threshold, fpr, tpr) for every distinct score, all points kept, and the
+    starting point (0, 0) above every score, whose threshold is null."""
     t = _running(df, label, score)
-    return t.select(F.col("score").alias("threshold"), _safe_div(F.col("fp"), F.col("N")).alias("fpr"),
-                    _safe_div(F.col("tp"), F.col("P")).alias("tpr"))
+    t = t.select(F.col("score").alias("threshold"), _safe_div(F.col("fp"), F.col("N")).alias("fpr"),
+                 _safe_div(F.col("tp"), F.col("P")).alias("tpr"))
+    return t.unionByName(_point(df, fpr=0.0, tpr=0.0))
 
 
 def pr_curve(df: DataFrame, label: str = "is_fraud", score: str = "score") -> DataFrame:
-    """(threshold, precision, recall) for every distinct score."""
+    """(threshold, precision, recall) for every distinct score, and the end
+    point (precision 1, recall 0), whose threshold is null."""
     t = _running(df, label, score)
-    return t.select(F.col("score").alias("threshold"),
-                    (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                    _safe_div(F.col("tp"), F.col("P")).alias("recall"))
+    t = t.select(F.col("score").alias("threshold"),
+                 (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+                 _safe_div(F.col("tp"), F.col("P")).alias("recall"))
+    return t.unionByName(_point(df, precision=1.0, recall=0.0))
 
 
 def threshold_sweep(df: DataFrame, label: str = "is_fraud", score: str = "score",

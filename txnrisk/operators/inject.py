@@ -75,13 +75,23 @@ def _keep_or(new: Column, old: str) -> Column:
     return F.coalesce(new, F.col(old))
 
 
-def inject_nine_patterns(df: DataFrame, ratio: float = 0.03, seed: int = 0, key: str = "txn_id") -> DataFrame:
+def inject_nine_patterns(df: DataFrame, ratio: float = 0.03, seed: int = 0, key: str = "txn_id", exact: bool = False) -> DataFrame:
     """Label a ``ratio`` share of rows as one of nine fraud patterns (equal
-    shares in expectation) and rewrite their columns to the pattern."""
+    shares in expectation) and rewrite their columns to the pattern.
+
+    With ``exact`` just round(ratio * n) rows, those of the least draws, in
+    nine shares as equal as can be (the first ones take the rest)."""
     u = unit_hash(F.col(key), seed)
     u2 = unit_hash(F.col(key), seed + 1000)
-    hit = u < ratio
-    idx = F.least(F.floor(u / F.lit(ratio) * 9).cast("int"), F.lit(8))
+    if exact:
+        from txnrisk.operators import ranks
+        chosen = ranks.least_draws(df.select(key), ratio, seed, key).where("chosen")
+        shares = ranks.equal_shares(ranks.draw_ranks(chosen, seed, key), "draw_rank", 9, "_share")
+        df = df.join(shares.select(key, "_share"), key, "left")
+        hit, idx = F.col("_share").isNotNull(), F.col("_share")
+    else:
+        hit = u < ratio
+        idx = F.least(F.floor(u / F.lit(ratio) * 9).cast("int"), F.lit(8))
     p = F.when(hit, F.element_at(_pattern_array(NINE_PATTERNS), idx + 1))
     tag = F.col(key).cast("string")
     out = (df.withColumn("_p", p)
@@ -93,7 +103,7 @@ def inject_nine_patterns(df: DataFrame, ratio: float = 0.03, seed: int = 0, key:
            .withColumn("device_id", _keep_or(F.concat(F.col("_p.device"), tag), "device_id"))
            .withColumn("receiver_id", _keep_or(F.concat(F.col("_p.receiver"), tag), "receiver_id"))
            .withColumn("location", _keep_or(F.col("_p.location"), "location")))
-    return out.drop("_p")
+    return out.drop("_p", "_share")
 
 
 # The seven anomaly patterns.  Fields: name, amount low, amount

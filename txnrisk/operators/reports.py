@@ -44,7 +44,14 @@ def daily_volume(ledger: DataFrame) -> DataFrame:
 
 
 def fraud_stats(ledger: DataFrame) -> DataFrame:
-    """Total, fraud count, fraud percentage (2 decimals), distinct fraud types."""
+    """Total, fraud count, fraud percentage (2 decimals), distinct fraud types,
+    and ``fraud_types``: a map type -> count."""
+    types = fraud_type_distribution(ledger, exclude_dash=False)
+    types = types.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fraud_type", "n")))).alias("fraud_types"))
+    return attach_one_row(_fraud_totals(ledger), types)
+
+
+def _fraud_totals(ledger: DataFrame) -> DataFrame:
     fraud = _is_fraud(ledger)
     t = F.col("fraud_type")
     return ledger.agg(
@@ -116,8 +123,9 @@ def model_stats(run_log: DataFrame, feedback: DataFrame, predictions: DataFrame,
                         F.col("last_retrained") + F.make_interval(hours=F.lit(interval_hours))))
 
 
-def feature_profile(features: DataFrame, label: str = "is_fraud", n_features: int = 44) -> DataFrame:
-    """Rows, feature count and fraud ratio of a feature matrix."""
+def feature_profile(features: DataFrame, label: str = "is_fraud", keep: tuple[str, ...] = ("txn_id",)) -> DataFrame:
+    """Rows, feature count (columns but the label and ``keep``) and fraud ratio of a feature matrix."""
+    n_features = len([c for c in features.columns if c not in (label, *keep)])
     return features.agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
                         F.avg(F.col(label).cast("double")).alias("fraud_ratio")) \
         .withColumn("n_features", F.lit(n_features).cast("long"))

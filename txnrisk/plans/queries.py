@@ -103,11 +103,9 @@ SELECT txn_id,
  CASE WHEN len(string_split(location, ',')) = 2 THEN TRY_CAST(trim(string_split(location, ',')[2]) AS DOUBLE) END AS lon_raw
 FROM txn""", "txn"))
 def q_parse_location(spark, sf):
-    t = _txn(spark, sf)
-    parts = F.split("location", ",")
-    ok = F.size(parts) == 2
-    return t.select("txn_id", F.when(ok, F.trim(F.get(parts, 0)).try_cast("double")).alias("lat_raw"),
-                    F.when(ok, F.trim(F.get(parts, 1)).try_cast("double")).alias("lon_raw"))
+    from txnrisk.functions import geo
+    t = _txn(spark, sf).withColumn("p", geo.parse_location(F.col("location")))
+    return t.select("txn_id", F.col("p.lat").alias("lat_raw"), F.col("p.lon").alias("lon_raw"))
 
 
 # --------------------------------------------------------- row features --
@@ -607,7 +605,26 @@ SELECT CAST(count(*) AS BIGINT) AS total_transactions, CAST(sum(is_fraud) AS BIG
  CAST(count(DISTINCT CASE WHEN is_fraud = 1 AND fraud_type <> '' THEN fraud_type END) AS BIGINT) AS n_fraud_types,
  round(sum(is_fraud) / count(*) * 100, 2) AS fraud_percentage FROM ledger""", "ledger"))
 def q_fraud_stats(spark, sf):
-    return reports.fraud_stats(fx.ledger(_txn(spark, sf)))
+    return reports.fraud_stats(fx.ledger(_txn(spark, sf))).drop("fraud_types")
+
+
+@query("fraud_type_map", with_views("""
+SELECT string_agg(concat(fraud_type, '=', n), ';' ORDER BY fraud_type) AS fraud_types FROM (
+ SELECT fraud_type, count(*) AS n FROM ledger WHERE is_fraud = 1 AND fraud_type <> '' GROUP BY fraud_type)""", "ledger"))
+def q_fraud_type_map(spark, sf):
+    """The map type -> count of the fraud statistics, as text."""
+    types = reports.fraud_stats(fx.ledger(_txn(spark, sf))).select(F.map_entries("fraud_types").alias("e"))
+    pair = F.transform(F.array_sort("e"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))
+    return types.select(F.array_join(pair, ";").alias("fraud_types"))
+
+
+@query("order_by_time", with_views("""
+SELECT txn_id, ts, CAST(row_number() OVER (ORDER BY ts, txn_id) - 1 AS BIGINT) AS position FROM txn""", "txn"))
+def q_order_by_time(spark, sf):
+    """Time order with each row's position, from a range-partitioned sort."""
+    from txnrisk.operators import ranks
+    placed = ranks.ordered_positions(_txn(spark, sf).select("txn_id", "ts"), [F.col("ts"), F.col("txn_id")])
+    return ranks.order_by_time(placed.withColumn("position", F.col("position").cast("long")))
 
 
 @query("fraud_type_distribution", with_views("""
@@ -769,12 +786,12 @@ _CURVE_SQL = """(SELECT score, sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN U
  FROM (SELECT score, sum(is_fraud) AS pos, sum(1 - is_fraud) AS neg FROM ev GROUP BY score))"""
 
 
-@query("roc_curve", _eval_sql(f"SELECT score AS threshold, CASE WHEN N > 0 THEN fp / N ELSE 0.0e0 END AS fpr, CASE WHEN P > 0 THEN tp / P ELSE 0.0e0 END AS tpr FROM {_CURVE_SQL}"))
+@query("roc_curve", _eval_sql(f"SELECT score AS threshold, CASE WHEN N > 0 THEN fp / N ELSE 0.0e0 END AS fpr, CASE WHEN P > 0 THEN tp / P ELSE 0.0e0 END AS tpr FROM {_CURVE_SQL} UNION ALL SELECT NULL, 0.0e0, 0.0e0"))
 def q_roc(spark, sf):
     return evaluate.roc_curve(_scored_eval(spark, sf))
 
 
-@query("pr_curve", _eval_sql(f"SELECT score AS threshold, tp / (tp + fp) AS precision, CASE WHEN P > 0 THEN tp / P ELSE 0.0e0 END AS recall FROM {_CURVE_SQL}"))
+@query("pr_curve", _eval_sql(f"SELECT score AS threshold, tp / (tp + fp) AS precision, CASE WHEN P > 0 THEN tp / P ELSE 0.0e0 END AS recall FROM {_CURVE_SQL} UNION ALL SELECT NULL, 1.0e0, 0.0e0"))
 def q_pr(spark, sf):
     return evaluate.pr_curve(_scored_eval(spark, sf))
 
@@ -822,6 +839,25 @@ def q_split(spark, sf):
     return _norm(s.groupBy("is_fraud", "split").agg(F.count(F.lit(1)).cast("long").alias("n")))
 
 
+@query("stratified_split_exact", with_views(f"""
+SELECT txn_id, CAST(is_fraud AS BIGINT) AS is_fraud,
+ CASE WHEN row_number() OVER (PARTITION BY is_fraud ORDER BY u, txn_id) <= floor(count(*) OVER (PARTITION BY is_fraud) * 0.2e0 + 0.5e0)
+      THEN 'test' ELSE 'train' END AS split FROM (SELECT txn_id, is_fraud, {_uh(42)} AS u FROM txn)""", "txn"))
+def q_split_exact(spark, sf):
+    """Exactly a fifth of each class, by histograms of the draws."""
+    from txnrisk.operators.ml import stratified_split
+    return _norm(stratified_split(_txn(spark, sf), 0.2, 42).select("txn_id", "is_fraud", "split"))
+
+
+@query("roc_auc_distinct_scores", _eval_sql("""
+SELECT sum(pos * (neg_below + neg * 0.5e0)) / (sum(pos) * sum(neg)) AS roc_auc FROM (
+ SELECT score, pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
+ FROM (SELECT score, sum(is_fraud) AS pos, sum(1 - is_fraud) AS neg FROM ev GROUP BY score))"""))
+def q_auc_distinct(spark, sf):
+    """AUC over more distinct scores than there are score ranges."""
+    return evaluate.roc_auc(_scored_eval(spark, sf))
+
+
 # -------------------------------------------------------------- locations --
 @query("nearest_city", with_views(f"""
 SELECT txn_id, arg_min(city, d * 100 + city_pos) AS city, min(d) AS distance_km FROM (
@@ -832,6 +868,18 @@ def q_nearest_city(spark, sf):
     return locations.nearest_city(t).select("txn_id", "city", "distance_km")
 
 
+@query("city_of_all", with_views(f"""
+SELECT t.txn_id, b.city, b.distance_km FROM txn t LEFT JOIN (
+ SELECT txn_id, arg_min(city, d * 100 + city_pos) AS city, min(d) AS distance_km FROM (
+  SELECT txn_id, city, city_pos, {S._dist('location', "concat(CAST(city_lat AS VARCHAR), ', ', CAST(city_lon AS VARCHAR))")} AS d
+  FROM txn, cities WHERE len(string_split(location, ',')) = 2 AND TRY_CAST(trim(string_split(location, ',')[1]) AS DOUBLE) IS NOT NULL
+   AND TRY_CAST(trim(string_split(location, ',')[2]) AS DOUBLE) IS NOT NULL) GROUP BY txn_id) b ON t.txn_id = b.txn_id""",
+                              "txn", extra=[("cities", S.CITIES_SQL)]))
+def q_city_of_all(spark, sf):
+    """Every row, those without a usable location with a null city."""
+    return locations.nearest_city(_txn(spark, sf)).select("txn_id", "city", "distance_km")
+
+
 # -------------------------------------------------------------- injection --
 @query("inject_simple", with_views(f"""
 SELECT txn_id, CAST(CASE WHEN u < 0.2 THEN 1 ELSE is_fraud END AS BIGINT) AS is_fraud,
@@ -868,6 +916,24 @@ def q_inject_nine(spark, sf):
                             "merchant_type", "device_id", "location"))
 
 
+def _nine_exact_sql() -> str:
+    ranked = f"""SELECT *, row_number() OVER (ORDER BY u, txn_id) - 1 AS r, floor(count(*) OVER () * 0.03e0 + 0.5e0) AS m FROM (
+  SELECT *, {_uh(11)} AS u, {_uh(1011)} AS u2 FROM txn)"""
+    share = """CASE WHEN r < m THEN CAST(CASE WHEN r < (m % 9) * (floor(m / 9) + 1) THEN floor(r / (floor(m / 9) + 1))
+   ELSE m % 9 + floor((r - (m % 9) * (floor(m / 9) + 1)) / greatest(floor(m / 9), 1)) END AS INTEGER) END"""
+    sql = _nine_sql()
+    old = sql[sql.index("FROM (SELECT *, u < 0.03 AS hit"):sql.index("LEFT JOIN (VALUES")]
+    return sql.replace(old, f"FROM (SELECT *, r < m AS hit, {share} AS idx FROM ({ranked})) t\n")
+
+
+@query("inject_nine_patterns_exact", _nine_exact_sql())
+def q_inject_nine_exact(spark, sf):
+    """Exactly 3 % of the rows, in nine equal shares."""
+    out = inject.inject_nine_patterns(_txn(spark, sf), ratio=0.03, seed=11, exact=True)
+    return _norm(out.select("txn_id", "is_fraud", "pattern", "amount", "receiver_id", "txn_type",
+                            "merchant_type", "device_id", "location"))
+
+
 def _anomaly_sql() -> str:
     from txnrisk.schema import CITIES
     pats = ",\n".join(
@@ -1114,31 +1180,62 @@ def _one_hot_sql() -> str:
 @query("one_hot_learned", _one_hot_sql())
 def q_one_hot_learned(spark, sf):
     """Indexer + one-hot over the six categoricals, ids included, fit on train."""
-    from pyspark.ml.functions import vector_to_array
     from txnrisk.operators import ml
     cats = _OHE_CATS
     t = ml.hash_split(clean.clean_ids(_txn(spark, sf), numeric=["amount"], categorical=cats), 0.2, 42)
     model = ml.learned_one_hot(cats).fit(t.where(F.col("split") == "train"))
     out = model.transform(t)
-    return _norm(out.select("txn_id", *[F.size(vector_to_array(f"{c}_ohe")).alias(f"{c}_width") for c in cats],
+    return _norm(out.select("txn_id", *[F.lit(model.sizes[c] + 1).cast("long").alias(f"{c}_width") for c in cats],
                             *[F.col(f"{c}_idx").alias(f"{c}_index") for c in cats]))
 
 
+def _feedback_buffer(spark, sf):
+    """Feedback as labelled transactions: those of known ids, by their latest verdict."""
+    t = _txn(spark, sf)
+    last = ledger.latest_feedback(fx.feedback(t)).select("txn_id", "fb_is_fraud", F.col("fb_first_ts").alias("feedback_ts"))
+    t = t.drop("user_id", "k")
+    return t, t.join(last, "txn_id").withColumn("is_fraud", F.col("fb_is_fraud").cast("int")).drop("fb_is_fraud")
+
+
 @query("retrain")
 def q_retrain(spark, sf):
-    """Refit on training rows plus feedback-labelled rows when both classes
-    are present; publish a new model version; score the test split."""
+    """Refit on the training rows plus the feedback rows, publish the model,
+    load the published one and score the test split."""
     from txnrisk.operators import ml
-    t = _txn(spark, sf)
-    f = ml.hash_split(features.build_features(t), 0.2, 42)
-    relabelled = ml.relabel_with_feedback(f.where(F.col("split") == "train"), fx.feedback(t))
-    classes = relabelled.agg(F.count_distinct("is_fraud")).first()[0]
-    if classes < 2:
+    from txnrisk.streaming.scoring import scratch
+    t, buffer = _feedback_buffer(spark, sf)
+    split = ml.hash_split(t, 0.2, 42)
+    models = scratch(spark, "models")
+    done = ml.retrain(split.where("split = 'train'").drop("split"), buffer, models)
+    if done["version"] is None:
         raise ValueError("retraining needs both classes")
-    model = ml.fit(ml.random_forest_pipeline(), relabelled)
+    test = ml.hash_split(features.build_features(t), 0.2, 42).where("split = 'test'")
+    return ml.score(ml.load_pipeline(models), test).select("txn_id", "is_fraud", "score", "pred")
+
+
+@query("retrain_run", with_views(f"""
+SELECT CAST(1 AS BIGINT) AS version, (SELECT CAST(count(DISTINCT txn_id) AS BIGINT) FROM known) AS n_feedback, n_training, n_fraud,
+ least(100, (SELECT count(DISTINCT txn_id) FROM known) // 5) AS n_kept
+FROM (SELECT CAST(count(*) AS BIGINT) AS n_training, CAST(sum(is_fraud) AS BIGINT) AS n_fraud FROM (
+ SELECT is_fraud FROM txn WHERE {_uh(42)} >= 0.2
+ UNION ALL SELECT CASE WHEN max_by(is_fraud, feedback_ts) THEN 1 ELSE 0 END FROM known GROUP BY txn_id))""", "feedback",
+                             extra=[("known", "SELECT f.* FROM feedback f JOIN txn t ON f.txn_id = t.txn_id")]))
+def q_retrain_run(spark, sf):
+    """What a retrain reports: the published version, the rows it trained on and the buffer it kept (small trees)."""
+    from txnrisk.operators import ml
+    from txnrisk.sources.commits import Versions
     from txnrisk.streaming.scoring import scratch
-    ml.save_pipeline(model, scratch(spark, "models"), "v1")
-    return ml.score(model, f.where(F.col("split") == "test")).select("txn_id", "is_fraud", "score", "pred")
+    t, buffer = _feedback_buffer(spark, sf)
+    train = ml.hash_split(t, 0.2, 42).where("split = 'train'").drop("split")
+    models, kept = scratch(spark, "models"), scratch(spark, "buffer")
+    ml.retrain(train, buffer, models, pipeline=ml.random_forest_pipeline(num_trees=3, max_depth=4), buffer_store=kept)
+    number, entry = Versions(spark, models).latest()
+    n_kept = spark.read.parquet(Versions(spark, kept).path()).agg(F.count(F.lit(1)).alias("n_kept"))
+    seen = buffer.agg(F.count(F.lit(1)).alias("n_feedback"))
+    fraud = train.select("is_fraud").unionByName(buffer.select("is_fraud")).agg(F.sum("is_fraud").cast("long").alias("n_fraud"))
+    row = clean.attach_one_row(clean.attach_one_row(seen, fraud), n_kept)
+    return row.select(F.lit(number).cast("long").alias("version"), "n_feedback", F.lit(entry["n_training"]).cast("long").alias("n_training"),
+                      "n_fraud", "n_kept")
 
 
 # -------------------------------------------------------- sources / sinks --
@@ -1158,6 +1255,22 @@ def q_csv_roundtrip(spark, sf):
     return _norm(io.read_transactions(spark, path))
 
 
+@query("csv_by_name", _TXN_IO_SQL)
+def q_csv_by_name(spark, sf):
+    """CSV with its columns in another order, one more column, and two broken lines, which are quarantined."""
+    from txnrisk.sources import io
+    from txnrisk.streaming.scoring import scratch
+    t = _txn(spark, sf).drop("user_id")
+    order = ["location", "is_fraud", "k", "txn_id", "amount", "ts", "device_id", "merchant_type", "txn_type", "receiver_id", "sender_id"]
+    path = scratch(spark, "csv")
+    io.write_transactions(t.select(*order), path)
+    head = ",".join(io.CSV_HEADER.get(c, c) for c in order)
+    spark.createDataFrame([(f"{head}\nonly,three,fields\n{head},and,more",)], "line string").coalesce(1).write.mode("append").text(path)
+    if io.quarantined_lines(spark, path).count() != 2:
+        raise ValueError("two lines are broken")
+    return _norm(io.read_transactions(spark, path))
+
+
 @query("json_predictions", with_views("""
 SELECT txn_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, fraud_type, fraud_probability,
  CAST(CASE WHEN fraud_probability >= 0.3 THEN 1 ELSE 0 END AS BIGINT) AS pred_is_fraud FROM ledger""", "ledger"))

@@ -24,22 +24,56 @@ CSV_HEADER = {"txn_id": "Transaction_ID", "ts": "Timestamp", "amount": "Amount",
               "fraud_type": "Fraud_Type", "fraud_probability": "Fraud_Probability", "status": "Status"}
 
 
+#: Column of a malformed line's text.
+BAD_LINE = "_bad_line"
+
+
+def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Headed CSV as text columns by header name; ``BAD_LINE`` holds a line with too few or too many fields.
+
+    The header gives the names, whatever their order; a file of the folder whose header differs from the first
+    one's is an error, not a misread table."""
+    def reader(**how):
+        return spark.read.options(header=True, **how)
+
+    names = reader().csv(path).columns  # reads a header line
+    text = T.StructType([*[T.StructField(c, T.StringType()) for c in names], T.StructField(BAD_LINE, T.StringType())])
+    return reader(enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE, columnPruning=False).schema(text).csv(path)
+
+
+def _canonical(raw: DataFrame) -> DataFrame:
+    """Transaction columns by header name (absent ones null), leniently parsed."""
+    there = {c.strip().lower(): c for c in raw.columns}
+
+    def field(name: str):
+        found = there.get(CSV_HEADER[name].lower())
+        return F.lit(None).cast("string") if found is None else F.col(f"`{found}`")
+
+    return raw.select(
+        field("txn_id").alias("txn_id"), parse_timestamp(field("ts")).alias("ts"), field("amount").try_cast("double").alias("amount"),
+        *[field(c).alias(c) for c in ("sender_id", "receiver_id", "txn_type", "merchant_type", "device_id", "location")],
+        cast_label(field("is_fraud")).alias("is_fraud"))
+
+
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Headed CSV (reference header names) or Parquet -> canonical columns.
+    """Headed CSV (reference header names, in any order) or Parquet -> canonical columns.
 
     CSV fields are read as text and parsed leniently: timestamps in ISO or
     space-separated form, labels from ``1/true/True``, bad numbers -> null.
+    Malformed lines are left to ``quarantined_lines``.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    text = T.StructType([T.StructField(CSV_HEADER[f.name], T.StringType()) for f in TRANSACTION_SCHEMA.fields])
-    raw = spark.read.schema(text).option("header", True).csv(path)
-    return raw.select(
-        F.col("Transaction_ID").alias("txn_id"), parse_timestamp(F.col("Timestamp")).alias("ts"),
-        F.col("Amount").try_cast("double").alias("amount"),
-        *[F.col(CSV_HEADER[c]).alias(c) for c in ("sender_id", "receiver_id", "txn_type", "merchant_type",
-                                                   "device_id", "location")],
-        cast_label(F.col("Is_Fraud")).alias("is_fraud"))
+    raw = _csv_lines(spark, path)
+    return _canonical(raw.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE))
+
+
+def quarantined_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of the lines that ``read_transactions`` leaves out: too few or too many fields."""
+    raw = _csv_lines(spark, path).withColumn("file", F.input_file_name())
+    # Spark wants a parsed column read beside the corrupt one: the second condition always holds.
+    first = F.coalesce(F.col(f"`{raw.columns[0]}`"), F.lit(""))
+    return raw.where(F.col(BAD_LINE).isNotNull() & (first >= "")).select("file", F.col(BAD_LINE).alias("line"))
 
 
 def write_transactions(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
