@@ -74,8 +74,8 @@ def shingle_sets(data, offsets, words: int):
 
 
 def sketch_bits(text_bytes: int) -> int:
-    """log2 of the cells for so much text: about one to two a word."""
-    return min(SKETCH_BITS, max(20, (text_bytes // 6).bit_length()))
+    """log2 of the cells for so much text: one to two a byte, six and more a word."""
+    return min(SKETCH_BITS, max(20, int(text_bytes).bit_length()))
 
 
 def shingle_sketch(docs: DataFrame, words: int, bits: int) -> list[np.ndarray]:
