@@ -132,9 +132,10 @@ def roc_auc(df: DataFrame, label: str = "is_fraud", score: str = "score") -> Dat
                                            / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
 
 
-def _point(df: DataFrame, **values) -> DataFrame:
-    """One row beside a curve's points, with no threshold."""
-    return df.sparkSession.createDataFrame([(None, *values.values())], "threshold double, " + ", ".join(f"{k} double" for k in values))
+def _with_point(curve: DataFrame, **values: float) -> DataFrame:
+    """``curve`` and one point without a threshold, if the curve has any."""
+    there = curve.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    return curve.unionByName(there.select(F.lit(None).cast("double").alias("threshold"), *[F.lit(v).alias(k) for k, v in values.items()]))
 
 
 def roc_curve(df: DataFrame, label: str = "is_fraud", score: str = "score") -> DataFrame:
@@ -143,7 +144,7 @@ def roc_curve(df: DataFrame, label: str = "is_fraud", score: str = "score") -> D
     t = _running(df, label, score)
     t = t.select(F.col("score").alias("threshold"), _safe_div(F.col("fp"), F.col("N")).alias("fpr"),
                  _safe_div(F.col("tp"), F.col("P")).alias("tpr"))
-    return t.unionByName(_point(df, fpr=0.0, tpr=0.0))
+    return _with_point(t, fpr=0.0, tpr=0.0)
 
 
 def pr_curve(df: DataFrame, label: str = "is_fraud", score: str = "score") -> DataFrame:
@@ -153,7 +154,7 @@ def pr_curve(df: DataFrame, label: str = "is_fraud", score: str = "score") -> Da
     t = t.select(F.col("score").alias("threshold"),
                  (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                  _safe_div(F.col("tp"), F.col("P")).alias("recall"))
-    return t.unionByName(_point(df, precision=1.0, recall=0.0))
+    return _with_point(t, precision=1.0, recall=0.0)
 
 
 def threshold_sweep(df: DataFrame, label: str = "is_fraud", score: str = "score",

@@ -1,10 +1,12 @@
 """Per-sender history features and the 44-column feature matrix.
 
-All history features come from one windowed pass over (sender, day) frames
-built by :mod:`txnrisk.operators.timeline`; running counters add their
-bucket offsets, whole-history sender statistics come from partial
-aggregates joined at (sender, bucket) granularity.  The only full shuffle of
-the transaction table is the one on (sender, bucket).
+Senders of up to ``HOT_ROWS`` rows are one frame each: one exchange of the rows
+by sender serves every window, and the whole-history statistics are sums of
+first sightings over the frame.  Hotter senders go through the (sender, bucket)
+frames of :mod:`txnrisk.operators.timeline`; their running counters add bucket
+offsets, and their whole-history statistics come from partial aggregates joined
+at (sender, bucket) granularity.  Either way the only full shuffle of the rows
+is one by sender and bucket.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions import geo, scalar
 from txnrisk.operators.clean import attach_one_row
-from txnrisk.operators.timeline import (UNBOUNDED, US, build_timeline, first_sighting_offsets, pair_offsets,
+from txnrisk.operators.timeline import (UNBOUNDED, US, Bucketing, build_timeline, first_sighting_offsets, pair_offsets,
                                        plan_buckets)
 from txnrisk.schema import (AMOUNT, DEVICE, FEATURES, FIRST_GAP_HOURS, FIRST_GAP_MINUTES,
                             GAP_COUNT_HOURS, LOCATION, MERCHANT, MERCHANT_TYPES, RAPID_GAP_HOURS,
@@ -54,45 +56,125 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
     far, devices and receivers seen so far), as training and streaming need.
     Id columns are expected non-null (``clean.fill_missing`` first).
     """
-    carry = [c for c in txn.columns if c not in (key, tie)]
-    counters = {f"{h}h": float(h) for h in GAP_COUNT_HOURS}
     bucketing = plan_buckets(txn, key=key, ts=ts, default_seconds=bucket_seconds,
                              min_seconds=VELOCITY_WINDOW_SECONDS, hot_rows=hot_rows, target_rows=target_rows)
-    tl = build_timeline(txn, key=key, ts=ts, tie=tie, carry=carry,
-                        lookback_rows=ROLLING_ROWS, lookback_seconds=VELOCITY_WINDOW_SECONDS,
-                        bucket_seconds=bucket_seconds, gap_counters=counters,
-                        first_gap_hours=FIRST_GAP_HOURS, bucketing=bucketing,
-                        sum_columns=(AMOUNT,) if point_in_time else ())
-    w = tl.window()
-    roll = w.rowsBetween(-(ROLLING_ROWS - 1), 0)
+    how = dict(key=key, ts=ts, tie=tie, totals=totals, point_in_time=point_in_time)
+    if hot_rows is None:  # buckets for all
+        return _bucketed_history(txn, bucketing, bucket_seconds, **how)
+    cold, hot = split_hot(txn, bucketing)
+    out = _whole_history(cold, **how)
+    return out if hot is None else out.unionByName(_bucketed_history(hot, bucketing, bucket_seconds, **how))
+
+
+def split_hot(txn: DataFrame, bucketing: Bucketing) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the senders that fit one frame, and those of the hot ones (None: there are none)."""
+    if bucketing.hot is None:
+        return txn, None
+    keys = bucketing.hot.select(bucketing.key)
+    keys = F.broadcast(keys) if bucketing.broadcast_hot else keys
+    return txn.join(keys, bucketing.key, "left_anti"), txn.join(keys, bucketing.key, "left_semi")
+
+
+def _one_frame(txn: DataFrame, ts: str) -> DataFrame:
+    """``txn`` with its time in microseconds and one bucket for all times, so windows read as those over buckets do."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    return txn.withColumn("_us", us).withColumn("_g", F.shiftright(F.col("_us") + F.lit(1 << 61), 62).cast("long"))
+
+
+def _sightings(f: DataFrame, other: str, key: str, tie: str, out: str) -> DataFrame:
+    """How often the sender has used the row's value of ``other``, this row included."""
+    return f.withColumn(out, F.row_number().over(Window.partitionBy(key, "_g", other).orderBy("_us", tie)))
+
+
+def _whole_history(txn: DataFrame, *, key: str, ts: str, tie: str, totals: bool, point_in_time: bool) -> DataFrame:
+    """History features of senders that are one frame each: one exchange, three sorts."""
+    f = _sightings(_sightings(_one_frame(txn, ts), DEVICE, key, tie, "_dev_n"), RECEIVER, key, tie, "_recv_n")
+    w = Window.partitionBy(key, "_g").orderBy("_us", tie)
     run = w.rowsBetween(UNBOUNDED, 0)
-    own = F.col("_own")
-    # Pass 1: every window over (sender, bucket) ordered by time in one select,
-    # so Catalyst evaluates them in one Window operator on one sort.
+    f = f.select("*", *_frame_columns(w, key, tie), F.row_number().over(w).cast("long").alias("Txn_Count_Total"))
+    f = _with_gaps(f)
+    tdh = F.col("Time_Diff_Hours")
+    new = {"Device_Count": (F.col("_dev_n") == 1), "Receiver_Diversity": (F.col("_recv_n") == 1)}
+    if totals or point_in_time:
+        over = run if point_in_time else Window.partitionBy(key, "_g")
+        known = {"Device_Count": F.lit(True) if point_in_time else F.col(DEVICE).isNotNull(),
+                 "Receiver_Diversity": F.lit(True) if point_in_time else F.col(RECEIVER).isNotNull()}
+        stats = [F.avg(AMOUNT).over(over).alias("_avg_amount"),
+                 *[F.sum(F.when(flag & known[c], 1).otherwise(0)).over(over).cast("long").alias(c) for c, flag in new.items()]]
+    else:
+        stats = []
+    f = f.select("*", _rapid(tdh, w), *stats,
+                 *[F.sum(F.when(tdh <= float(h), 1).otherwise(0)).over(run).cast("long").alias(f"Txn_Count_Last_{h}H")
+                   for h in GAP_COUNT_HOURS])
+    return _finished(f)
+
+
+def _frame_columns(w, key: str, tie: str) -> list:
+    """What every frame takes from its earlier rows, in one Window operator on one sort."""
+    roll = w.rowsBetween(-(ROLLING_ROWS - 1), 0)
     prev_us = F.lag("_us").over(w)
-    range_w = Window.partitionBy(key, "_g").orderBy("_us").rangeBetween(
-        -(VELOCITY_WINDOW_SECONDS * US - 1), -1)
+    range_w = Window.partitionBy(key, "_g").orderBy("_us").rangeBetween(-(VELOCITY_WINDOW_SECONDS * US - 1), -1)
     peer_w = Window.partitionBy(key, "_g", "_us").orderBy(tie)
-    f = tl.frames.select(
-        "*",
+    return [
         ((F.col("_us") - prev_us) / F.lit(1e6) / F.lit(3600.0)).alias("_gap_h"),
         ((F.col("_us") - prev_us) / F.lit(1e6) / F.lit(60.0)).alias("_gap_m"),
         F.lag(DEVICE).over(w).alias("_prev_device"),
         F.lag(LOCATION).over(w).alias("_prev_location"),
         F.avg(AMOUNT).over(roll).alias("Amount_Rolling_Mean_10"),
         F.coalesce(F.stddev_samp(AMOUNT).over(roll), F.lit(0.0)).alias("Amount_Rolling_Std_10"),
-        F.sum(F.when(own, 1).otherwise(0)).over(run).alias("_local_n"),
         # 10-minute count: earlier rows in (t - 10 min, t) plus same-time rows up to this one.
         (F.count(F.lit(1)).over(range_w) + F.row_number().over(peer_w)).cast("long").alias("Txn_Count_Last_10_Min"),
-    )
-    f = f.withColumns({"Time_Diff_Hours": F.coalesce(F.col("_gap_h"), F.lit(FIRST_GAP_HOURS)),
-                       "Time_Since_Last_Txn": F.coalesce(F.col("_gap_m"), F.lit(FIRST_GAP_MINUTES))})
-    # Pass 2: sums of gap flags (they need pass 1's lag); same spec, same sort.
+    ]
+
+
+def _with_gaps(f: DataFrame) -> DataFrame:
+    return f.withColumns({"Time_Diff_Hours": F.coalesce(F.col("_gap_h"), F.lit(FIRST_GAP_HOURS)),
+                          "Time_Since_Last_Txn": F.coalesce(F.col("_gap_m"), F.lit(FIRST_GAP_MINUTES))})
+
+
+def _rapid(tdh, w):
+    roll = w.rowsBetween(-(ROLLING_ROWS - 1), 0)
+    return F.sum(F.when(tdh <= RAPID_GAP_HOURS, 1).otherwise(0)).over(roll).cast("long").alias("Rapid_Txn_Count_Last_1H")
+
+
+def _finished(f: DataFrame) -> DataFrame:
+    """Columns that follow from the row and its predecessor; working columns are dropped."""
+    out = f.withColumns({
+        "Receiver_Frequency": F.col("_recv_n").cast("long"),
+        # Unequal or missing (first row, null device) counts as a new device.
+        "Is_New_Device": F.when(F.col(DEVICE) == F.col("_prev_device"), 0).otherwise(1),
+        "Location_Distance_Km": geo.location_distance_km(F.col(LOCATION), F.col("_prev_location")),
+        "prev_location": F.col("_prev_location"),
+    })
+    speed = geo.speed_kmh(F.col("Location_Distance_Km"), F.col("Time_Diff_Hours"))
+    out = out.withColumns({
+        "Is_First_Time_Receiver": F.when(F.col("Receiver_Frequency") == 1, 1).otherwise(0),
+        "Is_Unusual_Location": geo.is_unusual_location(F.col("Location_Distance_Km"), F.col("Time_Diff_Hours")),
+        "Location_Speed_Kmh": speed,
+        "Is_High_Speed": geo.is_high_speed(speed),
+    })
+    return out.drop(*[c for c in out.columns if c.startswith("_") and c != "_avg_amount"])
+
+
+def _bucketed_history(txn: DataFrame, bucketing: Bucketing, bucket_seconds: int, *, key: str, ts: str, tie: str, totals: bool,
+                      point_in_time: bool) -> DataFrame:
+    """History features over (sender, bucket) frames, for senders of any size."""
+    carry = [c for c in txn.columns if c not in (key, tie)]
+    counters = {f"{h}h": float(h) for h in GAP_COUNT_HOURS}
+    tl = build_timeline(txn, key=key, ts=ts, tie=tie, carry=carry,
+                        lookback_rows=ROLLING_ROWS, lookback_seconds=VELOCITY_WINDOW_SECONDS,
+                        bucket_seconds=bucket_seconds, gap_counters=counters,
+                        first_gap_hours=FIRST_GAP_HOURS, bucketing=bucketing,
+                        sum_columns=(AMOUNT,) if point_in_time else ())
+    w = tl.window()
+    run = w.rowsBetween(UNBOUNDED, 0)
+    own = F.col("_own")
+    f = tl.frames.select("*", *_frame_columns(w, key, tie), F.sum(F.when(own, 1).otherwise(0)).over(run).alias("_local_n"))
+    f = _with_gaps(f)
+    # Sums of gap flags (they need the lag): same spec, same sort.
     tdh = F.col("Time_Diff_Hours")
     f = f.select(
-        "*",
-        F.sum(F.when(tdh <= RAPID_GAP_HOURS, 1).otherwise(0)).over(roll).cast("long")
-        .alias("Rapid_Txn_Count_Last_1H"),
+        "*", _rapid(tdh, w),
         *[F.sum(F.when(own & (tdh <= float(h)), 1).otherwise(0)).over(run).alias(f"_local_{h}h")
           for h in GAP_COUNT_HOURS],
         *([F.sum(F.when(own, F.col(AMOUNT)).otherwise(0.0)).over(run).alias("_local_amt")]
@@ -129,27 +211,10 @@ def history_features(txn: DataFrame, *, key: str = SENDER, ts: str = TS, tie: st
             "Device_Count": (F.col("_foff_dev") + F.col("_loc_ddiv")).cast("long"),
             "Receiver_Diversity": (F.col("_foff_recv") + F.col("_loc_rdiv")).cast("long")})
 
-    dist = geo.location_distance_km(F.col(LOCATION), F.col("_prev_location"))
-    freq = F.col("_recv_n").cast("long")
-    out = f.withColumns({
+    return _finished(f.withColumns({
         "Txn_Count_Total": (F.col("_cum") + F.col("_local_n")).cast("long"),
-        "Receiver_Frequency": freq,
-        # Unequal or missing (first row, null device) counts as a new device.
-        "Is_New_Device": F.when(F.col(DEVICE) == F.col("_prev_device"), 0).otherwise(1),
-        "Location_Distance_Km": dist,
-        "prev_location": F.col("_prev_location"),
         **{f"Txn_Count_Last_{h}H": (F.col(f"_off_{h}h") + F.col(f"_local_{h}h")).cast("long")
-           for h in GAP_COUNT_HOURS},
-    })
-    speed = geo.speed_kmh(F.col("Location_Distance_Km"), F.col("Time_Diff_Hours"))
-    out = out.withColumns({
-        "Is_First_Time_Receiver": F.when(F.col("Receiver_Frequency") == 1, 1).otherwise(0),
-        "Is_Unusual_Location": geo.is_unusual_location(F.col("Location_Distance_Km"), F.col("Time_Diff_Hours")),
-        "Location_Speed_Kmh": speed,
-        "Is_High_Speed": geo.is_high_speed(speed),
-    })
-    drop = [c for c in out.columns if c.startswith("_") and c != "_avg_amount"]
-    return out.drop(*drop)
+           for h in GAP_COUNT_HOURS}}))
 
 
 def _pair_running_count(f: DataFrame, poff: DataFrame, *, key: str, tie: str, other: str,
@@ -258,23 +323,32 @@ def trailing_velocity(txn: DataFrame, hours: tuple[int, ...] = (1, 6, 24), *, ke
     """Transactions of the sender in the trailing ``h`` hours, current row
     included (``Velocity_{h}H``): true interval counts.
 
-    Same (sender, bucket) frames as :func:`history_features`; the halo holds
-    the rows of the widest interval before each bucket, so buckets are wider
-    (a week by default) to keep the halo a small share of the data.
+    Frames as in :func:`history_features`; a hot sender's halo holds the rows
+    of the widest interval before each bucket, so buckets are wider (a week by
+    default) to keep the halo a small share of the data.
     """
     width = max(hours) * 3600
     base = txn.select(key, tie, ts)
+
+    def counted(f: DataFrame) -> DataFrame:
+        f = f.withColumn("_peer", F.row_number().over(Window.partitionBy(key, "_g", "_us").orderBy(tie)))
+        for h in hours:
+            rw = Window.partitionBy(key, "_g").orderBy("_us").rangeBetween(-(h * 3600 * US - 1), -1)
+            f = f.withColumn(f"Velocity_{h}H", (F.count(F.lit(1)).over(rw) + F.col("_peer")).cast("long"))
+        return f
+
+    out = [key, tie, ts, *[f"Velocity_{h}H" for h in hours]]
     bucketing = plan_buckets(base, key=key, ts=ts, default_seconds=max(bucket_seconds, width),
                              min_seconds=width, hot_rows=hot_rows, target_rows=target_rows)
-    tl = build_timeline(base, key=key, ts=ts, tie=tie, carry=[ts],
+    cold, hot = (None, base) if hot_rows is None else split_hot(base, bucketing)
+    whole = None if cold is None else counted(_one_frame(cold, ts)).select(*out)
+    if hot is None:
+        return whole
+    tl = build_timeline(hot, key=key, ts=ts, tie=tie, carry=[ts],
                         lookback_rows=1, lookback_seconds=width,
                         bucket_seconds=max(bucket_seconds, width), bucketing=bucketing)
-    peer_w = Window.partitionBy(key, "_g", "_us").orderBy(tie)
-    f = tl.frames.withColumn("_peer", F.row_number().over(peer_w))
-    for h in hours:
-        rw = Window.partitionBy(key, "_g").orderBy("_us").rangeBetween(-(h * 3600 * US - 1), -1)
-        f = f.withColumn(f"Velocity_{h}H", (F.count(F.lit(1)).over(rw) + F.col("_peer")).cast("long"))
-    return f.where(F.col("_own")).select(key, tie, ts, *[f"Velocity_{h}H" for h in hours])
+    cut = counted(tl.frames).where(F.col("_own")).select(*out)
+    return cut if whole is None else whole.unionByName(cut)
 
 
 def running_distinct(txn: DataFrame, other: str, out: str, *, key: str = SENDER, ts: str = TS,
@@ -283,7 +357,7 @@ def running_distinct(txn: DataFrame, other: str, out: str, *, key: str = SENDER,
     """Distinct values of ``other`` seen by the sender up to each row
     (point-in-time form of Device_Count / Receiver_Diversity).
 
-    Each (sender, value) pair's first row comes from a partial aggregate (a
+    For a hot sender each (sender, value) pair's first row comes from a partial aggregate (a
     *marker*).  Markers are unioned into the sender's (sender, bucket) frames
     and sorted just before the row they mark, so the distinct count so far is
     a running sum of markers plus the markers of earlier buckets (a small
@@ -291,7 +365,16 @@ def running_distinct(txn: DataFrame, other: str, out: str, *, key: str = SENDER,
     """
     bucketing = plan_buckets(txn, key=key, ts=ts, default_seconds=bucket_seconds, min_seconds=60,
                              hot_rows=hot_rows, target_rows=target_rows)
-    d = bucketing.apply(txn.select(key, tie, ts, other))
+    base = txn.select(key, tie, ts, other)
+    cold, hot = (None, base) if hot_rows is None else split_hot(base, bucketing)
+    whole = None
+    if cold is not None:  # first sightings, summed along the sender's frame
+        f = _sightings(_one_frame(cold, ts), other, key, tie, "_n")
+        run = Window.partitionBy(key, "_g").orderBy("_us", tie).rowsBetween(UNBOUNDED, 0)
+        whole = f.select(key, tie, ts, F.sum(F.when(F.col("_n") == 1, 1).otherwise(0)).over(run).cast("long").alias(out))
+    if hot is None:
+        return whole
+    d = bucketing.apply(hot)
     firsts = (d.groupBy(key, other).agg(F.min(F.struct("_us", tie, "_b")).alias("_f"))
               .select(key, F.col("_f._b").alias("_b"), F.col("_f._us").alias("_us"),
                       F.col(f"_f.{tie}").alias(tie)))
@@ -308,4 +391,5 @@ def running_distinct(txn: DataFrame, other: str, out: str, *, key: str = SENDER,
             .select(key, "_b", F.coalesce(F.sum(F.coalesce(F.col("_new"), F.lit(0))).over(wg), F.lit(0))
                     .alias("_boff")))
     f = local.join(boff, [key, "_b"], "left")
-    return f.select(key, tie, ts, (F.coalesce(F.col("_boff"), F.lit(0)) + F.col("_loc")).cast("long").alias(out))
+    cut = f.select(key, tie, ts, (F.coalesce(F.col("_boff"), F.lit(0)) + F.col("_loc")).cast("long").alias(out))
+    return cut if whole is None else whole.unionByName(cut)
