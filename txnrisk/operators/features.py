@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions import geo, scalar
-from txnrisk.operators.clean import attach_one_row
+from txnrisk.operators.clean import attach_one_row, sanitize_numeric, select_features
 from txnrisk.operators.timeline import (UNBOUNDED, US, Bucketing, build_timeline, first_sighting_offsets, pair_offsets,
                                        plan_buckets)
 from txnrisk.schema import (AMOUNT, DEVICE, FEATURES, FIRST_GAP_HOURS, FIRST_GAP_MINUTES,
@@ -312,9 +312,9 @@ def build_features(txn: DataFrame, *, amount_scale: str = "raw", scaler: DataFra
     def clean(c):
         # NaN and +/-inf -> 0 for floating features (one projection for all).
         if types[c] in ("double", "float"):
-            return F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.lit(0.0)).otherwise(F.col(c)).alias(c)
+            return sanitize_numeric(F.col(c)).alias(c)
         return F.col(c)
-    return feats.select(*keep, *[clean(c) for c in FEATURES])
+    return select_features(feats.select(*keep, *[clean(c) for c in FEATURES]), keep=keep)
 
 
 def trailing_velocity(txn: DataFrame, hours: tuple[int, ...] = (1, 6, 24), *, key: str = SENDER,

@@ -1,4 +1,4 @@
-"""Feedback handling: buffer, ledger upsert per micro-batch, retrain check."""
+"""Feedback handling: the retrain check."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.operators.clean import attach_one_row
-from txnrisk.operators.ledger import apply_feedback
 from txnrisk.schema import RETRAIN_INTERVAL_HOURS, RETRAIN_MIN_SAMPLES
 
 
@@ -27,14 +26,3 @@ def retrain_due(run_log: DataFrame, feedback: DataFrame, now: DataFrame,
            & (F.col("_last").isNull()  # no good run yet
               | (F.col("_now") >= F.col("_last") + F.make_interval(hours=F.lit(interval_hours)))))
     return j.select("n_feedback", "n_classes", due.alias("due"))
-
-
-def upsert_batch(ledger_path_of: callable, next_path_of: callable):
-    """``foreachBatch`` body: apply a micro-batch of feedback to the current
-    ledger version and write the result as the next version (no in-place
-    edit; a failed batch leaves the current version intact)."""
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        current = spark.read.parquet(ledger_path_of(epoch_id))
-        apply_feedback(current, batch).write.mode("overwrite").parquet(next_path_of(epoch_id))
-    return run
