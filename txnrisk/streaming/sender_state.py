@@ -6,14 +6,16 @@ watermark get the same features as in a batch over the sorted table.  What
 waits lies in map state by time slot; one event-time timer per sender wakes it
 for its next due row.  A sender's history is a small record plus two maps,
 receiver -> count and device -> count, of which a micro-batch reads and writes
-only the entries it meets.
+only the entries it meets.  A state call costs far more than the work on a row,
+so whatever has up to ``NEAR`` entries (receivers, devices, waiting rows, ids)
+lies within the sender's records, and moves to map state when it outgrows them.
 
 Every row comes out once.  ``refused`` says why a row has no features and left
 no trace in the state:
 
 * ``late``: older than the watermark when it arrived (``late`` is then true);
-* ``duplicate``: its id is one of an earlier row of the sender whose time is
-  less than the watermark's delay behind the watermark, or one of the same batch;
+* ``duplicate``: its id is one of an earlier row of the sender whose time slot
+  is less than the watermark's delay behind the watermark, or one of the same batch;
 * ``invalid``: ``validation_message`` is not null (where there is such a column);
 * ``no time``, ``no amount``: null time; null or non-finite amount.
 
@@ -63,6 +65,8 @@ PASSTHROUGH = ["amount", "device_id", "location", "receiver_id", "txn_type", "me
 CLOSING_SENDER = "\u0000closing"
 #: Time slots of the waiting rows within the watermark's delay.
 SLOTS = 288
+#: Most entries of each kind within a sender's records.
+NEAR = 128
 
 
 def _struct(**fields) -> T.StructType:
@@ -90,17 +94,29 @@ class History:
 
 
 class Agenda:
-    """Slots with waiting rows (their parts and first time), slots whose ids are still held, and the next timer."""
+    """What waits and which ids are held.
 
-    SCHEMA = _struct(slots=_LONGS, parts=_LONGS, firsts=_LONGS, done=_LONGS, wake=_LONG)
+    Near: ids (null: far), the waiting rows' parts, number and first time.
+    Far: slots with waiting rows (their parts and first time) and slots whose ids are still held.  And the next timer."""
+
+    SCHEMA = _struct(slots=_LONGS, parts=_LONGS, firsts=_LONGS, done=_LONGS, wake=_LONG, ids=T.ArrayType(_TEXT), id_us=_LONGS,
+                     rows=T.ArrayType(T.BinaryType()), n_rows=_LONG, first=_LONG)
 
     def __init__(self, row=None):
-        slots, parts, firsts, done, self.wake = row or ([], [], [], [], None)
+        slots, parts, firsts, done, self.wake, ids, id_us, rows, self.n_rows, self.first = row or ([], [], [], [], None, [], [], [], 0, None)
         self.waiting = {int(s): (int(p), int(f)) for s, p, f in zip(slots, parts, firsts)}
         self.done = sorted(int(s) for s in done)
+        self.ids = None if ids is None else dict(zip(ids, id_us))
+        self.rows = [bytes(r) for r in rows]
+
+    @property
+    def near(self) -> bool:
+        return self.ids is not None
 
     def to_row(self) -> tuple:
-        return ([*self.waiting], [p for p, _ in self.waiting.values()], [f for _, f in self.waiting.values()], self.done, self.wake)
+        ids, id_us = ([*self.ids], [*self.ids.values()]) if self.near else (None, None)
+        return ([*self.waiting], [p for p, _ in self.waiting.values()], [f for _, f in self.waiting.values()], self.done, self.wake,
+                ids, id_us, self.rows, self.n_rows, self.first)
 
 
 def _rolling_stats(values: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,13 +138,13 @@ def _rolling_stats(values: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarr
 
 def _counted(values: pd.Series, counts) -> np.ndarray:
     """How often each value has been met, itself included; reads and writes one entry of ``counts`` per distinct value."""
-    names = values.map(lambda v: "" if pd.isna(v) else str(v))
-    so_far = names.groupby(names).cumcount().to_numpy() + 1
-    before = {name: counts.get(name) for name in names.unique()}
-    met = so_far + names.map(before).to_numpy(dtype=np.int64)
-    for name, n in names.value_counts().items():
-        counts.put(name, before[name] + int(n))
-    return met
+    met, now = [], {}
+    for name in ("" if pd.isna(v) else str(v) for v in values):
+        now[name] = (now[name] if name in now else counts.get(name)) + 1
+        met.append(now[name])
+    for name, n in now.items():
+        counts.put(name, n)
+    return np.array(met, dtype=np.int64)
 
 
 def advance(st: History, pdf: pd.DataFrame, receivers, devices) -> pd.DataFrame:
@@ -181,18 +197,35 @@ def advance(st: History, pdf: pd.DataFrame, receivers, devices) -> pd.DataFrame:
     })
 
 
-class _Counts:
-    """Map state name -> count."""
+class NamedCounts:
+    """Name -> count: up to ``NEAR`` names as lists of the sender's record, more in map state (the lists are null then)."""
 
-    def __init__(self, state):
-        self.state = state
+    def __init__(self, state, names: list | None, counts: list | None):
+        self.state, self.near = state, None if names is None else dict(zip(names, counts))
 
     def get(self, name: str) -> int:
+        if self.near is not None:
+            return int(self.near.get(name, 0))
         row = self.state.getValue((name,))
         return 0 if row is None else int(row[0])
 
     def put(self, name: str, n: int) -> None:
-        self.state.updateValue((name,), (n,))
+        if self.near is None:
+            self.state.updateValue((name,), (n,))
+            return
+        self.near[name] = n
+        if len(self.near) > NEAR:
+            for held in self.near.items():
+                self.state.updateValue((held[0],), (int(held[1]),))
+            self.near = None
+
+    def clear(self) -> None:
+        if self.near is None:
+            self.state.clear()
+        self.near = {}
+
+    def to_lists(self) -> tuple:
+        return (None, None) if self.near is None else ([*self.near], [*self.near.values()])
 
 
 class SenderFeatures(StatefulProcessor):
@@ -206,7 +239,8 @@ class SenderFeatures(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.history = handle.getValueState("history", History.SCHEMA)
+        near = _struct(receivers=T.ArrayType(_TEXT), receiver_n=_LONGS, devices=T.ArrayType(_TEXT), device_n=_LONGS)
+        self.history = handle.getValueState("history", T.StructType(History.SCHEMA.fields + near.fields))
         self.agenda = handle.getValueState("agenda", Agenda.SCHEMA)
         self.receivers = handle.getMapState("receivers", _struct(name=_TEXT), _struct(n=_LONG))
         self.devices = handle.getMapState("devices", _struct(name=_TEXT), _struct(n=_LONG))
@@ -219,7 +253,7 @@ class SenderFeatures(StatefulProcessor):
         pdf = pd.concat(list(rows), ignore_index=True)
         if key[0] == CLOSING_SENDER:
             return
-        pdf = pdf.drop(columns=[self.key])
+        pdf, agenda = pdf.drop(columns=[self.key]), Agenda(self.agenda.get()) if self.ordered else None
         mark = timerValues.getCurrentWatermarkInMs() * 1000 if self.ordered else 0
         refused = pd.Series([None] * len(pdf), dtype=object)
         if mark > 0:
@@ -231,7 +265,7 @@ class SenderFeatures(StatefulProcessor):
         good = pdf[refused.isna()].sort_values(["event_us", self.tie], kind="mergesort")
         again = good[self.tie].notna() & good.duplicated(self.tie)
         if self.ordered:
-            again |= pd.Series([t is not None and self.ids.getValue((t,)) is not None for t in self._texts(good)], good.index, dtype=bool)
+            again |= pd.Series([self._held(agenda, t, mark) for t in self._texts(good)], good.index, dtype=bool)
         refused[again.index[again]] = "duplicate"
         if refused.notna().any():
             yield self._shown(key, pdf[refused.notna()].reset_index(drop=True), refused[refused.notna()].tolist())
@@ -241,67 +275,143 @@ class SenderFeatures(StatefulProcessor):
         if not self.ordered:
             yield from self._fold(key, good)
             return
-        agenda = Agenda(self.agenda.get())
-        for text, us in zip(self._texts(good), good["event_us"]):
-            if text is not None:
-                self.ids.updateValue((text,), (int(us),))
-        for slot, part in good.groupby(good["event_us"].astype("int64") // self.slot_us):
-            parts, first = agenda.waiting.get(int(slot), (0, int(part["event_us"].iloc[0])))
-            self._keep(int(slot), parts, part)
-            agenda.waiting[int(slot)] = (parts + 1, min(first, int(part["event_us"].iloc[0])))
-        self._rest(agenda)
+        ids = {t: int(us) for t, us in zip(self._texts(good), good["event_us"]) if t is not None}
+        if agenda.near and max(len(agenda.ids) + len(ids), agenda.n_rows + len(good)) <= NEAR:
+            agenda.ids.update(ids)
+            self._wait_near(agenda, good)
+        else:
+            if agenda.near:
+                self._move_far(agenda)
+            self._wait_far(agenda, good, ids)
+        self._rest(agenda, None)
 
     # ---------------------------------------------------------------- timers
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark, agenda = timerValues.getCurrentWatermarkInMs() * 1000, Agenda(self.agenda.get())
+        agenda.wake = None  # the timer that fired
+        due = self._due_near(agenda, mark) if agenda.near else self._due_far(agenda, mark)
+        if due:
+            pdf = pd.concat(due, ignore_index=True).sort_values(["event_us", self.tie], kind="mergesort").reset_index(drop=True)
+            yield from self._fold(key, pdf)
+        if agenda.near:
+            agenda.ids = {t: us for t, us in agenda.ids.items() if self._expiry(us // self.slot_us) > mark}
+        else:  # ids are held for the watermark's delay after their rows
+            while agenda.done and self._expiry(agenda.done[0]) <= mark:
+                slot = agenda.done.pop(0)
+                for text in self.done.getValue((slot,))[0]:
+                    self.ids.removeKey((text,))
+                self.done.removeKey((slot,))
+            if not agenda.waiting and not agenda.done:
+                agenda.ids = {}
+        last_us = None
+        if self.idle_us is not None:
+            st, receivers, devices = self._record()
+            last_us = st.last_us
+            if last_us is not None and not agenda.waiting and not agenda.n_rows and last_us + self.idle_us <= mark:
+                receivers.clear(), devices.clear(), self.history.clear()
+                last_us = None
+        self._rest(agenda, last_us)
+
+    # ----------------------------------------------------- what waits, and ids
+    def _held(self, agenda: Agenda, text: str | None, mark: int) -> bool:
+        """Whether an earlier row with this id keeps others out."""
+        if text is None:
+            return False
+        if agenda.near:
+            us = agenda.ids.get(text)
+        else:
+            found = self.ids.getValue((text,))
+            us = None if found is None else found[0]
+        return us is not None and self._expiry(int(us) // self.slot_us) > mark
+
+    def _wait_near(self, agenda: Agenda, pdf: pd.DataFrame) -> None:
+        agenda.rows.append(self._packed(pdf))
+        first = int(pdf["event_us"].min())
+        agenda.n_rows, agenda.first = agenda.n_rows + len(pdf), first if agenda.first is None else min(agenda.first, first)
+
+    def _due_near(self, agenda: Agenda, mark: int) -> list[pd.DataFrame]:
+        if not agenda.n_rows or agenda.first >= mark:
+            return []
+        held = pd.concat([self._unpacked(r) for r in agenda.rows], ignore_index=True)
+        agenda.rows, agenda.n_rows, agenda.first = [], 0, None
+        ready = held["event_us"] < mark
+        if not ready.all():
+            self._wait_near(agenda, held[~ready])
+        return [held[ready]]
+
+    def _move_far(self, agenda: Agenda) -> None:
+        """From the sender's record to map state: ids by themselves and, once folded, by slot; waiting rows by slot."""
+        ids, agenda.ids = agenda.ids, None
+        waiting = [self._unpacked(r) for r in agenda.rows]
+        agenda.rows, agenda.n_rows, agenda.first = [], 0, None
+        folded = ids.keys() - {t for part in waiting for t in self._texts(part)}
+        by_slot = {}
+        for text in folded:
+            by_slot.setdefault(int(ids[text]) // self.slot_us, []).append(text)
+        for slot, texts in by_slot.items():
+            self.done.updateValue((slot,), (texts,))
+        agenda.done = sorted(by_slot)
+        for text in folded:
+            self.ids.updateValue((text,), (int(ids[text]),))
+        for part in waiting:
+            self._wait_far(agenda, part, {t: ids[t] for t in self._texts(part) if t is not None})
+
+    def _wait_far(self, agenda: Agenda, pdf: pd.DataFrame, ids: dict) -> None:
+        for text, us in ids.items():
+            self.ids.updateValue((text,), (int(us),))
+        for slot, part in pdf.groupby(pdf["event_us"].astype("int64") // self.slot_us):
+            parts, first = agenda.waiting.get(int(slot), (0, int(part["event_us"].min())))
+            self.waiting.updateValue((int(slot), parts), (self._packed(part),))
+            agenda.waiting[int(slot)] = (parts + 1, min(first, int(part["event_us"].min())))
+
+    def _due_far(self, agenda: Agenda, mark: int) -> list[pd.DataFrame]:
         due = []
         for slot in sorted(s for s, (_, first) in agenda.waiting.items() if first < mark):
             parts, _ = agenda.waiting.pop(slot)
-            held = [pa.ipc.open_stream(self.waiting.getValue((slot, part))[0]).read_pandas() for part in range(parts)]
+            held = pd.concat([self._unpacked(self.waiting.getValue((slot, part))[0]) for part in range(parts)], ignore_index=True)
             for part in range(parts):
                 self.waiting.removeKey((slot, part))
-            held = pd.concat(held, ignore_index=True)
             ready = held["event_us"] < mark
             due.append(held[ready])
             if not ready.all():
-                later = held[~ready]
-                self._keep(slot, 0, later)
-                agenda.waiting[slot] = (1, int(later["event_us"].min()))
+                self._wait_far(agenda, held[~ready], {})
             known = self.done.getValue((slot,)) if slot in agenda.done else None
             self.done.updateValue((slot,), ([*(known[0] if known else []), *(t for t in self._texts(held[ready]) if t is not None)],))
             agenda.done = sorted({*agenda.done, slot})
-        if due:
-            yield from self._fold(key, pd.concat(due, ignore_index=True).sort_values(["event_us", self.tie], kind="mergesort").reset_index(drop=True))
-        # Ids are held for the watermark's delay after their rows.
-        while agenda.done and self._expiry(agenda.done[0]) <= mark:
-            slot = agenda.done.pop(0)
-            for text in self.done.getValue((slot,))[0]:
-                self.ids.removeKey((text,))
-            self.done.removeKey((slot,))
-        if self.idle_us is not None and not agenda.waiting and self.history.exists():
-            if History(self.history.get()).last_us + self.idle_us <= mark:
-                self._forget()
-        self._rest(agenda)
+        return due
 
     # --------------------------------------------------------------- helpers
     def _texts(self, pdf: pd.DataFrame) -> list[str | None]:
         # pandas holds whole numbers as floats where some are null
         return [None if pd.isna(t) else str(int(t)) if isinstance(t, float) and t.is_integer() else str(t) for t in pdf[self.tie]]
 
-    def _keep(self, slot: int, part: int, pdf: pd.DataFrame) -> None:
+    def _packed(self, pdf: pd.DataFrame) -> bytes:
         table, sink = pa.Table.from_pandas(pdf, schema=self.rows, preserve_index=False), pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, self.rows) as out:
             out.write_table(table)
-        self.waiting.updateValue((slot, part), (sink.getvalue().to_pybytes(),))
+        return sink.getvalue().to_pybytes()
+
+    def _unpacked(self, packed: bytes) -> pd.DataFrame:
+        return pa.ipc.open_stream(packed).read_pandas()
 
     def _expiry(self, slot: int) -> int:
         return (slot + 1) * self.slot_us + self.delay_us
 
-    def _rest(self, agenda: Agenda) -> None:
-        """Store the agenda and set the one timer of the sender."""
+    def _record(self) -> tuple[History, NamedCounts, NamedCounts]:
+        row = self.history.get()
+        own = len(History.SCHEMA)
+        near = ([], [], [], []) if row is None else tuple(row[own:])
+        return History(None if row is None else row[:own]), NamedCounts(self.receivers, *near[:2]), NamedCounts(self.devices, *near[2:])
+
+    def _rest(self, agenda: Agenda, last_us: int | None) -> None:
+        """Store the agenda and set the one timer of the sender, whose latest folded event, if it can go idle, is ``last_us``."""
         times = [first for _, first in agenda.waiting.values()] + [self._expiry(s) for s in agenda.done[:1]]
-        if self.idle_us is not None and self.history.exists():
-            times.append(History(self.history.get()).last_us + self.idle_us)
+        if agenda.n_rows:
+            times.append(agenda.first)
+        elif agenda.ids:  # near ids are cleared together
+            times.append(self._expiry(max(agenda.ids.values()) // self.slot_us))
+        if last_us is not None:
+            times.append(last_us + self.idle_us)
         wake = min(times) // 1000 + 1 if times else None
         if wake != agenda.wake:
             if agenda.wake is not None:
@@ -314,33 +424,30 @@ class SenderFeatures(StatefulProcessor):
         else:
             self.agenda.update(agenda.to_row())
 
-    def _forget(self) -> None:
-        for state in (self.history, self.receivers, self.devices):
-            state.clear()
-
     def _fold(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        st = History(self.history.get() if self.history.exists() else None)
+        st, receivers, devices = self._record()
         runs = [pdf]
         if self.idle_us is not None:  # a gap of ``idle_us`` starts a fresh history
             before = pdf["event_us"].shift(1, fill_value=int(pdf["event_us"].iloc[0]) if st.last_us is None else st.last_us)
             anew = pdf["event_us"] - before >= self.idle_us
             runs = [run.reset_index(drop=True) for _, run in pdf.groupby(anew.cumsum())]
             if anew.iloc[0]:
-                self._forget()
                 st = History()
+                receivers.clear(), devices.clear()
         for k, run in enumerate(runs):
             if k:
-                self._forget()
                 st = History()
-            found = advance(st, run, _Counts(self.receivers), _Counts(self.devices))
+                receivers.clear(), devices.clear()
+            found = advance(st, run, receivers, devices)
             yield self._shown(key, pd.concat([run, found], axis=1), None)
-        self.history.update(st.to_row())
+        self.history.update((*st.to_row(), *receivers.to_lists(), *devices.to_lists()))
 
     def _shown(self, key, pdf: pd.DataFrame, refused: list | None) -> pd.DataFrame:
-        out = pdf.assign(refused=refused, late=[r == "late" for r in refused] if refused else False)
-        out[self.key] = key[0]
-        nothing = pd.Series([None] * len(out), index=out.index, dtype=object)
-        return pd.DataFrame({c: out[c] if c in out and out[c].notna().any() else nothing for c in self.out})
+        nothing = np.full(len(pdf), None, dtype=object)
+        own = {self.key: np.full(len(pdf), key[0], dtype=object), "refused": nothing if refused is None else refused,
+               "late": np.zeros(len(pdf), dtype=bool) if refused is None else [r == "late" for r in refused]}
+        return pd.DataFrame({c: own[c] if c in own else pdf[c] if c in pdf and pdf[c].notna().to_numpy().any() else nothing
+                             for c in self.out})
 
     def close(self) -> None:
         pass
