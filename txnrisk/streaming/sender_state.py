@@ -299,7 +299,9 @@ class SenderFeatures(StatefulProcessor):
             while agenda.done and self._expiry(agenda.done[0]) <= mark:
                 slot = agenda.done.pop(0)
                 for text in self.done.getValue((slot,))[0]:
-                    self.ids.removeKey((text,))
+                    found = self.ids.getValue((text,))
+                    if found is not None and int(found[0]) // self.slot_us == slot:  # not taken anew since
+                        self.ids.removeKey((text,))
                 self.done.removeKey((slot,))
             if not agenda.waiting and not agenda.done:
                 agenda.ids = {}
@@ -438,16 +440,23 @@ class SenderFeatures(StatefulProcessor):
             if k:
                 st = History()
                 receivers.clear(), devices.clear()
-            found = advance(st, run, receivers, devices)
-            yield self._shown(key, pd.concat([run, found], axis=1), None)
+            yield self._shown(key, run, None, advance(st, run, receivers, devices))
         self.history.update((*st.to_row(), *receivers.to_lists(), *devices.to_lists()))
 
-    def _shown(self, key, pdf: pd.DataFrame, refused: list | None) -> pd.DataFrame:
+    def _shown(self, key, pdf: pd.DataFrame, refused: list | None, found: pd.DataFrame | None = None) -> pd.DataFrame:
+        """The rows of the result: ``pdf``, what the fold ``found`` for them, the sender, and why they were refused."""
         nothing = np.full(len(pdf), None, dtype=object)
-        own = {self.key: np.full(len(pdf), key[0], dtype=object), "refused": nothing if refused is None else refused,
-               "late": np.zeros(len(pdf), dtype=bool) if refused is None else [r == "late" for r in refused]}
-        return pd.DataFrame({c: own[c] if c in own else pdf[c] if c in pdf and pdf[c].notna().to_numpy().any() else nothing
-                             for c in self.out})
+        shown = dict.fromkeys(self.out, nothing)
+        for c in pdf.columns:
+            values = pdf[c].to_numpy()
+            if not pd.isna(values).all():
+                shown[c] = values
+        if found is not None:
+            shown.update({c: found[c].to_numpy() for c in found.columns})
+        shown[self.key] = np.full(len(pdf), key[0], dtype=object)
+        shown["refused"] = nothing if refused is None else refused
+        shown["late"] = np.zeros(len(pdf), dtype=bool) if refused is None else [r == "late" for r in refused]
+        return pd.DataFrame({c: shown[c] for c in self.out})
 
     def close(self) -> None:
         pass
