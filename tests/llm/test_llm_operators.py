@@ -198,6 +198,35 @@ def test_exact_dedup_goes_on(spark):
     assert sorted((r.keep_id, r.n) for r in state.groups().collect()) == [(2, 1), (3, 2)]
 
 
+@pytest.mark.parametrize("from_files", [False, True])
+def test_exact_dedup_follows_locators(spark, tmp_path, from_files):
+    """A digest that collides with rows of earlier batches: their texts are read again from where they lie."""
+    weak = lambda t: F.encode(F.substring(t, 1, 1), "UTF-8")
+    state = exact_dedup.ExactDedup(spark, digest=weak)
+    batches = [[(1, "ab"), (None, "xy")], [(2, "ac"), (3, "xy")], [(4, "ab"), (5, "ac"), (6, "ac"), (None, "xy")], [(7, "xy"), (8, None)]]
+    want = [{(1, 1, 1, True), (None, None, 1, True)}, {(2, 2, 1, True), (3, 3, 2, True)},
+            {(4, 4, 2, True), (5, 6, 3, False), (6, 6, 3, True), (None, 3, 3, False)}, {(7, 7, 4, True), (8, 8, 1, True)}]
+    for k, (rows, decisions) in enumerate(zip(batches, want)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        if from_files:
+            docs.write.parquet(str(tmp_path / f"in {k}"))
+            docs = spark.read.parquet(str(tmp_path / f"in {k}"))
+        state.add(docs)
+        state.advance()
+        got = exact_dedup.resolve(state, docs)
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()} == decisions, k
+
+
+def test_exact_dedup_wants_each_batch_resolved(spark):
+    state = exact_dedup.ExactDedup(spark)
+    for rows in ([(1, "a")], [(2, "a")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        state.add(docs)
+    state.advance()
+    with pytest.raises(ValueError):
+        exact_dedup.resolve(state, docs)
+
+
 def test_line_dedup(docs, empty):
     out = by_id(line_dedup.remove_repeated_runs(docs))
     assert out[11].text == TEXTS[11] and out[12].text == "q\nq"

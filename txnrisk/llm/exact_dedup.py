@@ -5,8 +5,10 @@ A Structured Streaming aggregation keyed by digest keeps its state in RocksDB
 without expiry: per digest the largest identifier, that row's locator and the
 number of arrivals.  The state itself is the result and is read back with the
 state-store source, so later batches go on from it.  Every digest that was hit
-more than once is checked on its full bytes; texts that share a digest without
-being equal are grouped by their text instead.
+more than once is checked on its full bytes: the batch's texts against each
+other and against the text of one earlier row, read from the file that its
+locator names.  Texts that share a digest without being equal are grouped by
+their text instead, with the earlier ones read through their locators.
 
 Defined cases: a null text counts as empty; rows with a null doc_id take part
 and never win against a numbered row; a repeated (doc_id, text) row counts in
@@ -17,6 +19,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -44,9 +47,12 @@ def sha256_bytes(text: Column) -> Column:
 class ExactDedup:
     """Keyed dedup state in ``folder`` (under the shared folder by default).
 
-    ``add`` appends documents to the log; ``advance`` lets the stream take all
-    that is new; ``groups`` reads the state.  The same folder can be opened
-    again later to go on where it stopped.
+    ``add`` appends a batch of documents to the log; ``advance`` lets the stream
+    take all that is new; ``groups`` reads the state; ``resolve`` decides the
+    batch added last.  The same folder can be opened again later to go on where
+    it stopped.  All batches name their columns alike, and files that hold
+    documents stay where they are; documents that come from no file are kept
+    beside the log.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, digest=sha256_bytes):
@@ -54,6 +60,8 @@ class ExactDedup:
         self.folder = folder or shared_path(spark, f"llm-{uuid.uuid4().hex}", "exact")
         self.log = f"{self.folder}/log"
         self.checkpoint = f"{self.folder}/state"
+        self.mixed_log = f"{self.folder}/mixed"
+        self.batch = None
 
     def rows(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -61,15 +69,49 @@ class ExactDedup:
                            self.digest(text).alias("digest"))
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        narrow = self.rows(docs, id_col, text_col).select(
+        self.batch = uuid.uuid4().hex
+        rows = self.rows(docs, id_col, text_col)
+        if not docs.inputFiles():
+            content = rows.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col))
+            folder = f"{self.folder}/content/{self.batch}"
+            content.write.parquet(folder)
+            rows = self.rows(self.spark.read.schema(content.schema).parquet(folder), id_col, text_col)
+        narrow = rows.select(
             "doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"),
-            F.input_file_name().alias("file"))
+            F.input_file_name().alias("file"), F.lit(self.batch).alias("batch"))
         narrow.write.mode("append").parquet(self.log)
+        self._note(self.spark.createDataFrame([], self._mixed_schema))
 
     def entries(self) -> DataFrame:
         return self.spark.read.schema(self._schema).parquet(self.log)
 
-    _schema = "doc_id long, digest binary, n_bytes long, file string"
+    def earlier(self) -> DataFrame:
+        """Log entries of the batches before the last one."""
+        return self.entries().where(F.col("batch") != self.batch)
+
+    _schema = "doc_id long, digest binary, n_bytes long, file string, batch string"
+    #: Digests with unequal texts; a row of nulls marks a batch that was resolved.
+    _mixed_schema = "digest binary, n_bytes long, batch string"
+
+    def mixed(self) -> DataFrame:
+        return self.spark.read.schema(self._mixed_schema).parquet(self.mixed_log)
+
+    def _note(self, rows: DataFrame) -> None:
+        rows.coalesce(1).write.mode("append").parquet(self.mixed_log)
+
+    def located(self, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc_id, digest, n_bytes, text) of log entries, read from the files they name.  The driver holds the names
+        of those files, as it does for any scan of them."""
+        key = ["doc_id", "digest", "n_bytes", "file"]
+        paths = [unquote(r.file) for r in wanted.select("file").distinct().collect()]
+        if "" in paths:
+            raise ValueError("documents without a file cannot be found again: write them as a table and add that")
+        if not paths:
+            return self.spark.createDataFrame([], "doc_id long, digest binary, n_bytes long, text string")
+        rows = self.rows(self.spark.read.parquet(*paths), id_col, text_col).select(
+            "doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), "text", F.input_file_name().alias("file"))
+        named = wanted.select(*[F.col(k).alias(f"w_{k}") for k in key]).distinct()
+        return rows.join(named, [rows[k].eqNullSafe(named[f"w_{k}"]) for k in key], "left_semi").drop("file")
 
     def advance(self) -> None:
         conf = self.spark.conf
@@ -100,9 +142,11 @@ class ExactDedup:
             F.col("value").getField(value[1]).alias("n"))
 
     def check_hits(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Full-byte check of every digest seen more than once: (digest,
-        n_bytes) whose texts are not all equal.  The rows of a digest are
-        salted, and each salt sends on only its least and greatest text."""
+        """Full-byte check of every digest of the last batch, ``docs``, that was
+        seen more than once: (digest, n_bytes) whose texts are not all equal.
+        The rows of a digest are salted, and each salt sends on only its least
+        and greatest text.  Earlier batches have been checked, so one of their
+        rows stands for all, unless they were found unequal."""
         hits = (self.groups().where("n > 1").select("digest", "n_bytes")
                 .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
         rows = self.rows(docs, id_col, text_col).select(
@@ -110,6 +154,22 @@ class ExactDedup:
             F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
         part = (rows.join(hits, ["digest", "n_bytes", "salt"])
                 .groupBy("digest", "n_bytes", "salt").agg(F.min("text").alias("lo"), F.max("text").alias("hi")))
+        if self.earlier().isEmpty():
+            return self._unequal(part)
+        left = self.earlier().select("batch").distinct().join(self.mixed().where("digest IS NULL"), "batch", "left_anti")
+        if not left.isEmpty():
+            raise ValueError("an earlier batch has not been resolved")
+        key = ["digest", "n_bytes"]
+        met = self.entries().where(F.col("batch") == self.batch).select(*key).distinct()
+        first = (self.earlier().join(met, key, "left_semi").groupBy(*key).agg(F.min(F.struct("doc_id", "file")).alias("at"))
+                 .select(*key, "at.doc_id", "at.file"))
+        before = self.located(staged(first, "first"), id_col, text_col)
+        found = self._unequal(part.unionByName(before.select(*key, F.lit(None).cast("int").alias("salt"),
+                                                             F.col("text").alias("lo"), F.col("text").alias("hi"))))
+        return found.unionByName(self.mixed().select(*key).join(met, key, "left_semi")).distinct()
+
+    @staticmethod
+    def _unequal(part: DataFrame) -> DataFrame:
         return (part.groupBy("digest", "n_bytes").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
                 .where("lo <> hi").select("digest", "n_bytes"))
 
@@ -127,18 +187,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def resolve(state: ExactDedup, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Decisions for ``docs``, all of which ``state`` has already seen."""
+    """Decisions for ``docs``, the batch that ``state`` was given last, against
+    all it has seen.  Every batch is resolved before the next one."""
     groups = staged(state.groups().select("digest", "n_bytes", "keep_id", "n"), "groups")
     unequal = staged(state.check_hits(docs, id_col, text_col), "unequal")
-    out = state.entries().join(groups, ["digest", "n_bytes"])
+    out = state.entries().where(F.col("batch") == state.batch).join(groups, ["digest", "n_bytes"])
     if not unequal.isEmpty():
         rows = state.rows(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
         mixed = rows.join(unequal, ["digest", "n_bytes"])
-        own = mixed.groupBy("digest", "n_bytes", "text").agg(F.max("doc_id").alias("keep_id"),
+        before = staged(state.earlier().join(unequal, ["digest", "n_bytes"], "left_semi"), "before")
+        texts = mixed.unionByName(state.located(before, id_col, text_col))
+        own = texts.groupBy("digest", "n_bytes", "text").agg(F.max("doc_id").alias("keep_id"),
                                                              F.count(F.lit(1)).alias("n"))
         apart = mixed.join(own, ["digest", "n_bytes", "text"]).select("digest", "n_bytes", "doc_id", "keep_id", "n")
         out = (out.join(unequal, ["digest", "n_bytes"], "left_anti")
                .select("digest", "n_bytes", "doc_id", "keep_id", "n").unionByName(apart))
+    mark = state.spark.createDataFrame([(None, None)], "digest binary, n_bytes long")
+    state._note(unequal.unionByName(mark).withColumn("batch", F.lit(state.batch)))
     return out.select("doc_id", "keep_id", F.col("n").alias("group_size"),
                       F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "n_bytes")
 
