@@ -198,6 +198,16 @@ def test_exact_dedup_goes_on(spark):
     assert sorted((r.keep_id, r.n) for r in state.groups().collect()) == [(2, 1), (3, 2)]
 
 
+def test_language_model_does_not_depend_on_arrival(spark):
+    """The same rows in other partitions and orders, and one id on many rows, give the same model."""
+    rows = [(i, f"{'the cat sat on' if i % 2 else 'der hund und die'} {prose(8, i)}", ("de", "en")[i % 2]) for i in range(300)]
+    rows += [(7, f"one id, many rows {i}", "en") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, other = (language_id.train(d, fit_rows=100) for d in (docs.repartition(2, "text"), docs.orderBy(F.desc("text")).repartition(5)))
+    assert one["langs"] == other["langs"] and np.array_equal(one["centres"], other["centres"])
+    assert np.array_equal(one["radius"], other["radius"])
+
+
 @pytest.mark.parametrize("from_files", [False, True])
 def test_exact_dedup_follows_locators(spark, tmp_path, from_files):
     """A digest that collides with rows of earlier batches: their texts are read again from where they lie."""

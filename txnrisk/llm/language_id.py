@@ -108,9 +108,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     part = (known.select("doc_id", "lang").join(sizes, "lang")
             .where((F.pmod(rank, F.lit(1 << 30)) / F.lit(float(1 << 30))) * F.col("count") < 0.9 * fit_rows)
             .select("doc_id", "lang"))
-    sample = known.join(F.broadcast(part.select("doc_id").distinct()), "doc_id", "left_semi")
+    # one row per id, so a repeated id takes no more than its place
+    sample = (known.join(F.broadcast(part.select("doc_id").distinct()), "doc_id", "left_semi")
+              .groupBy("lang", "doc_id").agg(F.min("text").alias("text")).withColumn("rank", rank))
 
     def fit(key, table):
+        table = table.sort_by([("rank", "ascending"), ("doc_id", "ascending")])
         column = table.column("text").combine_chunks()[:fit_rows]
         x = np.concatenate([vectors(gram_counts(data, offsets), idf)
                             for _, data, offsets in common.text_chunks(column, max_rows=BATCH_ROWS)])
