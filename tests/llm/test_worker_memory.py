@@ -66,6 +66,12 @@ def test_codec_goes_with_its_task(model):
         gc.enable()
 
 
+def test_units_are_merged_in_small_steps(model):
+    codec, texts = sc.Codec(model), [" ".join(words(500, 40, k)) for k in range(20)]
+    _, most, out = held(lambda: codec.pack_all([u for t in texts for u in t.split()[:100]]))
+    assert len(out) == 2_000 and most < 16 << 20
+
+
 def test_word_hashes_are_made_in_small_steps():
     data = np.frombuffer(" ".join(words(500_000, 7, 4)).encode(), np.uint8)
     starts, ends, _ = common.word_bounds(data, np.array([0, len(data)]))
