@@ -40,17 +40,20 @@ def unpack_gaps(blob: bytes) -> np.ndarray:
 
 def sketch_batches(key_arrays, rows: int, bits: int):
     """Arrow batches of SCHEMA for an iterator of key arrays."""
-    held, size = [], 0
+    held, size, kind = [], 0, np.uint32 if bits <= 32 else np.uint64
 
     def flush():
-        keys = np.concatenate(held)
         for row in range(rows):
-            cell, times = np.unique(cells(keys, row, bits), return_counts=True)
-            value = cell * np.uint64(2) + (times > 1)  # the cell, and whether it has two or more
-            block = (cell >> np.uint64(BLOCK_BITS)).astype(np.int64)
-            edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            local = np.split(value & np.uint64((2 << BLOCK_BITS) - 1), edge[1:])
-            yield pa.record_batch({"sketch_row": pa.array([row] * len(edge), pa.int32()), "block": pa.array(block[edge]),
+            cell = np.concatenate([cells(keys, row, bits).astype(kind) for keys in held])
+            cell.sort()
+            first = np.append(True, cell[1:] != cell[:-1])
+            more = ~np.append(first[1:], True)[first]  # whether the cell has two or more
+            cell = cell[first]
+            edge = np.flatnonzero(np.append(True, (cell[1:] ^ cell[:-1]) >> BLOCK_BITS))
+            local = ((cell[a:b] & ((1 << BLOCK_BITS) - 1)).astype(np.uint64) * np.uint64(2) + more[a:b]
+                     for a, b in zip(edge, np.append(edge[1:], len(cell))))
+            yield pa.record_batch({"sketch_row": pa.array([row] * len(edge), pa.int32()),
+                                   "block": pa.array((cell[edge] >> BLOCK_BITS).astype(np.int64)),
                                    "counts": pa.array([pack_gaps(x) for x in local], pa.binary())})
 
     for keys in key_arrays:

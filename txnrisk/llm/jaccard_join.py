@@ -56,6 +56,8 @@ SKETCH_BITS = 28
 #: Minimum hashes that documents are grouped by.
 GROUPINGS = 4
 LOW48 = (1 << 48) - 1
+#: Sets whose tokens become rows at once.
+SET_ROWS = 256
 
 
 def shingle_sets(data, offsets, words: int):
@@ -86,7 +88,7 @@ def shingle_sketch(docs: DataFrame, words: int, bits: int) -> list[np.ndarray]:
                 for batch in batches for _, data, offsets in common.text_chunks(batch.column("text")))
         yield from countmin.sketch_batches(sets, 1, bits)
 
-    return countmin.merged_bitmaps(docs.select("text").mapInArrow(count, countmin.SCHEMA), 1, bits)
+    return countmin.merged_bitmaps(docs.select("text").mapInArrow(common.tidied(count), countmin.SCHEMA), 1, bits)
 
 
 def deal_shingles(docs: DataFrame, words: int, percent: int, repeated: Broadcast, buckets: int, bits: int) -> DataFrame:
@@ -125,7 +127,7 @@ def deal_shingles(docs: DataFrame, words: int, percent: int, repeated: Broadcast
                     "chunk": pa.array(np.full(len(full) + 1, chunk, dtype=np.int64)),
                     "entries": pa.array([entry[edge[b]:edge[b + 1]].tobytes() for b in full] + [about], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(deal, "bucket int, chunk long, entries binary")
+    return docs.select("doc_id", "text").mapInArrow(common.tidied(deal), "bucket int, chunk long, entries binary")
 
 
 def shared_shingles(dealt: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def shared_shingles(dealt: DataFrame) -> DataFrame:
                          "chunk": chunk.take(pa.array(full)).combine_chunks(),
                          "entries": pa.array([entry[edge[p]:edge[p + 1]].tobytes() for p in full], pa.binary())})
 
-    return dealt.groupBy("bucket").applyInArrow(keep, "bucket int, chunk long, entries binary")
+    return dealt.groupBy("bucket").applyInArrow(common.tidied(keep), "bucket int, chunk long, entries binary")
 
 
 def chunk_documents(shared: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ def chunk_documents(shared: DataFrame) -> DataFrame:
                     "digest": pa.array([d for *_, d in rows], pa.binary())})
 
     return shared.where("bucket < 0").select("chunk", "entries").mapInArrow(
-        unpack, "chunk long, row int, doc_id long, n long, digest binary")
+        common.tidied(unpack), "chunk long, row int, doc_id long, n long, digest binary")
 
 
 def candidate_sets(shared: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +208,7 @@ def candidate_sets(shared: DataFrame, owners: DataFrame, percent: int) -> DataFr
                         | {f"k{g}": pa.array([], pa.int64()) for g in range(GROUPINGS)})
 
     return (owners.groupBy("chunk").cogroup(entries.groupBy("chunk"))
-            .applyInArrow(collect, "node long, n long, tokens binary, " + ", ".join(f"k{g} long" for g in range(GROUPINGS))))
+            .applyInArrow(common.tidied(collect), "node long, n long, tokens binary, " + ", ".join(f"k{g} long" for g in range(GROUPINGS))))
 
 
 def verified(pairs: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +224,7 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
             yield pa.record_batch({"u": pa.array(a[keep]), "v": pa.array(b[keep])})
 
     close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return pairs.where(close).select("a", "n_a", "tokens_a", "b", "n_b", "tokens_b").mapInArrow(check, "u long, v long")
+    return pairs.where(close).select("a", "n_a", "tokens_a", "b", "n_b", "tokens_b").mapInArrow(common.tidied(check), "u long, v long")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -253,15 +255,15 @@ def set_rows(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """(token, node, n, grp): every token of every set, with the set's group."""
 
     def explode(batches):
-        for batch in batches:
+        for batch in (whole.slice(lo, SET_ROWS) for whole in batches for lo in range(0, whole.num_rows, SET_ROWS)):
             parts = [np.frombuffer(b, np.int64) for b in batch.column("tokens").to_pylist()]
             take = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
-            yield pa.record_batch({"token": pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))}
+            yield pa.record_batch({"token": pa.array(np.concatenate(parts))}
                                   | {c: batch.column(c).take(take) for c in ("node", "n", "grp")})
 
     named = (sets.select("node", "n", "tokens").join(groups, "node", "left")
              .select("node", "n", "tokens", F.coalesce("component", "node").alias("grp")))
-    return named.mapInArrow(explode, "token long, node long, n long, grp long")
+    return named.mapInArrow(common.tidied(explode), "token long, node long, n long, grp long")
 
 
 def prune(rows: DataFrame, percent: int) -> DataFrame:
@@ -347,7 +349,7 @@ def apart_from_head(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
                                   names=["a", "g", "n", "most", "b", "n_b", "size", "common", "apart"])
 
     out = with_sets(pairs, sets).select("a", "g", "n_a", "most", "b", "n_b", "tokens_a", "tokens_b").mapInArrow(
-        compare, "a long, g long, n long, most long, b long, n_b long, size long, common long, apart array<long>")
+        common.tidied(compare), "a long, g long, n long, most long, b long, n_b long, size long, common long, apart array<long>")
     whole = F.col("common") * (100 + percent)
     return out.select("*", (whole >= (F.col("n") + F.col("n_b")) * percent).alias("linked"),
                       (whole >= (F.col("n") + F.col("size")) * percent).alias("close"))

@@ -19,8 +19,9 @@ measurement is 0; without positives or unlabelled rows every score is 1 (no
 ground to reject); repeated rows are scored each; other columns are kept.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -140,7 +141,7 @@ def corpus_moments(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
         yield pa.record_batch({"k": pa.array(np.arange(len(FEATURES))), "n": pa.array(np.full(len(FEATURES), n)),
                                "s": pa.array(total), "q": pa.array(squares)})
 
-    rows = (docs.select(F.col(text_col).cast("string")).mapInArrow(sums, "k long, n long, s double, q double")
+    rows = (docs.select(F.col(text_col).cast("string")).mapInArrow(common.tidied(sums), "k long, n long, s double, q double")
             .groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("k").collect())  # one row per measurement
     n = np.array([max(r.n, 1) for r in rows], dtype=float)
     mean = np.array([r.s for r in rows]) / n
@@ -167,7 +168,7 @@ def corpus_tails(docs: DataFrame, half, nets: dict, cuts: dict, centre, scale, t
         for h, b in bins.items():
             yield pa.record_batch({"half": pa.array(np.full(len(b), h, dtype=np.int32)), "bin": pa.array(np.arange(len(b))), "n": pa.array(b)})
 
-    rows = (docs.select(F.col(text_col).cast("string"), half.cast("int")).mapInArrow(count, "half int, bin long, n long")
+    rows = (docs.select(F.col(text_col).cast("string"), half.cast("int")).mapInArrow(common.tidied(count), "half int, bin long, n long")
             .groupBy("half", "bin").agg(F.sum("n").alias("n")).collect())  # one row per half and cut
     out = {}
     for h, c in cuts.items():
@@ -199,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = (docs.select(id_col, text_col).join(F.broadcast(picked), id_col)  # other columns may be named like these
             .groupBy(F.col(id_col)).agg(F.min(F.col(text_col).cast("string")).alias("text"), F.first("p").alias("p"), F.first("only").alias("only"))
             .select(F.col(id_col).cast("long").alias("id"), "text", "p", (~F.col("only")).alias("u"), half.cast("int").alias("half"))
-            .mapInArrow(measure, "id long, p boolean, u boolean, half int, x array<double>").collect())  # 2 * fit_rows rows at most
+            .mapInArrow(common.tidied(measure), "id long, p boolean, u boolean, half int, x array<double>").collect())  # 2 * fit_rows rows at most
     rows.sort(key=lambda r: (r.id, r.x))
     x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
     is_pos, is_unl = np.array([r.p for r in rows], dtype=bool), np.array([r.u for r in rows], dtype=bool)
@@ -222,14 +223,16 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "
     """``docs`` plus ``out_col`` (0 to 1, higher: quality likelier); a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rate(texts: pd.Series) -> pd.Series:
-        m, parts = shared.value, []
-        for _, data, offsets in common.text_chunks(pa.array(texts, pa.string())):
-            if m["net"] is None:
-                parts.append(np.ones(len(offsets) - 1))
-            else:
-                z = np.clip((measurements(data, offsets) - m["centre"]) / m["scale"], -8, 8)
-                parts.append(1 / (1 + np.exp(-np.clip(logits(z, m["net"]), -30, 30))))
-        return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
-
-    return docs.withColumn(out_col, F.pandas_udf(rate, "double")(F.col(text_col)))
+    def rate(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        for texts in columns:
+            parts = []
+            for _, data, offsets in common.text_chunks(texts):
+                if m["net"] is None:
+                    parts.append(np.ones(len(offsets) - 1))
+                else:
+                    z = np.clip((measurements(data, offsets) - m["centre"]) / m["scale"], -8, 8)
+                    parts.append(1 / (1 + np.exp(-np.clip(logits(z, m["net"]), -30, 30))))
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+
+    return docs.withColumn(out_col, F.arrow_udf(common.tidied(rate), "double")(F.col(text_col)))
