@@ -1,4 +1,4 @@
-"""op5 projects every id back to its bytes: its span digests are the library's."""
+"""op5 and the pipeline project every id back to its bytes: the queries' span digests are the library's."""
 
 import hashlib
 
@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+import corpus_pipeline as cp
 from txnrisk.llm import queries, sentencepiece_codec as sc
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -57,8 +58,9 @@ def test_any_model_as_text_by_text(how):
     assert rows == [tuple(codec.encode(t)) for t in texts]
 
 
-def test_query_gives_the_spans(spark, lib, tmp_path):
+def test_query_and_pipeline_give_the_spans(spark, lib, tmp_path):
     docs = spark.createDataFrame([(d, t, "en", "s") for d, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     want = {d: digest(lib, t) for d, t in enumerate(TEXTS)}
     assert {r.doc_id: r.spans_sha256 for r in queries.op5_sentencepiece(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.spans_sha256 for r in cp.encode(spark, docs, str(tmp_path)).collect()} == want
